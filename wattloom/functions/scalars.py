@@ -112,9 +112,7 @@ _OFFSET = r"([zZ]|[+-]\d{2}:?\d{2})\s*$"
 def to_utc(text, zone) -> Column:
     """Instant of a timestamp text; text without an offset is read in the source's zone."""
     t = F.trim(_col(text).cast("string"))
-    z = _col(zone) if isinstance(zone, str) and zone.isidentifier() else (
-        F.lit(zone) if isinstance(zone, str) else zone
-    )
+    z = F.lit(zone) if isinstance(zone, str) else zone  # a zone name, or a column of names
     aware = F.try_to_timestamp(t)
     naive = F.to_utc_timestamp(F.try_to_timestamp(t), z)
     return F.when(t.rlike(_OFFSET), aware).otherwise(naive)

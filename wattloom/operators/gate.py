@@ -46,7 +46,7 @@ class GateResult:
 # --- raw rows --------------------------------------------------------------------------------
 def normalize_rows(df: DataFrame, zone: str = "source_timezone") -> DataFrame:
     """Text columns to typed ones: instants in UTC, numbers or null."""
-    return df.withColumns({"ts": to_utc("ts", zone), "kwh": to_number("kwh")})
+    return df.withColumns({"ts": to_utc("ts", F.col(zone)), "kwh": to_number("kwh")})
 
 
 def raw_stamps(df: DataFrame) -> DataFrame:

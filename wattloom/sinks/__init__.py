@@ -1,0 +1 @@
+"""Merges, appends and outgoing messages."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("gate_checks",)
+MODULES = ("gate_checks", "source_checks")
 
 
 def _load(attr: str) -> dict:
