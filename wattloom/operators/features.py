@@ -27,7 +27,8 @@ def rolling_features(readings: DataFrame, cfg: FeatureConfig = FeatureConfig())
     weekend = day >= 6
     kwh = F.col("kwh")
 
-    baseline = F.avg(F.coalesce(kwh, F.lit(0.0))).over(trailing)
+    # settled at nine digits: the order of summation must not show in later comparisons
+    baseline = F.round(F.avg(F.coalesce(kwh, F.lit(0.0))).over(trailing), 9)
     weekend_after = F.avg(F.when(weekend & ~open_hours, kwh)).over(circuit)
     weekday_after = F.coalesce(F.avg(F.when(~weekend & ~open_hours, kwh)).over(circuit), F.lit(1.0))
     return readings.withColumns(

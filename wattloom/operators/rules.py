@@ -58,9 +58,12 @@ def fired(readings: DataFrame, buildings: DataFrame, rules: Sequence[Rule] = SHI
             for r in rules
         ]
     )
-    return ctx.select(
-        "tenant_id", "building_id", "circuit_id", "ts", "kwh",
-        F.inline(F.filter(hits, lambda h: h.isNotNull())),
+    # SQL functions may stand in a projection but not in a generator, hence the two steps
+    return (
+        ctx.select("tenant_id", "building_id", "circuit_id", "ts", "kwh", hits.alias("_hits"))
+        .withColumn("_hits", F.filter("_hits", lambda h: h.isNotNull()))
+        .filter(F.size("_hits") > 0)
+        .select("tenant_id", "building_id", "circuit_id", "ts", "kwh", F.inline("_hits"))
     )
 
 

@@ -74,7 +74,7 @@ BUILDINGS = """buildings AS (
          s_suppkey % 6 <> 5 AS has_schedule,
          CASE WHEN s_suppkey % 3 <> 2 THEN 9.0 + (s_suppkey % 4) * 0.5 END::DOUBLE AS peak_rate,
          CASE WHEN s_suppkey % 3 <> 1 THEN 5.0 + (s_suppkey % 5) * 0.25 END::DOUBLE AS offpeak_rate,
-         CASE WHEN s_suppkey % 4 <> 2 THEN 10.0 + (s_suppkey % 10) * 2.0 END::DOUBLE AS rooftop_area_sqm,
+         CASE WHEN s_suppkey % 4 <> 2 THEN 4000.0 + (s_suppkey % 10) * 3000.0 END::DOUBLE AS rooftop_area_sqm,
          CASE WHEN s_suppkey % 7 <> 6 THEN s_nationkey * 2.0 - 10.0 END::DOUBLE AS latitude,
          CASE WHEN s_suppkey % 7 <> 6 THEN 77.0 END::DOUBLE AS longitude,
          TIMESTAMP '2023-01-01 00:00:00' + (s_suppkey % 50) * INTERVAL 1 DAY AS onboarded_at

@@ -107,7 +107,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("occupancy_schedule"),
         F.when(n % 3 != 2, F.lit(9.0) + (n % 4) * 0.5).alias("peak_rate"),
         F.when(n % 3 != 1, F.lit(5.0) + (n % 5) * 0.25).alias("offpeak_rate"),
-        F.when(n % 4 != 2, F.lit(10.0) + (n % 10) * 2.0).alias("rooftop_area_sqm"),
+        F.when(n % 4 != 2, F.lit(4000.0) + (n % 10) * 3000.0).alias("rooftop_area_sqm"),
         F.when(n % 7 != 6, F.col("s_nationkey") * 2.0 - 10.0).alias("latitude"),
         F.when(n % 7 != 6, F.lit(77.0)).alias("longitude"),
         (F.lit("2023-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(n.cast("int") % 50)).alias("onboarded_at"),
