@@ -66,9 +66,9 @@ def _runs(spark, sf_dir):
     f = views.findings(spark, sf_dir)
     return o.join(f, F.concat(F.lit("f"), k.cast("string")) == f.finding_id).filter("o_orderstatus = 'P'").select(
         "tenant_id", "building_id", F.col("layer_origin").alias("model_type"), F.col("finding_id").alias("run_id"), F.col("o_custkey").alias("n_features_used"),
-        F.when(k % 9 != 0, k).alias("registered_version"), (k % 400).alias("n_training_samples"), F.round(F.col("o_totalprice") / 1500000, 6).alias("train_anomaly_rate"),
+        F.when(k % 9 != 0, k).alias("registered_version"), (k % 400).alias("n_training_samples"), F.round(F.col("o_totalprice") / 1500000, 8).alias("train_anomaly_rate"),
         F.element_at(F.array(F.lit("calendar"), F.lit("drift"), F.lit("feedback_volume")), (k % 3 + 1).cast("int")).alias("training_trigger"),
-        F.create_map(F.lit("n_features"), (k % 10).cast("double"), F.lit("train_anomaly_rate"), F.round(F.col("o_totalprice") / 1500000, 6)).alias("metrics"),
+        F.create_map(F.lit("n_features"), (k % 10).cast("double"), F.lit("train_anomaly_rate"), F.round(F.col("o_totalprice") / 1500000, 8)).alias("metrics"),
     )
 
 
@@ -112,7 +112,7 @@ def _metric_runs(spark, sf_dir):
 
 def metric_deltas(spark, sf_dir):
     d = governance.metric_deltas(*_metric_runs(spark, sf_dir))
-    return d.select("building_id", "model_type", "metric", F.round("delta", 6).alias("delta"))
+    return d.select("building_id", "model_type", "metric", F.round("delta", 8).alias("delta"))
 
 
 def training_lines(spark, sf_dir):
@@ -217,7 +217,7 @@ _JUDGED = f"""{_FB}, judged AS (SELECT l.*, CASE WHEN action NOT IN ('confirmed'
     WHEN feedback_id LIKE '%7' THEN 'Finding with ID * was not found or is not visible to this tenant.'
     WHEN confidence IS NULL THEN 'Cannot write feedback for finding * because it has no explainability bundle.' END AS rejection FROM labels_fb l JOIN findings f USING (finding_id))"""
 _RUN = f"""{sql.FINDINGS}, runs AS (SELECT f.tenant_id, f.building_id, f.layer_origin AS model_type, f.finding_id AS run_id, o_custkey AS n_features_used, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS registered_version,
-    o_orderkey % 400 AS n_training_samples, round(o_totalprice / 1500000, 6) AS rate, (['calendar','drift','feedback_volume'])[o_orderkey % 3 + 1] AS training_trigger, o_orderkey
+    o_orderkey % 400 AS n_training_samples, round(o_totalprice / 1500000, 8) AS rate, (['calendar','drift','feedback_volume'])[o_orderkey % 3 + 1] AS training_trigger, o_orderkey
     FROM orders JOIN findings f ON f.finding_id = 'f'||o_orderkey WHERE o_orderstatus = 'P'),
 prior AS (SELECT tenant_id, building_id, layer_origin AS model_type, count(*) AS n FROM findings WHERE status = 'confirmed' AND detected_at < TIMESTAMP '1995-02-01' GROUP BY ALL),
 dec0 AS (SELECT r.*, coalesce(p.n, 0) AS prior FROM runs r LEFT JOIN prior p USING (tenant_id, building_id, model_type)),
@@ -231,7 +231,7 @@ _LINES = """lin AS (SELECT *, '--- '||model_type||' ---'||chr(10)||'  n_training
 _FP = f"""fp AS (SELECT f.building_id, count(*) FILTER (action = 'confirmed') AS n_confirmed, count(*) FILTER (action = 'dismissed') AS n_dismissed
     FROM labels_fb l JOIN findings f USING (finding_id) WHERE f.layer_origin = 'ml_ensemble' AND l.created_at BETWEEN TIMESTAMP '2001-01-01' - INTERVAL 1500 DAY AND TIMESTAMP '2001-01-01' GROUP BY 1)"""
 _CH = f"""vers AS (SELECT building_id, model_type, registered_version AS version FROM runs WHERE registered_version IS NOT NULL),
-ali AS (SELECT building_id, model_type, CASE WHEN model_type = 'ml_ensemble' THEN max(version) ELSE min(version) END AS champion_version FROM vers GROUP BY ALL),
+ali AS (SELECT building_id, model_type, CASE WHEN model_type = 'ml_ensemble' THEN max(version) ELSE min(version) END AS champion_version FROM vers GROUP BY building_id, model_type),
 champ AS (SELECT a.*, (SELECT max(version) FROM vers v WHERE v.building_id = a.building_id AND v.model_type = a.model_type AND v.version < a.champion_version) AS previous_version FROM ali a)"""
 _RB = f"""{_RUN}, {sql.LABELS}, {_FP}, {_CH}, rb0 AS (SELECT c.*, coalesce(n_confirmed + n_dismissed, 0) AS n, n_dismissed / nullif(n_confirmed + n_dismissed, 0) AS r FROM champ c LEFT JOIN fp USING (building_id)),
 rb1 AS (SELECT *, printf('%.3f', round_even(r * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS t FROM rb0),
@@ -265,7 +265,7 @@ ORACLES = {
         coalesce(string_agg(DISTINCT CASE WHEN failed THEN model_type END, ',' ORDER BY CASE WHEN failed THEN model_type END), '') AS rejected FROM dec GROUP BY tenant_id, building_id""",
     "metric_deltas": f"""WITH {_RUN}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, building_id, model_type ORDER BY run_id DESC) AS rn FROM runs),
         p AS (SELECT a.building_id, a.model_type, a.rate - b.rate AS dr, (a.o_orderkey % 10 - b.o_orderkey % 10)::DOUBLE AS df FROM n a JOIN n b ON a.tenant_id = b.tenant_id AND a.building_id = b.building_id AND a.model_type = b.model_type AND a.rn = 1 AND b.rn = 2)
-        SELECT building_id, model_type, 'train_anomaly_rate' AS metric, round(dr, 6) AS delta FROM p UNION ALL SELECT building_id, model_type, 'n_features', round(df, 6) FROM p""",
+        SELECT building_id, model_type, 'train_anomaly_rate' AS metric, round(dr, 8) AS delta FROM p UNION ALL SELECT building_id, model_type, 'n_features', round(df, 8) FROM p""",
     "training_lines": f"WITH {_RUN}, {_LINES} SELECT run_id, lines FROM lin",
     "training_summaries": f"""WITH {_RUN}, {_LINES}, n AS (SELECT * FROM lin QUALIFY row_number() OVER (PARTITION BY tenant_id, building_id, model_type ORDER BY run_id DESC) = 1)
         SELECT building_id, training_trigger, '=== Training Summary ==='||chr(10)||'tenant_id:        '||tenant_id||chr(10)||'building_id:      '||building_id||chr(10)||'trigger:          '||training_trigger||chr(10)

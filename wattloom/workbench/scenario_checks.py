@@ -124,7 +124,7 @@ def bundled(spark, sf_dir):
     top = F.when(ml, F.array(F.struct(F.lit("after_hours_kwh_ratio").alias("feature"), F.round(F.col("anomaly_score") / 10, 4).alias("shap_value"),
                                       F.concat(F.lit("score was "), F.col("anomaly_score").cast("string")).alias("plain_language"))))
     cites = F.transform("rule_ids", lambda r: F.struct(r.alias("rule_id"), F.lit(1).alias("version"), F.concat(F.lit("guide "), r).alias("citation")))
-    band = F.when(F.col("confidence").isNotNull(), F.struct(F.round(F.col("confidence") * 0.75, 6).alias("lower"), F.col("confidence").alias("upper"), F.lit("conformal_prediction").alias("method")))
+    band = F.when(F.col("confidence").isNotNull(), F.struct(F.round(F.col("confidence") * 0.75, 10).alias("lower"), F.col("confidence").alias("upper"), F.lit("conformal_prediction").alias("method")))
     bundle = F.struct(
         F.col("finding_id"), F.array("layer_origin").alias("contributing_layers"),
         F.coalesce(top, F.array().cast("array<struct<feature:string,shap_value:double,plain_language:string>>")).alias("top_features"),
@@ -247,7 +247,7 @@ fin AS (SELECT tenant_id, building_id, scenario_model, CASE WHEN msg <> '' THEN
     CASE WHEN msg = '' THEN estimated_annual_savings_inr END AS estimated_annual_savings_inr, CASE WHEN msg = '' THEN payback_months END AS payback_months FROM vio)"""
 
 _REPORT = f"""{_ALL},
-rep AS (SELECT *, coalesce(confidence, 0) AS conf, CASE WHEN confidence IS NULL THEN 0.0 ELSE round(confidence * 0.75::DOUBLE, 6) END AS lower, coalesce(confidence, 1.0) AS upper,
+rep AS (SELECT *, coalesce(confidence, 0) AS conf, CASE WHEN confidence IS NULL THEN 0.0 ELSE round(confidence * 0.75::DOUBLE, 10) END AS lower, coalesce(confidence, 1.0) AS upper,
           row_number() OVER (PARTITION BY building_id ORDER BY detected_at DESC, finding_id) AS rank FROM findings WHERE status = 'open' QUALIFY rank <= 200),
 lead AS (SELECT *, count(*) OVER (PARTITION BY building_id) AS n_findings FROM rep QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY conf DESC, rank) = 1),
 told AS (SELECT l.*, b.name FROM lead l JOIN buildings b USING (tenant_id, building_id)),

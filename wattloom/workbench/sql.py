@@ -88,8 +88,8 @@ FINDINGS = """findings AS (
               WHEN '5-LOW' THEN 'other_rule_v1' END AS rule_id,
          o_orderdate AS detected_at,
          CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'dismissed' ELSE 'open' END AS status,
-         CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 600000, 6) END AS confidence,
-         round(o_totalprice / 100000 - 2.5, 6) AS anomaly_score
+         CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 600000, 8) END AS confidence,
+         round(o_totalprice / 100000 - 2.5, 7) AS anomaly_score
   FROM orders)"""
 
 LABELS = """labels_fb AS (

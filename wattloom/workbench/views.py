@@ -134,8 +134,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule.alias("rule_id"),
         F.col("o_orderdate").cast("timestamp").alias("detected_at"),
         F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "dismissed").otherwise("open").alias("status"),
-        F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 600000, 6)).alias("confidence"),
-        F.round(F.col("o_totalprice") / 100000 - 2.5, 6).alias("anomaly_score"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 600000, 8)).alias("confidence"),
+        F.round(F.col("o_totalprice") / 100000 - 2.5, 7).alias("anomaly_score"),
     )
 
 
