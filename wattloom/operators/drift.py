@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wattloom.config import DriftConfig
 from wattloom.operators.ranking import position_in_group
 from wattloom.operators.scope import drift_context
+from wattloom.operators.sharding import spread
 from wattloom.session import cut_lineage
 
 KEYS = ["tenant_id", "building_id"]
@@ -161,8 +162,8 @@ def trend_statistics(ratios: DataFrame, cfg: DriftConfig = DriftConfig()) -> Dat
     sizes = ratios.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > cfg.group_rows).select(*KEYS)
     if large.isEmpty():
-        return ratios.groupBy(*KEYS).applyInPandas(_grouped, STATS)
-    small = ratios.join(large, KEYS, "left_anti").groupBy(*KEYS).applyInPandas(_grouped, STATS)
+        return spread(ratios, *KEYS).groupBy(*KEYS).applyInPandas(_grouped, STATS)
+    small = spread(ratios.join(large, KEYS, "left_anti"), *KEYS).groupBy(*KEYS).applyInPandas(_grouped, STATS)
     return small.unionByName(blocked_trend(ratios.join(large, KEYS, "left_semi"), cfg.group_rows))
 
 

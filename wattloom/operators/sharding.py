@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 KEYS = ["tenant_id", "building_id"]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by `keys` into a fixed number of partitions.
+
+    Groups that cost much processor time are small in bytes; without a fixed number adaptive
+    execution would merge their partitions into a few long tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def shard_counts(rows: DataFrame, shard_rows: int) -> DataFrame:
     """(keys, n_rows, shards) per building."""
     return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows")).withColumn(

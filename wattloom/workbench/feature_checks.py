@@ -86,7 +86,7 @@ def _stand_in(spark, sf_dir):
     d = _dated(spark, sf_dir)
     cohort = Window.partitionBy("circuit_id", "day_type")
     n = F.count(F.lit(1)).over(cohort)
-    r = d.withColumn("stl_residual", F.round(F.col("kwh") - F.avg("kwh").over(cohort), 6)).withColumn("low_data_quality", n < 48)
+    r = d.withColumn("stl_residual", F.round(F.col("kwh") - F.avg("kwh").over(cohort), 9)).withColumn("low_data_quality", n < 48)
     return r.withColumn("residual_magnitude", F.when(~F.col("low_data_quality"), F.abs("stl_residual")))
 
 
@@ -233,7 +233,7 @@ CALENDAR = f"""{_CLOSE}, {_GRID}, calendar AS (
            WHEN isodow(g.date) >= 6 THEN 'auto:weekday_check' ELSE 'auto:remainder' END AS source
     FROM bgrid g LEFT JOIN closures c USING (tenant_id, building_id, date))"""
 DATED = f"""{sql.READINGS}, {CALENDAR}, dated AS (SELECT r.*, c.day_type FROM readings r LEFT JOIN calendar c ON c.building_id = r.building_id AND c.tenant_id = r.tenant_id AND c.date = CAST(r.ts AS DATE))"""
-STAND_IN = f"""{DATED}, base AS (SELECT *, round(kwh - avg(kwh) OVER (PARTITION BY circuit_id, day_type), 6) AS stl_residual, count(*) OVER (PARTITION BY circuit_id, day_type) < 48 AS low_data_quality FROM dated),
+STAND_IN = f"""{DATED}, base AS (SELECT *, round(kwh - avg(kwh) OVER (PARTITION BY circuit_id, day_type), 9) AS stl_residual, count(*) OVER (PARTITION BY circuit_id, day_type) < 48 AS low_data_quality FROM dated),
     resid AS (SELECT *, CASE WHEN NOT low_data_quality THEN abs(stl_residual) END AS residual_magnitude FROM base)"""
 _ROLLING = """rolled AS (SELECT *, round(avg(coalesce(kwh, 0)) OVER (PARTITION BY circuit_id ORDER BY ts RANGE BETWEEN INTERVAL 604799 SECOND PRECEDING AND CURRENT ROW), 9) AS baseline,
       avg(CASE WHEN isodow(ts) >= 6 AND NOT (hour(ts) >= 8 AND hour(ts) < 18) THEN kwh END) OVER (PARTITION BY circuit_id) AS we,

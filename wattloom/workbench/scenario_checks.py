@@ -75,7 +75,7 @@ def scenario_bounds(spark, sf_dir):
     rows = o.select(
         F.col("o_orderkey").alias("key"), F.lit("scenario").alias("outcome"), base.alias("baseline_kwh"), opt.alias("optimized_kwh"),
         base.alias("baseline_emissions_kg_co2"), F.round(base * ((k % 11) / 10.0), 2).alias("optimized_emissions_kg_co2"),
-        ((k % 90) - 5.0).alias("pct_reduction"), (F.col("o_custkey") % 200 * 1.0).alias("payback_months"),
+        ((k % 90) - 5.5).alias("pct_reduction"), (F.col("o_custkey") % 200 * 1.0).alias("payback_months"),
     )
     c = scenarios.bounds_check(rows)
     return c.select("key", F.array_join(F.transform("violations", lambda v: v["incident_type"]), ",").alias("kinds"),
@@ -281,7 +281,7 @@ ORACLES = {
     "scenario_incidents": f"""WITH {_ALL} SELECT tenant_id, building_id, scenario_model, string_split(kinds, '","')[1] AS incident_type, 'warning' AS severity, msg AS message,
         '{{"violation_types":["'||kinds||'"]}}' AS metadata, TIMESTAMP '2024-01-31' AS created_at FROM vio WHERE msg <> ''""",
     "scenario_bounds": """WITH r AS (SELECT o_orderkey AS key, round(o_totalprice, 2) AS bk, round(round(o_totalprice, 2) * ((o_orderkey % 13) / 10.0::DOUBLE), 2) AS ok, round(round(o_totalprice, 2) * ((o_orderkey % 11) / 10.0::DOUBLE), 2) AS oe,
-          ((o_orderkey % 90) - 5.0)::DOUBLE AS pct, (o_custkey % 200)::DOUBLE AS pay FROM orders),
+          ((o_orderkey % 90) - 5.5)::DOUBLE AS pct, (o_custkey % 200)::DOUBLE AS pay FROM orders),
         v AS (SELECT key, list_filter([CASE WHEN ok > bk THEN 'consumption_increase' END, CASE WHEN oe > bk THEN 'emissions_increase' END,
           CASE WHEN bk > 0 AND abs((bk - ok) / bk * 100.0 - pct) > 1.0 THEN 'pct_reduction_inconsistent' END, CASE WHEN NOT (pct BETWEEN 0 AND 60) THEN 'pct_reduction_out_of_range' END,
           CASE WHEN pay > 120 THEN 'payback_implausible' END], lambda x: x IS NOT NULL) AS k FROM r)
