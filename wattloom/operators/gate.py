@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.config import NORMALIZATION_VERSION, SCHEMA_VERSION, GateConfig
+from wattloom.config import DEFAULT_BOUNDS, NORMALIZATION_VERSION, SCHEMA_VERSION, GateConfig
 from wattloom.functions.scalars import (
     digest16,
     fixed_text,
@@ -143,19 +143,17 @@ def unmapped_circuits(raw: DataFrame, circuits: DataFrame, meter: str = "meter_i
 # --- plausibility ---------------------------------------------------------------------------
 def with_bounds(readings: DataFrame, bounds: DataFrame) -> DataFrame:
     """Adds min_kwh/max_kwh: the circuit type's bounds, or the `__default__` row's."""
-    default = bounds.filter("circuit_type = '__default__'").agg(
-        F.coalesce(F.first("min_kwh"), F.lit(0.0)).alias("_dmin"),
-        F.coalesce(F.first("max_kwh"), F.lit(5000.0)).alias("_dmax"),
-    )
+    default = bounds.filter("circuit_type = '__default__'")
+    low = default.agg(F.coalesce(F.first("min_kwh"), F.lit(DEFAULT_BOUNDS[0]))).scalar()
+    high = default.agg(F.coalesce(F.first("max_kwh"), F.lit(DEFAULT_BOUNDS[1]))).scalar()
     table = bounds.filter("circuit_type <> '__default__'").select(
         "circuit_type", F.col("min_kwh").alias("_min"), F.col("max_kwh").alias("_max")
     )
-    # the default is a single aggregated row, the table has one row per circuit type
+    # one row per circuit type, so Spark broadcasts it by its size; the defaults are scalar subqueries
     return (
         readings.join(table, "circuit_type", "left")
-        .join(F.broadcast(default))
-        .withColumns({"min_kwh": F.coalesce("_min", "_dmin"), "max_kwh": F.coalesce("_max", "_dmax")})
-        .drop("_min", "_max", "_dmin", "_dmax")
+        .withColumns({"min_kwh": F.coalesce("_min", low), "max_kwh": F.coalesce("_max", high)})
+        .drop("_min", "_max")
     )
 
 

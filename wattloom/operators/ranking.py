@@ -36,12 +36,16 @@ def position_in_group(df: DataFrame, keys: Sequence[str], coarse: str, ties: Seq
     )
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile", slack: float = 0.002) -> DataFrame:
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile", slack: float = 0.0005) -> DataFrame:
     """Exact linear-interpolated quantile per group.
 
     An approximate sketch brackets the answer; rows below the bracket are only counted, and the few
     distinct values inside it are ranked. Equal values are merged before they are moved.
     """
+    if not keys:
+        # one group in all: the bracket is a single row
+        whole = exact_quantile(df.withColumn("_all", F.lit(1)), ["_all"], value, p, name, slack)
+        return whole.drop("_all")
     keys = list(keys)
     accuracy = 10_000
     lo, hi = max(0.0, p - slack), min(1.0, p + slack)
