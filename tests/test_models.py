@@ -176,3 +176,15 @@ def test_drift_thresholds_by_type_and_zone(spark):
     strict = DriftConfig(overrides={"office:default": (0.05, 10), "office:warm": (0.05, 31)})
     got = drift.detect(r, b, strict).first()
     assert got.status == "stable" and got.magnitude is None
+
+
+def test_salted_joins_equal_plain_ones(spark):
+    from wattloom.operators.skew import salted_join
+
+    big = spark.createDataFrame([("hot", i, {"a": i}) for i in range(60)] + [("cold", 1, None), ("none", 2, None)], "k string, v int, m map<string,int>")
+    small = spark.createDataFrame([("hot", 10), ("hot", 11), ("cold", 12)], "k string, w int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = (j.withColumn("m", F.to_json("m")) for j in (salted_join(big, small, ["k"], how), big.join(small, ["k"], how)))
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    with pytest.raises(ValueError):
+        salted_join(big, small, ["k"], "full_outer")

@@ -17,6 +17,7 @@ from wattloom.config import DriftConfig
 from wattloom.operators.ranking import position_in_group
 from wattloom.operators.scope import drift_context
 from wattloom.operators.sharding import spread
+from wattloom.operators.skew import salted_join
 from wattloom.session import cut_lineage
 
 KEYS = ["tenant_id", "building_id"]
@@ -82,7 +83,7 @@ def _cell_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 PART = "tenant_id string, building_id string, s long"
 
 
-def blocked_sign_sum(points: DataFrame, value: Column, rows: int) -> DataFrame:
+def blocked_sign_sum(points: DataFrame, value: Column, rows: int, buckets: int = 64) -> DataFrame:
     """(keys, s): sum over earlier/later pairs of the sign of the rise, for groups of any size.
 
     `points`: keys, `position` (1-based), `group_rows`.
@@ -90,11 +91,11 @@ def blocked_sign_sum(points: DataFrame, value: Column, rows: int) -> DataFrame:
     p = points.withColumn("x", value)
     share = F.greatest(F.ceil(F.col("group_rows") / rows), F.lit(1))
     cuts = p.groupBy(*KEYS).agg(
-        F.percentile_approx("x", F.lit([i / 64 for i in range(1, 64)]), 10_000).alias("_cuts")
+        F.percentile_approx("x", F.lit([i / buckets for i in range(1, buckets)]), 10_000).alias("_cuts")
     ).withColumn("_cuts", F.array_sort(F.array_distinct("_cuts")))
     # a value equal to a cut gets a bucket of its own: such a bucket holds ties only
     k = F.size(F.filter("_cuts", lambda c: c < F.col("x")))
-    p = p.join(cuts, KEYS).select(
+    p = salted_join(p, cuts, KEYS).select(
         *KEYS, "position", "x",
         F.floor((F.col("position") - 1) / F.ceil(F.col("group_rows") / share)).alias("block"),
         (k * 2 + F.array_contains("_cuts", F.col("x")).cast("int")).alias("bucket"),
@@ -115,17 +116,17 @@ def tie_table(points: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def blocked_trend(ratios: DataFrame, rows: int, steps: int = 60) -> DataFrame:
+def blocked_trend(ratios: DataFrame, rows: int, steps: int = 60, buckets: int = 64) -> DataFrame:
     """The grouped statistics for buildings too large for one task."""
     points = cut_lineage(position_in_group(ratios, KEYS, "ts", ["circuit_id"]).select(*KEYS, "position", "group_rows", "ratio"))
-    s = blocked_sign_sum(points, F.col("ratio"), rows).join(tie_table(points, F.col("ratio")), KEYS)
+    s = blocked_sign_sum(points, F.col("ratio"), rows, buckets).join(tie_table(points, F.col("ratio")), KEYS)
     n = F.col("n").cast("double")
     var = (n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18
     stats = s.withColumn("z", F.when((F.col("s") == 0) | (var <= 0), 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt(var)))
-    return stats.join(_blocked_slope(points, rows, steps), KEYS).select(*KEYS, "n", "s", "z", "slope")
+    return stats.join(_blocked_slope(points, rows, steps, buckets), KEYS).select(*KEYS, "n", "s", "z", "slope")
 
 
-def _blocked_slope(points: DataFrame, rows: int, steps: int) -> DataFrame:
+def _blocked_slope(points: DataFrame, rows: int, steps: int, buckets: int) -> DataFrame:
     """Median pairwise slope: bisection on the number of pairs at or below a slope.
 
     The state is one row per building and middle rank; each step is one counting job over the points.
@@ -144,7 +145,7 @@ def _blocked_slope(points: DataFrame, rows: int, steps: int) -> DataFrame:
             asked.select("tenant_id", F.col("_b").alias("_bid"), F.col("building_id").alias("_tag"), "mid"),
             (points.tenant_id == asked.tenant_id) & (points.building_id == F.col("_bid")),
         ).select(points.tenant_id, F.col("_tag").alias("building_id"), "position", "group_rows", (F.col("ratio") - F.col("mid") * F.col("position")).alias("y"))
-        count = blocked_sign_sum(moved, F.col("y"), rows).join(tie_table(moved, F.col("y")).drop("n"), KEYS)
+        count = blocked_sign_sum(moved, F.col("y"), rows, buckets).join(tie_table(moved, F.col("y")).drop("n"), KEYS)
         all_pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
         below = (all_pairs - F.col("tied") - F.col("s")) / 2 + F.col("tied")
         state = cut_lineage(
@@ -161,10 +162,12 @@ def trend_statistics(ratios: DataFrame, cfg: DriftConfig = DriftConfig()) -> Dat
     """(keys, n, s, z, slope) for every building, by the path its size calls for."""
     sizes = ratios.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > cfg.group_rows).select(*KEYS)
-    if large.isEmpty():
+    top = sizes.agg(F.max("_n")).first()[0] or 0
+    if top <= cfg.group_rows:
         return spread(ratios, *KEYS).groupBy(*KEYS).applyInPandas(_grouped, STATS)
-    small = spread(ratios.join(large, KEYS, "left_anti"), *KEYS).groupBy(*KEYS).applyInPandas(_grouped, STATS)
-    return small.unionByName(blocked_trend(ratios.join(large, KEYS, "left_semi"), cfg.group_rows))
+    buckets = min(2048, max(8, -(-top // cfg.group_rows)))
+    small = spread(salted_join(ratios, large, KEYS, "left_anti"), *KEYS).groupBy(*KEYS).applyInPandas(_grouped, STATS)
+    return small.unionByName(blocked_trend(salted_join(ratios, large, KEYS, "left_semi"), cfg.group_rows, buckets=buckets))
 
 
 def detect(readings: DataFrame, buildings: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.config import BASE_FEATURES, DAY_TYPE_CODES, FEATURE_SCHEMA_VERSION, FeatureConfig
 from wattloom.functions.scalars import coded, flag, iso_weekday
 from wattloom.operators.ranking import position_in_group
+from wattloom.operators.skew import salted_join
 
 ROW = ("tenant_id", "circuit_id", "ts")
 
@@ -83,7 +84,7 @@ def rule_ids(features: DataFrame) -> DataFrame:
 
 
 def with_rule_ids(features: DataFrame) -> DataFrame:
-    return features.join(rule_ids(features), ["tenant_id", "building_id"], "left").withColumn(
+    return salted_join(features, rule_ids(features), ["tenant_id", "building_id"], "left").withColumn(
         "rule_ids", F.coalesce("rule_ids", F.array().cast("array<string>"))
     )
 
@@ -130,8 +131,11 @@ def scaler_arrays(scaler: DataFrame, keys: Sequence[str] = ("tenant_id", "buildi
 
 
 def apply_scaler(vectors: DataFrame, arrays: DataFrame, keys: Sequence[str] = ("tenant_id", "building_id")) -> DataFrame:
-    z = F.zip_with(F.zip_with("vector", "means", lambda x, m: x - m), "scales", lambda d, s: d / s)
-    return vectors.join(arrays, list(keys)).withColumn("scaled", z)
+    return salted_join(vectors, arrays, keys).withColumn("scaled", standardized())
+
+
+def standardized() -> Column:
+    return F.zip_with(F.zip_with("vector", "means", lambda x, m: x - m), "scales", lambda d, s: d / s)
 
 
 # --- split and windows ---------------------------------------------------------------------------

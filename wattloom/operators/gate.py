@@ -30,6 +30,7 @@ from wattloom.functions.scalars import (
 )
 from wattloom.operators.faults import outlier_issues, outlier_scores, sensor_faults
 from wattloom.operators.resample import gap_issues, hourly_grid, long_gap
+from wattloom.operators.skew import salted_join
 from wattloom.sources.presets import with_preset
 
 BATCH = ("tenant_id", "building_id", "batch_id")
@@ -206,7 +207,7 @@ def apply_issues(readings: DataFrame, intervals: DataFrame, keys: Sequence[str]
         ranks.append(F.coalesce("_circuit_rank", F.lit(0)))
     if whole is not None:
         worst = whole.groupBy(*scope).agg(F.max(status_rank("severity")).alias("_batch_rank"))
-        out = out.join(worst, list(scope), "left")
+        out = salted_join(out, worst, scope, "left")
         ranks.append(F.coalesce("_batch_rank", F.lit(0)))
     return out.withColumn("data_quality_status", rank_status(F.greatest(*ranks))).drop(
         "_issue_rank", "_circuit_rank", "_batch_rank"

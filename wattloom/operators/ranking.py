@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.skew import salted_join
+
 
 def position_in_group(df: DataFrame, keys: Sequence[str], coarse: str, ties: Sequence[str]) -> DataFrame:
     """Adds 1-based `position` by (coarse, ties) within keys, and `group_rows`.
@@ -62,7 +64,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, nam
         F.when((F.col("_n") <= 20_000) | F.lit(lo <= slack), F.col("_min")).otherwise(F.col("_lo")).alias("_lo"),
         F.when((F.col("_n") <= 20_000) | F.lit(hi >= 1 - slack), F.col("_max")).otherwise(F.col("_hi")).alias("_hi"),
     )
-    rows = df.filter(F.col(value).isNotNull()).join(bracket, keys)
+    rows = salted_join(df.filter(F.col(value).isNotNull()), bracket, keys)
     below = F.col(value) < F.col("_lo")
     counted = (
         rows.filter(F.col(value) <= F.col("_hi"))

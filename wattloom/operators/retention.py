@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalars import days_before, iso_text
+from wattloom.operators.skew import salted_join
 from wattloom.sinks.records import audit_rows
 
 BUILDING = ["tenant_id", "building_id"]
@@ -28,7 +29,7 @@ def expired(readings: DataFrame, limits: DataFrame) -> DataFrame:
 
 def retained(readings: DataFrame, limits: DataFrame) -> DataFrame:
     """Readings that stay: younger than the cutoff, or of tenants without a policy."""
-    return readings.join(limits.select("tenant_id", "cutoff"), "tenant_id", "left").filter(
+    return salted_join(readings, limits.select("tenant_id", "cutoff"), ["tenant_id"], "left").filter(
         F.col("cutoff").isNull() | (F.col("ts") >= F.col("cutoff"))
     ).drop("cutoff")
 
@@ -59,10 +60,10 @@ def erase(tables: dict[str, DataFrame], targets: DataFrame) -> tuple[dict[str, D
     """
     t = targets.select(*BUILDING).distinct()
     gone_circuits = tables["circuits"].join(t, BUILDING, "left_semi").select("tenant_id", "building_id", "circuit_id").distinct()
-    gone_findings = tables["findings"].join(t, BUILDING, "left_semi").select("building_id", "tenant_id", "finding_id")
-    out = {n: tables[n].join(t, BUILDING, "left_anti") for n in ("buildings", "circuits", "calendar", "findings")}
+    gone_findings = salted_join(tables["findings"], t, BUILDING, "left_semi").select("building_id", "tenant_id", "finding_id")
+    out = {n: salted_join(tables[n], t, BUILDING, "left_anti") for n in ("buildings", "circuits", "calendar", "findings")}
     out["readings"] = tables["readings"].join(gone_circuits, ["tenant_id", "circuit_id"], "left_anti")
-    out["feedback"] = tables["feedback"].join(gone_findings.select("finding_id"), "finding_id", "left_anti")
+    out["feedback"] = salted_join(tables["feedback"], gone_findings.select("finding_id"), ["finding_id"], "left_anti")
 
     # readings and labels are counted by their own key before they meet the erased keys
     per_circuit = tables["readings"].groupBy("tenant_id", "circuit_id").agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wattloom.config import IRRADIANCE_BANDS, LOAD_TIMING_RULES, ScenarioConfig
 from wattloom.functions.scalars import annual_factor, fixed_text, half_even, stable_id, stable_sum
+from wattloom.operators.skew import salted_join
 
 KEYS = ["tenant_id", "building_id"]
 MONEY = ("baseline_kwh", "optimized_kwh", "baseline_emissions_kg_co2", "optimized_emissions_kg_co2",
@@ -138,7 +139,7 @@ def load_shift(inp: Inputs, cfg: ScenarioConfig = ScenarioConfig()) -> DataFrame
 def setpoint_adjustment(inp: Inputs, cfg: ScenarioConfig = ScenarioConfig()) -> DataFrame:
     """Setpoint relaxed by the largest allowed step on the circuit of the first HVAC finding."""
     hvac = inp.circuits.filter("circuit_type = 'hvac'").select(*KEYS, "circuit_id").distinct()
-    lead = first_finding(justifying(inp.findings).join(hvac, [*KEYS, "circuit_id"], "left_semi"))
+    lead = first_finding(salted_join(justifying(inp.findings), hvac, [*KEYS, "circuit_id"], "left_semi"))
     df = inp.buildings.join(lead, KEYS, "left").join(circuit_totals(inp.readings, cfg), [*KEYS, "circuit_id"], "left")
     total = F.col("total_kwh")
     share = min(cfg.per_degree * cfg.max_delta_c, 1.0)
@@ -290,7 +291,7 @@ def justifications(scenarios: DataFrame, findings: DataFrame) -> DataFrame:
     have any number of live findings."""
     ok = scenarios.filter("outcome = 'scenario'")
     single = ok.filter("scenario_model <> 'solar_offset_v1'").select(*KEYS, "scenario_model", F.col("lead_finding_id").alias("finding_id"))
-    solar = justifying(findings).join(ok.filter("scenario_model = 'solar_offset_v1'").select(*KEYS), KEYS, "left_semi").select(
+    solar = salted_join(justifying(findings), ok.filter("scenario_model = 'solar_offset_v1'").select(*KEYS), KEYS, "left_semi").select(
         *KEYS, F.lit("solar_offset_v1").alias("scenario_model"), "finding_id"
     )
     return single.unionByName(solar)
@@ -331,7 +332,7 @@ def opt_in_prior(tenants: DataFrame, readings: DataFrame, buildings: DataFrame,
     """Median off-peak share over consenting tenants for one building type and zone (one row)."""
     consent = tenants.filter("cross_tenant_aggregate_opt_in").select("tenant_id")
     kind = buildings.filter((F.col("building_type") == building_type) & (F.col("climate_zone") == zone)).select(*KEYS)
-    rows = readings.join(consent, "tenant_id", "left_semi").join(kind, KEYS, "left_semi")
+    rows = salted_join(salted_join(readings, consent, ["tenant_id"], "left_semi"), kind, KEYS, "left_semi")
     return off_peak_share(rows, ["tenant_id"]).agg(F.median("ratio").alias("prior"), F.count("ratio").alias("n_tenants"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.config import DAY_TYPE_CODES, LAYERS, STATUSES
+from wattloom.operators.skew import salted_join
 
 
 def tenant_scope(df: DataFrame, tenant: str) -> DataFrame:
@@ -68,7 +69,7 @@ def building_context(readings: DataFrame, buildings: DataFrame) -> DataFrame:
         F.col("occupancy_schedule").alias("_sched"),
     )
     return (
-        readings.join(ctx, ["tenant_id", "building_id"], "left")
+        salted_join(readings, ctx, ["tenant_id", "building_id"], "left")
         .withColumn(
             "building",
             F.struct(

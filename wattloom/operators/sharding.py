@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.operators.skew import salted_join
+
 KEYS = ["tenant_id", "building_id"]
 
 
@@ -32,7 +34,7 @@ def shard_counts(rows: DataFrame, shard_rows: int) -> DataFrame:
 
 def shard_rows(rows: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
     """Adds `shard` from a hash of `by`; rows that agree in `by` stay together."""
-    return rows.join(counts.select(*KEYS, "shards"), KEYS).withColumn(
+    return salted_join(rows, counts.select(*KEYS, "shards"), KEYS).withColumn(
         "shard", F.pmod(F.xxhash64(*by), F.col("shards")).cast("int")
     ).drop("shards")
 

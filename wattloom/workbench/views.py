@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.session import configure
+
 TYPE_OF = {"click": "hvac", "view": "plug_load", "purchase": "main_feed", "signup": "lighting", "error": "unlisted"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def plain(df: DataFrame) -> DataFrame:
