@@ -10,12 +10,15 @@ from wattloom.sinks import messages
 from wattloom.workbench import feature_checks, sql, views
 from wattloom.workbench.views import plain
 
-END = F.lit("2001-01-01 00:00:00").cast("timestamp")
+def _end():
+    return F.lit("2001-01-01 00:00:00").cast("timestamp")
+
+
 WIDE = RollbackConfig(days=1500)
 
 
 def false_positive_rates(spark, sf_dir):
-    r = governance.false_positive_rates(views.labels(spark, sf_dir), views.findings(spark, sf_dir), *governance.rollback_window(END, WIDE))
+    r = governance.false_positive_rates(views.labels(spark, sf_dir), views.findings(spark, sf_dir), *governance.rollback_window(_end(), WIDE))
     return r.select("building_id", "n_confirmed", "n_dismissed", F.round("false_positive_rate", 6).alias("false_positive_rate"))
 
 
@@ -135,7 +138,7 @@ def champion_versions(spark, sf_dir):
 
 
 def _rollback(spark, sf_dir):
-    rates = governance.false_positive_rates(views.labels(spark, sf_dir), views.findings(spark, sf_dir), *governance.rollback_window(END, WIDE))
+    rates = governance.false_positive_rates(views.labels(spark, sf_dir), views.findings(spark, sf_dir), *governance.rollback_window(_end(), WIDE))
     return governance.rollback_monitor(rates, governance.champions(*_versions(spark, sf_dir)), WIDE)
 
 

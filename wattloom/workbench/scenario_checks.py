@@ -9,7 +9,8 @@ from wattloom.session import cut_lineage
 from wattloom.workbench import sql, views
 from wattloom.workbench.views import plain
 
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp")
+def _as_of():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def _findings(spark, sf_dir):
@@ -18,7 +19,7 @@ def _findings(spark, sf_dir):
 
 
 def _inputs(spark, sf_dir):
-    r = scenarios.lookback(views.readings(spark, sf_dir), AS_OF)
+    r = scenarios.lookback(views.readings(spark, sf_dir), _as_of())
     return scenarios.Inputs(views.buildings(spark, sf_dir), views.circuits(spark, sf_dir), _findings(spark, sf_dir), r)
 
 
@@ -62,7 +63,7 @@ def scenario_outcomes(spark, sf_dir):
 
 
 def scenario_incidents(spark, sf_dir):
-    i = scenarios.incidents(_checked(spark, sf_dir), AS_OF)
+    i = scenarios.incidents(_checked(spark, sf_dir), _as_of())
     return plain(i.select("tenant_id", "building_id", "scenario_model", "incident_type", "severity", "message", "metadata", "created_at"))
 
 

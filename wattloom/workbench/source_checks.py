@@ -13,7 +13,8 @@ from wattloom.sources import bounds, calendars, meters, presets, rules
 from wattloom.workbench import gate_checks, sql, views
 from wattloom.workbench.views import plain
 
-AS_OF = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def _as_of():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def meter_csv_lines(spark, sf_dir):
@@ -160,12 +161,12 @@ def quality_alerts(spark, sf_dir):
 
 
 def data_arrived_events(spark, sf_dir):
-    out = messages.data_arrived(_rollups(spark, sf_dir)[0], AS_OF)
+    out = messages.data_arrived(_rollups(spark, sf_dir)[0], _as_of())
     return out.select("key", F.regexp_replace("value", '"event_id":"[0-9a-f]+"', '"event_id":"*"').alias("value"))
 
 
 def batch_lookup(spark, sf_dir):
-    b = records.batch_records(_rollups(spark, sf_dir)[0], AS_OF)
+    b = records.batch_records(_rollups(spark, sf_dir)[0], _as_of())
     return plain(scope.lookup(b, "t0", batch_id="m7"))
 
 
