@@ -126,21 +126,40 @@ def dropout_issues(
 ) -> DataFrame:
     """Gaps between consecutive raw stamps above the tolerated multiple of the expected interval.
 
-    Two stamps further apart than the tolerated gap cannot share a slot of that width. Keeping
-    only the first and last stamp of each slot therefore finds the same gaps, and a busy meter
-    reaches the window as a bounded number of rows.
+    See `raw_cells` for why first and last stamps suffice.
     """
-    limit = allowed_gap_minutes(source, cfg)
-    width = (limit * F.lit(60_000_000)).cast("long")
-    slots = (
-        raw.filter(F.col("ts").isNotNull())
-        .groupBy(*keys, source, F.floor(F.unix_micros("ts") / width).alias("_slot"))
-        .agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+    return dropouts_of_cells(raw_cells(raw, _series(keys, source), cfg, source), keys, cfg, source)
+
+
+def _series(keys: Sequence[str], source: str) -> list[str]:
+    return [*keys] if source in keys else [*keys, source]
+
+
+def raw_cells(
+    raw: DataFrame, series: Sequence[str], cfg: GateConfig = GateConfig(), source: str = "ingestion_source"
+) -> DataFrame:
+    """Raw rows summed into cells that divide hours and are no wider than the tolerated gap.
+
+    Two stamps further apart than the tolerated gap cannot share a cell, so the first and last stamp
+    of each cell show the same gaps as all stamps do; and hours are sums of cells. One scan and one
+    shuffle of the raw rows thus serve both, and a busy meter leaves them as a bounded number of rows.
+    """
+    width = (allowed_gap_minutes(source, cfg) * F.lit(60_000_000)).cast("long")
+    return raw.filter(F.col("ts").isNotNull()).groupBy(
+        *series, F.date_trunc("hour", "ts").alias("hour"), F.floor(F.unix_micros("ts") / width).alias("slot")
+    ).agg(
+        F.sum("kwh").alias("kwh"), F.count(F.lit(1)).alias("raw_rows"), F.min("ts").alias("first_raw"), F.max("ts").alias("last_raw")
     )
-    w = Window.partitionBy(*keys, source).orderBy("_slot")
+
+
+def dropouts_of_cells(
+    cells: DataFrame, keys: Sequence[str], cfg: GateConfig = GateConfig(), source: str = "ingestion_source"
+) -> DataFrame:
+    limit = allowed_gap_minutes(source, cfg)
+    w = Window.partitionBy(*_series(keys, source)).orderBy("first_raw")
     gaps = (
-        slots.withColumn("ts_start", F.lag("_hi").over(w))
-        .withColumn("_minutes", minutes_between("ts_start", "_lo"))
+        cells.withColumn("ts_start", F.lag("last_raw").over(w))
+        .withColumn("_minutes", minutes_between("ts_start", "first_raw"))
         .filter(F.col("_minutes") > limit)
     )
     return gaps.select(
@@ -148,7 +167,7 @@ def dropout_issues(
         F.lit("dropout").alias("issue_type"),
         F.lit("degraded").alias("severity"),
         "ts_start",
-        F.col("_lo").alias("ts_end"),
+        F.col("first_raw").alias("ts_end"),
         F.concat(
             F.lit("Reporting gap of "), fixed_text("_minutes", 0), F.lit(" min exceeds "),
             fixed_text(limit, 0), F.lit(f" min ({cfg.dropout_factor}x expected "),
@@ -158,6 +177,7 @@ def dropout_issues(
 
 
 def sensor_faults(
-    readings: DataFrame, raw: DataFrame, keys: Sequence[str], cfg: GateConfig = GateConfig()
+    readings: DataFrame, cells: DataFrame, keys: Sequence[str], cfg: GateConfig = GateConfig()
 ) -> DataFrame:
-    return stuck_issues(readings, keys, cfg).unionByName(dropout_issues(raw, keys, cfg))
+    """Stuck runs of the hourly readings and dropouts of the raw cells."""
+    return stuck_issues(readings, keys, cfg).unionByName(dropouts_of_cells(cells, keys, cfg))

@@ -1,6 +1,6 @@
 """Data-quality gate over many batches at once.
 
-Plan: raw rows -> hourly sums -> grid -> per-row checks in one projection; only interval issues
+Plan: raw rows -> cells -> hourly sums -> grid -> per-row checks in one projection; only interval issues
 (stuck, dropout) and whole-batch issues come back through joins. Interval issues are spread to
 the hours they touch, reduced to the worst severity per circuit-hour, and joined by equality, so
 no range join is planned and no circuit gathers in one task.
@@ -28,8 +28,8 @@ from wattloom.functions.scalars import (
     to_number,
     to_utc,
 )
-from wattloom.operators.faults import outlier_issues, outlier_scores, sensor_faults
-from wattloom.operators.resample import gap_issues, hourly_grid, long_gap
+from wattloom.operators.faults import outlier_issues, outlier_scores, raw_cells, sensor_faults
+from wattloom.operators.resample import gap_issues, grid_of_sums, long_gap, sums_of_cells
 from wattloom.operators.skew import salted_join
 from wattloom.sources.presets import with_preset
 
@@ -298,7 +298,9 @@ def quality_gate(
     """
     raw = raw_stamps(raw)
     series = [*KEYS, "circuit_type", "ingestion_source"]
-    grid = hourly_grid(raw, series, cfg)
+    # cells are few per circuit; placed by circuit once, they serve hours, windows and dropouts in place
+    cells = raw_cells(raw, series, cfg).repartition(*KEYS)
+    grid = grid_of_sums(sums_of_cells(cells, series), series, cfg)
     scored = outlier_scores(grid, series, cfg)
     bounded = with_bounds(scored, bounds)
     rank = F.greatest(
@@ -308,7 +310,7 @@ def quality_gate(
     readings = bounded.withColumn("data_quality_status", rank_status(rank))
 
     ratios = fill_ratio(grid)
-    faults = sensor_faults(grid, raw, series, cfg)
+    faults = sensor_faults(grid, cells, series, cfg)
     degrade = fill_issues(ratios, cfg)
     whole = degrade
     if batch_issues is not None:

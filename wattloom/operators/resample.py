@@ -28,13 +28,23 @@ def hourly_sums(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def sums_of_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`hourly_sums` from cells that divide hours (see `faults.raw_cells`)."""
+    return cells.groupBy(*keys, "hour").agg(
+        stable_sum("kwh").alias("kwh"), F.sum("raw_rows").alias("raw_rows"), F.max("last_raw").alias("last_raw")
+    ).withColumnRenamed("hour", "ts")
+
+
 def hourly_grid(raw: DataFrame, keys: Sequence[str], cfg: GateConfig = GateConfig()) -> DataFrame:
     """Dense hourly series per key with gap bounds and optional linear fill of short gaps.
 
     Adds `filled`, and for hours without an observation `gap_start`, `gap_end` (exclusive) and
     `gap_minutes`. Short gaps are filled only between two observations; long gaps stay empty.
     """
-    sums = hourly_sums(raw, keys)
+    return grid_of_sums(hourly_sums(raw, keys), keys, cfg)
+
+
+def grid_of_sums(sums: DataFrame, keys: Sequence[str], cfg: GateConfig = GateConfig()) -> DataFrame:
     group = Window.partitionBy(*keys)
     by_hour = group.orderBy("ts")
 
