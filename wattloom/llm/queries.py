@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import mixing
+from wattloom.llm import mixing, tokens
 from wattloom.llm.common import table
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_digests(tokens.write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = mixing.with_keys(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mixing.mix(keyed).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,5 +40,5 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op4_mixing": op4_mixing}
+QUERIES = {"op3_tokens": op3_tokens, "op4_mixing": op4_mixing}
 ORACLES = {"op4_mixing": OP4_SQL}
