@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import mixing, tokens
+from wattloom.llm import language, mixing, tokens
 from wattloom.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"), 5, 0)
+    model = language.learn(docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & ~held))
+    scored = language.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(tokens.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -40,5 +48,5 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op3_tokens": op3_tokens, "op4_mixing": op4_mixing}
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing}
 ORACLES = {"op4_mixing": OP4_SQL}
