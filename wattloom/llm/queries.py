@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import language, mixing, tokens
+from wattloom.llm import language, mixing, tokens, toxicity
 from wattloom.llm.common import table
 
 
@@ -26,6 +26,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(keyed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The model that labels outside the held-out ids give."""
+    labels = table(spark, sf_dir, "labels").filter(~language.held_out(F.col("doc_id"), 4, 2))
+    return toxicity.learn(docs, labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 OP4_SQL = r"""
 with d as (
   select doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
@@ -48,5 +60,5 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing}
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity}
 ORACLES = {"op4_mixing": OP4_SQL}
