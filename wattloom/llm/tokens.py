@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 
@@ -31,11 +30,11 @@ from wattloom.llm.common import settle, small_join
 BLOCK, LANES = 1024, 32
 PERCENTILE = 90
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
-CACHE = 600_000  # words of which a Python worker remembers the ids
+CACHE = 800_000  # words of which a Python worker remembers the ids
 END_ID = 2
 SEGMENTS = "shard int, position long, n long, block_starts array<int>, blocks binary, doc_ids array<long>, doc_ends array<long>"
 HEAD = struct.Struct("<IIHBB")
-BROKEN = re.compile(r" (?=\s)")
+FIRST = "\0"
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, list[int]]:
@@ -101,8 +100,8 @@ def unpack(blocks: bytes, starts) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts. Byte-level vocabularies never join a word with the space before the next one, so texts are cut there and the ids of
-    a word are looked up; what is not known yet is encoded in one batch. Other vocabularies get whole texts."""
+    """Ids of whole texts. Byte-level vocabularies never join a word with the space before the next one, nor with a lone line end, so texts are
+    cut there and the ids of a word are looked up; what is not known yet is encoded in one call. Other vocabularies get whole texts."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,42 +115,61 @@ class Encoder:
         pre = d.get("pre_tokenizer") or {}
         self.by_word = not d.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # words that more than one batch had
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """One call for all pieces; the library says to which piece an id belongs."""
-        e = self.tokenizer.encode([" " + p for p in pieces], is_pretokenized=True, add_special_tokens=False)
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, in one call for all; the library says to which piece an id belongs."""
+        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         data = np.array(e.ids, "<u4").tobytes()
         ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), side="right")).tolist()
-        self.known.update(zip(pieces, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        return list(map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
+
+    def _cut(self, text: str) -> list[str]:
+        """Keys of a text's words: a word behind a space as it is, a word that begins a text or line behind FIRST, a line end by itself."""
+        if any(x in text for x in ("\0", "  ", "\n\n", " \n", "\n ")) or text[:1].isspace() or text[-1:].isspace():
+            return self._whole_spaces(text)
+        return (FIRST + text.replace("\n", " \n " + FIRST)).split(" ")
+
+    def _whole_spaces(self, text: str) -> list[str]:
+        """As `_cut`, for texts with runs of white space: a piece that begins with white space, or is empty, belongs to the one before."""
+        head, *rest = text.split(" ")
+        parts = [FIRST + head]
+        for p in rest:
+            if not p or p[0].isspace() or p[0] == FIRST:
+                parts[-1] += " " + p
+            else:
+                parts.append(p)
+        return parts
+
+    def _learn(self, words: set[str]) -> None:
+        stems = {w: w[:-1] for w in words if w[-1] in ".,"}
+        stems = {w: s for w, s in stems.items() if s.isalpha()}
+        new = list(words.difference(stems).union(s for s in stems.values() if s not in self.known))
+        self.known.update(zip(new, self._each([w[1:] if w[0] == FIRST else w if w == "\n" else " " + w for w in new])))
+        stop, comma = self._each([".", ","])
+        self.known.update({w: self.known[s] + (stop if w[-1] == "." else comma) for w, s in stems.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._ids(texts)
-        cut = []
-        for t in texts:
-            parts = t.split(" ")
-            # a piece that begins with white space, or is empty, belongs to the one before
-            if "" in parts or BROKEN.search(t):
-                joined = parts[:1]
-                for p in parts[1:]:
-                    if not p or p[0].isspace():
-                        joined[-1] += " " + p
-                    else:
-                        joined.append(p)
-                parts = joined
-            cut.append(parts)
-        heads = self._ids([parts[0] for parts in cut])
-        rests = [parts[1:] for parts in cut]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*rests).difference(self.known)
+        cut = list(map(self._cut, texts))
+        words = set().union(*cut)
+        odd = {w for w in words if w.lstrip(FIRST)[:1].isspace() and w != "\n"}
+        if odd:  # other white space than single spaces and line ends
+            cut = [parts if odd.isdisjoint(parts) else self._whole_spaces(t) for t, parts in zip(texts, cut)]
+            words = set().union(*cut)
+        if len(self.known) > CACHE:  # words that came once are forgotten first
+            self.known = {k: self.known[k] for k in self.again} if len(self.again) < CACHE // 2 else {}
+            self.again = set()
+        new = words.difference(self.known)
+        self.again |= words - new
         if new:
-            self._learn(list(new))
+            self._learn(new)
         find = self.known.__getitem__
-        return [h + b"".join(map(find, rest)) for h, rest in zip(heads, rests)]
+        return [b"".join(map(find, parts)) for parts in cut]
 
 
 @functools.lru_cache(maxsize=2)
