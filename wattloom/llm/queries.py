@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import language, mixing, tokens, toxicity
+from wattloom.llm import language, mixing, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -38,6 +38,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = r"""
+with v as (
+  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as r from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (
+  select q.vec_id as query_id, c.vec_id, q.r, c.r as cr, list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)])::bigint as score
+  from v q join v c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by r order by score desc, vec_id, cr) as rank from p) where rank <= 5
+"""
+
+
 OP4_SQL = r"""
 with d as (
   select doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
@@ -60,5 +76,5 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity}
-ORACLES = {"op4_mixing": OP4_SQL}
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk}
+ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL}
