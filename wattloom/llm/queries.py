@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import language, mixing, tokens, topk, toxicity
+from wattloom.llm import decontaminate, language, mixing, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 OP7_SQL = r"""
 with v as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as r from embeddings
@@ -76,5 +81,5 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk}
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL}
