@@ -2,11 +2,10 @@
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. All n-grams of the items are counted over the whole corpus; an
 item's seeds are those not much more frequent than its rarer quarter, so that an item that leaked often still has seeds. Where a text shares
-enough seeds with an item on nearby diagonals, the stretch around them is aligned with the item word by word (match 1, mismatch and gap -1). The score is the
+seeds with an item on nearby diagonals, the stretch around them is aligned with the item word by word (match 1, mismatch and gap -1). The score is the
 best local alignment over the item's words; at `THRESHOLD` or more the text holds the item, be it exact, edited or paraphrased.
 
-How many seeds are enough follows from the threshold: an alignment of that score keeps at least `L / 4 - 2` n-grams of an item of L words, less those
-that are no seeds; one is always asked for. Items are taken in blocks of `ITEMS`, so that the index of a block, which is broadcast, is bounded; every block
+One seed is enough for an alignment, since edits all over a passage may leave no more. Items are taken in blocks of `ITEMS`, so that the index of a block, which is broadcast, is bounded; every block
 meets all texts in one pass, without a shuffle of texts.
 
 Defined results: null and empty texts, and texts without a hit, are clean with score 0 and no item. Items with fewer than three words are not searched.
@@ -25,7 +24,7 @@ from wattloom.llm.words import ALNUM, grams, slices, text_of, word_hashes
 
 N = 3
 ITEMS = 20_000
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 TABLE_BITS = 22
 RESULTS = ("contaminated boolean", "item_id long", "overlap double", "first_word long", "last_word long")
 
@@ -91,13 +90,10 @@ class Index:
         """Keeps the seeds; count is by key."""
         own = count[np.searchsorted(self.keys, self.all)]
         n = len(self.items)
-        limit, total = np.zeros(n), np.bincount(self.owner, minlength=n)
+        limit = np.zeros(n)
         for i, c in zip(*_by_item(self.owner, own)):
             limit[i] = 2 * np.quantile(c, 0.25) + 2
         seed = own <= limit[self.owner]
-        lost = total - np.bincount(self.owner[seed], minlength=n)
-        words = np.array([len(x) for x in self.items])
-        self.needed = np.maximum(1, words // 4 - 2 - lost)
         self.all, self.owner, self.place = self.all[seed], self.owner[seed], self.place[seed]
         self.keys, first = np.unique(self.all, return_index=True)
         self.first = np.append(first, len(self.all))
@@ -135,11 +131,8 @@ def _candidates(index: Index, h: np.ndarray, first: np.ndarray):
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(text))
     group = np.cumsum(new) - 1
-    # different n-grams of the item that the stretch has
-    pairs = np.unique(np.stack([group, place]), axis=1)[0]
-    have = np.bincount(pairs, minlength=len(begins))
     out = []
-    for k in np.flatnonzero(have >= index.needed[item[begins]]):
+    for k in range(len(begins)):
         i, t = int(item[begins[k]]), int(text[begins[k]])
         low, high = diagonal[begins[k]] - slack[i], diagonal[ends[k] - 1] + size[i] + slack[i]
         out.append((t, i, max(int(low), int(first[t])), min(int(high), int(first[t + 1]))))
