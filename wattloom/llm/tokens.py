@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from wattloom.llm.common import settle, small_join
 BLOCK, LANES = 1024, 32
 PERCENTILE = 90
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
-CACHE = 800_000  # words of which a Python worker remembers the ids
+CACHE = 1_000_000  # words of which a Python worker remembers the ids
 END_ID = 2
 SEGMENTS = "shard int, position long, n long, block_starts array<int>, blocks binary, doc_ids array<long>, doc_ends array<long>"
 HEAD = struct.Struct("<IIHBB")
@@ -101,7 +102,8 @@ def unpack(blocks: bytes, starts) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. Byte-level vocabularies never join a word with the space before the next one, nor with a lone line end, so texts are
-    cut there and the ids of a word are looked up; what is not known yet is encoded in one call. Other vocabularies get whole texts."""
+    cut there and the ids of a word are looked up; what is not known yet is encoded in one call. A word behind a space is its own key, one that begins
+    a text or line stands behind FIRST, a line end is a word. Other vocabularies get whole texts."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,49 +129,74 @@ class Encoder:
         ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), side="right")).tolist()
         return list(map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
-    def _cut(self, text: str) -> list[str]:
-        """Keys of a text's words: a word behind a space as it is, a word that begins a text or line behind FIRST, a line end by itself."""
-        if any(x in text for x in ("\0", "  ", "\n\n", " \n", "\n ")) or text[:1].isspace() or text[-1:].isspace():
-            return self._whole_spaces(text)
-        return (FIRST + text.replace("\n", " \n " + FIRST)).split(" ")
-
-    def _whole_spaces(self, text: str) -> list[str]:
-        """As `_cut`, for texts with runs of white space: a piece that begins with white space, or is empty, belongs to the one before."""
-        head, *rest = text.split(" ")
-        parts = [FIRST + head]
-        for p in rest:
-            if not p or p[0].isspace() or p[0] == FIRST:
-                parts[-1] += " " + p
-            else:
-                parts.append(p)
-        return parts
-
-    def _learn(self, words: set[str]) -> None:
-        stems = {w: w[:-1] for w in words if w[-1] in ".,"}
+    def _learn(self, words: list[str]) -> None:
+        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",")}
         stems = {w: s for w, s in stems.items() if s.isalpha()}
-        new = list(words.difference(stems).union(s for s in stems.values() if s not in self.known))
-        self.known.update(zip(new, self._each([w[1:] if w[0] == FIRST else w if w == "\n" else " " + w for w in new])))
+        new = list(set(words).difference(stems).union(s for s in stems.values() if s not in self.known))
+        self.known.update(zip(new, self._each([w[2:] if w[:2] == FIRST * 2 else w[1:] if w[:1] == FIRST else w if w == "\n" else " " + w for w in new])))
         stop, comma = self._each([".", ","])
         self.known.update({w: self.known[s] + (stop if w[-1] == "." else comma) for w, s in stems.items()})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _look_up(self, words: pa.DictionaryArray, names: list[str], stops: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts from the keys of their words; stops says where each text's words end."""
+        new = [w for w in names if w not in self.known]
+        self.again.update(set(names).difference(new))
+        if new:
+            self._learn(new)
+        own = list(map(self.known.__getitem__, names))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start = np.cumsum(size) - size
+        each = words.indices.to_numpy()
+        n = size[each]
+        stop = np.cumsum(n)
+        ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(start[each] - (stop - n), n) + np.arange(n.sum())]
+        return np.split(ids, np.append(0, stop)[stops[:-1]])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return self._ids(texts)
-        cut = list(map(self._cut, texts))
-        words = set().union(*cut)
-        odd = {w for w in words if w.lstrip(FIRST)[:1].isspace() and w != "\n"}
-        if odd:  # other white space than single spaces and line ends
-            cut = [parts if odd.isdisjoint(parts) else self._whole_spaces(t) for t, parts in zip(texts, cut)]
-            words = set().union(*cut)
+            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
         if len(self.known) > CACHE:  # words that came once are forgotten first
             self.known = {k: self.known[k] for k in self.again} if len(self.again) < CACHE // 2 else {}
             self.again = set()
-        new = words.difference(self.known)
-        self.again |= words - new
-        if new:
-            self._learn(new)
-        find = self.known.__getitem__
-        return [b"".join(map(find, parts)) for parts in cut]
+        plain = [i for i, t in enumerate(texts) if not _spaced(t)]
+        while True:
+            cut = pc.split_pattern(pa.array([FIRST + texts[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string()), " ")
+            words = cut.flatten().dictionary_encode()
+            names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            odd = {w for w in names if w not in self.known and w != "\n" and w.removeprefix(FIRST)[:1].isspace()}
+            if not odd:
+                break
+            # other white space than single spaces and line ends
+            plain = [i for i, parts in zip(plain, cut.to_pylist()) if odd.isdisjoint(parts)]
+        out: list = [None] * len(texts)
+        if plain:
+            for i, ids in zip(plain, self._look_up(words, names, cut.offsets.to_numpy()[1:])):
+                out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            cut = pa.array([_whole_spaces(texts[i]) for i in rest], pa.large_list(pa.large_string()))
+            words = cut.flatten().dictionary_encode()
+            for i, ids in zip(rest, self._look_up(words, words.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.offsets.to_numpy()[1:])):
+                out[i] = ids
+        return out
+
+
+def _spaced(text: str) -> bool:
+    """Whether a text has runs of white space, or white space at an end."""
+    return any(x in text for x in ("\0", "  ", "\n\n", " \n", "\n ")) or text[:1].isspace() or text[-1:].isspace()
+
+
+def _whole_spaces(text: str) -> list[str]:
+    """Keys of a text with runs of white space: a piece that begins with white space, or is empty, belongs to the one before. The first has two marks,
+    since it may begin with white space."""
+    head, *rest = text.split(" ")
+    parts = [FIRST * 2 + head]
+    for p in rest:
+        if not p or p[0].isspace() or p[0] == FIRST:
+            parts[-1] += " " + p
+        else:
+            parts.append(p)
+    return parts
 
 
 @functools.lru_cache(maxsize=2)
@@ -183,16 +210,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _few(batch: pa.RecordBatch, most: int = 1 << 22):
+def _few(batches, most: int = 6 << 20):
     """Runs of rows with about `most` characters of text."""
     ids, texts, size = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        ids.append(i)
-        texts.append(t or "")
-        size += len(texts[-1])
-        if size > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(t or "")
+            size += len(texts[-1])
+            if size > most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -203,27 +231,26 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed file of some MB
     shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def segments(batches):
         shard, encode = TaskContext.get().partitionId(), encoder(vocabulary.value).encode
         position, size, ids, ends, data = 0, 0, [], [], []
 
         def segment():
-            blocks, starts = pack(np.frombuffer(b"".join(data), "<u4"))
+            blocks, starts = pack(np.concatenate(data))
             row = {"shard": shard, "position": position, "n": size, "block_starts": starts, "blocks": blocks, "doc_ids": ids, "doc_ends": ends}
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
-        for batch in batches:
-            for names, texts in _few(batch):
-                for i, d in zip(names, encode(texts)):
-                    size += len(d) // 4 + 1
-                    ids.append(i)
-                    ends.append(size)
-                    data += (d, end)
-                    if size >= SEGMENT:
-                        yield segment()
-                        position, size, ids, ends, data = position + size, 0, [], [], []
+        for names, texts in _few(batches):
+            for i, d in zip(names, encode(texts)):
+                size += len(d) + 1
+                ids.append(i)
+                ends.append(size)
+                data += (d, end)
+                if size >= SEGMENT:
+                    yield segment()
+                    position, size, ids, ends, data = position + size, 0, [], [], []
         if ids:
             yield segment()
 
