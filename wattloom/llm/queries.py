@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, language, mixing, tokens, topk, toxicity
+from wattloom.llm import decontaminate, jaccard, language, mixing, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP7_SQL = r"""
 with v as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as r from embeddings
@@ -81,5 +85,19 @@ select doc_id, size::bigint as size, s::bigint as source_size, target,
   (size * (epochs + case when before < rest and before + size / 2 <= rest then 1 else 0 end))::bigint as taken from r
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate}
-ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL}
+OP10_SQL = r"""
+with recursive w as materialized (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from w),
+t as materialized (select r, len(s) as n, unnest(s) as x from s),
+e as materialized (
+  select a.r as a, b.r as b from t a join t b on a.x = b.x and a.r <> b.r group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select r, r as o from s union select reach.r, e.b from reach join e on reach.o = e.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id
+from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc_id, s.s
+"""
+
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op10_jaccard": op10_jaccard}
+ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}
