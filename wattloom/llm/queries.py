@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, jaccard, language, mixing, tokens, topk, toxicity
+from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 OP7_SQL = r"""
 with v as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as r from embeddings
@@ -99,5 +103,5 @@ select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id
 from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc_id, s.s
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}

@@ -31,7 +31,7 @@ from wattloom.llm.common import settle, small_join
 BLOCK, LANES = 1024, 32
 PERCENTILE = 90
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
-CACHE = 1_000_000  # words of which a Python worker remembers the ids
+CACHE = 700_000  # words of which a Python worker remembers the ids
 END_ID = 2
 SEGMENTS = "shard int, position long, n long, block_starts array<int>, blocks binary, doc_ids array<long>, doc_ends array<long>"
 HEAD = struct.Struct("<IIHBB")
@@ -210,7 +210,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _few(batches, most: int = 6 << 20):
+def _few(batches, most: int = 4 << 20):
     """Runs of rows with about `most` characters of text."""
     ids, texts, size = [], [], 0
     for batch in batches:
