@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, tokens, topk, toxicity
+from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, pii, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(tokens.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -103,5 +107,5 @@ select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id
 from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc_id, s.s
 """
 
-QUERIES = {"op1_language": op1_language, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_language": op1_language, "op2_pii": op2_pii, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}

@@ -30,12 +30,23 @@ def running_sums(lengths: Column) -> Column:
     return let(lengths, lambda a: F.when(F.size(a) > CHUNK, chunked(a)).otherwise(listed(a, F.lit(0).cast("long"))))
 
 
-def matches(text: Column, pattern: Column) -> Column:
-    """array<struct<start, end, found>> of all leftmost matches that do not overlap, in code points, end exclusive."""
+def matches(text: Column, pattern: Column, near: int = 0) -> Column:
+    """array<struct<start, end, found>> of all leftmost matches that do not overlap, in code points, end exclusive.
+
+    With `near`, also `before` and `after`: that many characters at most between a match and its neighbours.
+    """
 
     def placed(between: Column, found: Column) -> Column:
         lengths = F.zip_with(between, found, lambda b, m: (F.length(b) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
-        made = let(running_sums(lengths), lambda at: F.transform(found, lambda m, i: F.struct((F.get(at, i) + F.length(F.get(between, i))).alias("start"), m.alias("found"))))
-        return F.transform(made, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["found"])).alias("end"), m["found"].alias("found")))
+
+        def one(at: Column):
+            def span(m: Column, i: Column) -> Column:
+                start = F.get(at, i) + F.length(F.get(between, i))
+                sides = [F.substring(F.get(between, i), -near, near).alias("before"), F.substring(F.get(between, i + 1), 1, near).alias("after")] if near else []
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"), *sides)
+
+            return span
+
+        return let(running_sums(lengths), lambda at: F.transform(found, one(at)))
 
     return let(F.split(text, pattern, -1), lambda between: let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: placed(between, found)))
