@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, pii, tokens, topk, toxicity
+from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, pii, substrings, tokens, topk, toxicity
 from wattloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(keyed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """The model that labels outside the held-out ids give."""
     labels = table(spark, sf_dir, "labels").filter(~language.held_out(F.col("doc_id"), 4, 2))
@@ -107,5 +111,5 @@ select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id
 from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc_id, s.s
 """
 
-QUERIES = {"op1_language": op1_language, "op2_pii": op2_pii, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_language": op1_language, "op2_pii": op2_pii, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op5_substrings": op5_substrings, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
 ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}

@@ -33,6 +33,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class Sums:
+    """Polynomial hashes of any stretch of numbers, from running sums."""
+
+    def __init__(self, values: np.ndarray):
+        n = 1 << max(16, len(values).bit_length() + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(_BASE, n)[: len(values)], out=self.total[1:])
+        self.undo = _powers(_INVERSE, n)
+
+    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[begin]) * self.undo[begin]
+
+
 def _pieces(data: bytes):
     """A long text in pieces that end at a space."""
     at = 0
@@ -57,10 +70,7 @@ def word_hashes(texts: list, keep: np.ndarray = NO_SPACE, lower: bool = False) -
         word = keep[data]
         edge = np.flatnonzero(np.diff(word, prepend=False))
         starts, ends = edge[::2], edge[1::2]
-        n = 1 << max(16, len(data).bit_length())
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(np.where(word, data.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _powers(_BASE, n)[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts]
+        h = Sums(np.where(word, data.astype(np.uint64) + np.uint64(1), np.uint64(0))).between(starts, ends)
         hashes.append(mix(h + (ends - starts).astype(np.uint64) * _STEP))
         piece = np.searchsorted(np.cumsum([len(d) + 1 for _, d in held]), starts, side="right")
         np.add(count, np.bincount(np.array([i for i, _ in held])[piece] + 1, minlength=len(count)), out=count)
