@@ -1,26 +1,59 @@
-"""The corpus pipeline: documents through its stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: documents through its stages, each written as Parquet and read again as the next one's documents.
+
+Every stage takes all documents that its predecessor kept and returns rows with the columns of documents, but for the last, which returns what it wrote.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattloom.llm import mixing
+from wattloom.llm import decontaminate, jaccard, language, mixing, tokens, toxicity
 from wattloom.llm.common import settle, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model, learned from the labels of these documents, predicts toxic."""
+    labels = table(spark, sf_dir, "labels").filter(~language.held_out(F.col("doc_id"), 4, 2))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.filter(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar texts: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's share takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mixing", mix_to_weights)]
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of the mix, read back from the token files."""
+    return tokens.read_digests(tokens.write_tokens(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing", mix_to_weights),
+    ("token ids", write_ids),
+]
 
-# a rolling sample, encoders and alignment: the stages are tested against brute force instead
+# SQL cannot express the toxicity model, the alignment and the encoder; tests/llm compares the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
