@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -38,6 +39,10 @@ HEADLINE = (
     "analysis_starts",
     "forest_training",
     "window_model_training",
+    "forest_scores",
+    "window_model_scores",
+    "ensemble_findings",
+    "stream_meter_ingest",
 )
 
 
@@ -45,7 +50,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "4")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session("bench", cores)
+    spark = local_session("bench", cores, shared=tempfile.mkdtemp(prefix="wattloom-bench-"))
     queries = catalog.queries()
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # starts the session's first job outside the clock
     took = {}

@@ -7,10 +7,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from wattloom.session import local_session
 
-    s = local_session("tests", "8", "8g")
+    s = local_session("tests", "8", "8g", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

@@ -107,3 +107,73 @@ def test_stream_pieces_of_an_hour_add_up(spark, tmp_path):
         ingest.start_ingest(ingest.payload_stream(stream), store, built_in_bounds(spark), str(tmp_path / "cp")).awaitTermination()
     got = {r.ts.hour: r.kwh for r in spark.read.parquet(store.readings).collect()}
     assert got == {h: 4.0 for h in range(6)}
+
+
+def _push(spark, store, seq, rows):
+    """One micro-batch of (stamp, kwh) readings of a single meter."""
+    from datetime import datetime
+
+    from wattloom.sources.bounds import built_in_bounds
+    from wattloom.streaming import ingest
+
+    df = spark.createDataFrame(
+        [("t", "b", "c", "hvac", "csv_upload", datetime.fromisoformat(s), v) for s, v in rows],
+        "tenant_id string, building_id string, circuit_id string, circuit_type string, ingestion_source string, ts timestamp, kwh double",
+    )
+    ingest.ingest_batch(store, built_in_bounds(spark))(df, seq)
+    return {r.ts: (r.kwh, r.data_quality_status) for r in spark.read.parquet(store.readings).collect()}
+
+
+def test_stream_redelivery_and_correction(spark, tmp_path):
+    from wattloom.streaming import ingest
+
+    store = ingest.Store(str(tmp_path / "raw"), str(tmp_path / "readings"), shards=2)
+    rows = [(f"2026-01-05 {h:02d}:00:00", 2.0) for h in range(5)]
+    once = _push(spark, store, 0, rows)
+    assert sum(v for v, _ in once.values()) == 10.0
+    assert _push(spark, store, 1, rows) == once
+    assert _push(spark, store, 1, rows) == once
+    fixed = _push(spark, store, 2, [("2026-01-05 02:00:00", 5.0)])
+    assert sum(v for v, _ in fixed.values()) == 13.0 and len(fixed) == 5
+
+
+def test_stream_keeps_empty_days(spark, tmp_path):
+    from wattloom.streaming import ingest
+
+    store = ingest.Store(str(tmp_path / "raw"), str(tmp_path / "readings"))
+    _push(spark, store, 0, [(f"2026-01-05 {h:02d}:00:00", 2.0) for h in range(5)])
+    got = _push(spark, store, 1, [(f"2026-01-20 {h:02d}:00:00", 2.0) for h in range(6)])
+    assert len(got) == 15 * 24 + 6
+    assert sum(1 for v, s in got.values() if v is None and s == "quarantined") == 15 * 24 + 6 - 11
+
+
+def test_failing_conditions_are_not_met(spark):
+    from datetime import datetime
+
+    from wattloom.operators.rules import fired
+    from wattloom.sources.rules import Rule
+
+    conditions = {
+        "division": "1.0 / kwh > 0.1", "modulo": "5 % cast(kwh as int) = 1", "cast": "cast('x' || kwh as double) > 0",
+        "overflow": "cast('99999999999' as int) > kwh", "element": "array(1, 2)[5] > 0", "stamp": "to_timestamp('no') > ts", "fine": "kwh >= 0",
+    }
+    rules = [Rule(k, 1, c, "test") for k, c in conditions.items()]
+    readings = spark.createDataFrame(
+        [("t", "b", "c", "hvac", datetime(2026, 1, 5, h), float(h * 2), "pass") for h in range(3)],
+        "tenant_id string, building_id string, circuit_id string, circuit_type string, ts timestamp, kwh double, data_quality_status string",
+    )
+    buildings = spark.createDataFrame([], "tenant_id string, building_id string, declared_unoccupied_baseline double, occupancy_schedule struct<days:array<int>,start:string,end:string>")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    got = sorted((r.rule_id, r.kwh) for r in fired(readings, buildings, rules).collect())
+    assert got == [("division", 2.0), ("division", 4.0), ("fine", 0.0), ("fine", 2.0), ("fine", 4.0), ("modulo", 2.0), ("modulo", 4.0)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
+
+
+def test_circuits_of_two_tenants_with_one_label(spark):
+    from datetime import datetime
+
+    from wattloom.sinks.records import get_or_create_circuits
+
+    raw = spark.createDataFrame([("t1", "b", "m", "hvac", datetime(2026, 1, 1), 1), ("t2", "b", "m", "hvac", datetime(2026, 1, 1), 1)], "tenant_id string, building_id string, meter_id string, circuit_type string, ts timestamp, seq int")
+    known = spark.createDataFrame([("c1", "t1", "b", "m", "hvac")], "circuit_id string, tenant_id string, building_id string, label string, circuit_type string")
+    assert sorted(r.tenant_id for r in get_or_create_circuits(raw, known).collect()) == ["t1", "t2"]

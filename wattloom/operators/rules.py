@@ -6,9 +6,10 @@ All predicates are evaluated side by side in one projection and the fired ones a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.functions.scalars import stable_id
@@ -26,16 +27,32 @@ def applies(rule: Rule) -> Column:
     return out
 
 
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are resolved inside give null where ANSI mode would raise: division by zero, bad casts, places beyond an array.
+
+    The mode belongs to an expression from its resolution on, so one failing row neither ends the job nor changes other queries of the session.
+    """
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def holds(rule: Rule) -> Column:
-    """The rule's condition; a null or failing comparison counts as not met."""
+    """The rule's condition; a null or failing one counts as not met. To be resolved inside `lenient`."""
     return F.coalesce(F.expr(f"({rule.condition})"), F.lit(False))
 
 
 def check_columns(df: DataFrame, rules: Sequence[Rule]) -> None:
     """Conditions may use only the context columns: they must resolve against a frame of nothing else."""
     context = df.select(*[c for c in CONTEXT if c in df.columns]).limit(0)
-    for rule in rules:
-        context.select(F.expr(f"({rule.condition})").cast("boolean")).schema  # noqa: B018
+    with lenient(df.sparkSession):
+        for rule in rules:
+            context.select(F.expr(f"({rule.condition})").cast("boolean")).schema  # noqa: B018
 
 
 def fired(readings: DataFrame, buildings: DataFrame, rules: Sequence[Rule] = SHIPPED_RULES) -> DataFrame:
@@ -59,9 +76,10 @@ def fired(readings: DataFrame, buildings: DataFrame, rules: Sequence[Rule] = SHI
         ]
     )
     # SQL functions may stand in a projection but not in a generator, hence the two steps
+    with lenient(readings.sparkSession):
+        met = ctx.select("tenant_id", "building_id", "circuit_id", "ts", "kwh", hits.alias("_hits"))
     return (
-        ctx.select("tenant_id", "building_id", "circuit_id", "ts", "kwh", hits.alias("_hits"))
-        .withColumn("_hits", F.filter("_hits", lambda h: h.isNotNull()))
+        met.withColumn("_hits", F.filter("_hits", lambda h: h.isNotNull()))
         .filter(F.size("_hits") > 0)
         .select("tenant_id", "building_id", "circuit_id", "ts", "kwh", F.inline("_hits"))
     )

@@ -24,8 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(name: str, cores: str = "8", memory: str = "12g") -> SparkSession:
-    """Session for tests and benches on one machine."""
+def local_session(name: str, cores: str = "8", memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """Session for tests and benches on one machine; `shared` names the folder for checkpoints and intermediate tables."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -34,6 +34,8 @@ def local_session(name: str, cores: str = "8", memory: str = "12g") -> SparkSess
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in RUNTIME.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -41,25 +43,23 @@ def local_session(name: str, cores: str = "8", memory: str = "12g") -> SparkSess
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes `df` to the cluster's checkpoint folder and reads it back, so that lost executors
-    do not replay the jobs behind it. Only a session without such a folder gets a local one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A session on one machine that names none, such as a trial, gets one of its own, once."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            shared = tempfile.mkdtemp(prefix="wattloom-checkpoint-")
-        sc.setCheckpointDir(shared)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wattloom-shared-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes `df` to the cluster's checkpoint folder and reads it back, so that lost executors do not replay the jobs behind it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="wattloom-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

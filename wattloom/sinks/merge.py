@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READING_KEY = ("tenant_id", "circuit_id", "ts")
@@ -49,6 +49,11 @@ def upsert(
     return joined.select(*cols)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def upsert_files(
     path: str,
     incoming: DataFrame,
@@ -59,15 +64,13 @@ def upsert_files(
 ) -> None:
     """Merges into a partitioned parquet table, rewriting only the partitions that receive rows.
 
-    The touched partitions are found by joining partition columns, which prunes the scan; the
-    write replaces them when the job commits, so a failed or repeated job leaves whole tables.
+    The touched partitions are found by joining partition columns, which prunes the scan. Each partition is
+    replaced as a whole when the job commits; a failure during the commit itself can leave some replaced and
+    some not, and running the same merge again completes it.
     """
     spark = incoming.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     writer_rows = incoming
-    if fs.exists(target):
+    if path_exists(spark, path):
         current = spark.read.parquet(path)
         touched = incoming.select(*parts).distinct()
         writer_rows = upsert(current.join(touched, list(parts), "left_semi"), incoming, keys, update, order)

@@ -21,6 +21,11 @@ def parse(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.select(*rest, F.from_json(F.col(value).cast("string"), EVENT).alias("_e")).select(*rest, "_e.*")
 
 
+def of_topic(messages: DataFrame, event_type: str, value: str = "value") -> DataFrame:
+    """Events of a topic that carries one kind only: every message counts, whether or not it names its type."""
+    return parse(messages, value).withColumn("event_type", F.lit(event_type))
+
+
 def route(events: DataFrame, event_type: str) -> DataFrame:
     """Events of one type; others are left alone."""
     return events.filter(F.col("event_type") == event_type)

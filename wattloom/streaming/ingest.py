@@ -1,32 +1,37 @@
 """Continuous meter ingest.
 
-Every micro-batch is first stored raw under its own batch number, so a repeated batch replaces
-itself. Then the touched circuit-days are recomputed from the raw store with some days of context:
-an hour that arrives in several pieces, or again, or late, ends up whole.
+Raw rows are kept once per (tenant, circuit, stamp): a later delivery of a stamp takes the place of the earlier one, whether it repeats it or corrects it,
+and a micro-batch that is run again replaces itself. Then every building that the batch touched is put through the gate again from its stored raw rows, since
+gaps, outlier frames, stuck runs, sensor baselines and fill ratios reach as far as the building's series do. So the stored readings equal the
+gate over all raw rows, however they were cut into batches.
+
+Both stores are split by tenant and a hash of the building; a batch reads and writes only the parts that its buildings lie in.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattloom.config import GateConfig
 from wattloom.operators.gate import normalize_rows, quality_gate
-from wattloom.sinks.merge import upsert_files
+from wattloom.sinks.merge import path_exists
 from wattloom.sources.meters import push_rows
 from wattloom.sources.presets import preset, resolve_columns
 
 RAW = ("tenant_id", "building_id", "circuit_id", "circuit_type", "ingestion_source", "ts", "kwh")
+BUILDING = ["tenant_id", "building_id"]
+PARTS = ["tenant_id", "shard"]
 
 
 @dataclass
 class Store:
     raw: str
     readings: str
-    context_days: int = 7
+    shards: int = 64
 
 
 def payload_stream(stream: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -35,28 +40,37 @@ def payload_stream(stream: DataFrame, zone: str = "UTC") -> DataFrame:
     return normalize_rows(rows.withColumns({"source_timezone": F.lit(zone), "ingestion_source": F.lit("smart_meter_api")})).select(*RAW)
 
 
-def store_raw(batch: DataFrame, store: Store, seq: int) -> None:
-    rows = batch.filter(F.col("ts").isNotNull()).select(*RAW).withColumns({"date": F.to_date("ts"), "batch_seq": F.lit(seq)})
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_seq", "date").parquet(store.raw)
-    )
+def _shard(df: DataFrame, store: Store) -> DataFrame:
+    return df.withColumn("shard", F.pmod(F.xxhash64("building_id"), F.lit(store.shards)).cast("int"))
+
+
+def _stored(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame | None:
+    """The parts of a store that touched buildings lie in; the scan is pruned by partition."""
+    if not path_exists(spark, path):
+        return None
+    return spark.read.parquet(path).withColumn("tenant_id", F.col("tenant_id").cast("string")).join(touched.select(*PARTS).distinct(), PARTS, "left_semi")
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
 
 
-def touched_days(batch: DataFrame) -> DataFrame:
-    return batch.filter(F.col("ts").isNotNull()).select("tenant_id", "circuit_id", F.to_date("ts").alias("date")).distinct()
+def store_raw(rows: DataFrame, store: Store, seq: int) -> None:
+    """Merges typed rows of one delivery: per stamp the rows of the latest delivery stay, all of them."""
+    rows = _shard(rows.select(*RAW), store).withColumn("batch_seq", F.lit(seq).cast("long"))
+    current = _stored(rows.sparkSession, store.raw, rows)
+    if current is not None:
+        rows = current.filter(F.col("batch_seq") != seq).select(*rows.columns).unionByName(rows)
+    stamp = Window.partitionBy("tenant_id", "circuit_id", "ts")
+    _replace(rows.withColumn("_last", F.max("batch_seq").over(stamp)).filter(F.col("_last") == F.col("batch_seq")).drop("_last"), store.raw)
 
 
 def recompute(spark: SparkSession, store: Store, touched: DataFrame, bounds: DataFrame, cfg: GateConfig) -> DataFrame:
-    """Gate output for the touched circuit-days. Raw days are pruned by partition to the context."""
-    around = touched.select(
-        "tenant_id", "circuit_id", F.explode(F.sequence(F.date_sub("date", store.context_days), F.date_add("date", 1))).alias("date")
-    ).distinct()
-    raw = spark.read.parquet(store.raw).join(around, ["tenant_id", "circuit_id", "date"], "left_semi").drop("date", "batch_seq")
+    """Gate output of the touched buildings, from all of their raw rows."""
+    raw = _stored(spark, store.raw, touched).join(touched, [*BUILDING, "shard"], "left_semi").select(*RAW)
     raw = raw.withColumn("batch_id", F.concat(F.lit("u-"), F.col("building_id")))
-    batches = raw.select("tenant_id", "building_id", "batch_id").distinct()
-    gated = quality_gate(raw, batches, bounds, None, cfg).readings.withColumn("date", F.to_date("ts"))
-    return gated.join(touched, ["tenant_id", "circuit_id", "date"], "left_semi")
+    batches = raw.select(*BUILDING, "batch_id").distinct()
+    return _shard(quality_gate(raw, batches, bounds, None, cfg).readings, store)
 
 
 def ingest_batch(store: Store, bounds: DataFrame, cfg: GateConfig = GateConfig()):
@@ -64,11 +78,17 @@ def ingest_batch(store: Store, bounds: DataFrame, cfg: GateConfig = GateConfig()
 
     def run(batch: DataFrame, seq: int) -> None:
         spark = batch.sparkSession
-        store_raw(batch, store, seq)
-        # the stored copy feeds the second step, so the source is read once
-        own = spark.read.parquet(store.raw).filter(F.col("batch_seq") == seq)
-        rows = recompute(spark, store, touched_days(own), bounds, cfg).withColumn("batch_seq", F.lit(seq))
-        upsert_files(store.readings, rows)
+        own = batch.filter(F.col("ts").isNotNull()).select(*RAW).persist()
+        touched = _shard(own.select(*BUILDING).distinct(), store).persist()
+        if not touched.isEmpty():
+            store_raw(own, store, seq)
+            new = recompute(spark, store, touched, bounds, cfg)
+            old = _stored(spark, store.readings, touched)
+            if old is not None:
+                new = old.join(touched, [*BUILDING, "shard"], "left_anti").select(*new.columns).unionByName(new)
+            _replace(new, store.readings)
+        touched.unpersist()
+        own.unpersist()
 
     return run
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from wattloom.config import DriftConfig, GateConfig
 from wattloom.operators import calendar, drift, features, ranking, resample, rules, stl
+from wattloom.sinks import messages
 from wattloom.sources import calendars
+from wattloom.sources.rules import Rule
+from wattloom.streaming import events
 from wattloom.workbench import sql, views
 from wattloom.workbench.source_checks import FIRES
 from wattloom.workbench.views import plain
@@ -207,6 +210,36 @@ def drift_results(spark, sf_dir):
     return d.withColumn("magnitude", F.round("magnitude", 9))
 
 
+def _drift_stamp():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def drift_retraining(spark, sf_dir):
+    """From drift verdicts over the event topic to retraining triggers; a second delivery of the topic starts nothing."""
+    cfg = DriftConfig(overrides={"office:warm": (0.5, 10), "retail:default": (0.01, 5000)})
+    d = drift.detect(_baselined(spark, sf_dir), views.buildings(spark, sf_dir), cfg)
+    sent = messages.drift_detected(d, _drift_stamp())
+    return events.triggers(events.of_topic(sent.unionByName(sent), events.DRIFTED), "drift")
+
+
+def stale_baselines(spark, sf_dir):
+    cfg = DriftConfig(overrides={"office:warm": (0.5, 10), "retail:default": (0.01, 5000)})
+    d = drift.detect(_baselined(spark, sf_dir), views.buildings(spark, sf_dir), cfg)
+    n = messages.stale_baseline_notices(d)
+    return n.select("key", F.get_json_object("value", "$.tenant_id").alias("tenant_id"), F.get_json_object("value", "$.notification_type").alias("notification_type"))
+
+
+def rule_errors(spark, sf_dir):
+    """Rules whose conditions fail on some rows: those rows do not fire, all others do."""
+    own = [
+        Rule("zero_division_v1", 1, "1.0 / (hour(ts) % 3) > 0.6", "test"),
+        Rule("bad_cast_v1", 1, "cast(if(hour(ts) % 2 = 0, '7', 'seven') as int) = 7", "test"),
+        Rule("far_element_v1", 1, "array(0, 1)[hour(ts) % 4] = 1", "test"),
+    ]
+    f = rules.fired(views.readings(spark, sf_dir), views.buildings(spark, sf_dir), own)
+    return plain(f.select("circuit_id", "ts", "rule_id"))
+
+
 def trend_statistics(spark, sf_dir):
     t = drift.trend_statistics(drift.efficiency_ratios(_baselined(spark, sf_dir)))
     return t.select("building_id", "n", "s", F.round("z", 6).alias("z"), F.round("slope", 9).alias("slope"))
@@ -218,7 +251,7 @@ QUERIES = {
         building_calendar, weekend_backfill, calendar_upsert, day_types, uncovered_circuits, rule_engine, rule_fire_maps,
         robust_residual_scores, cohort_sizes, seasonal_residuals, residual_window_summary, carried_series, rolling_baseline,
         volume_baseline, feature_set, feature_upsert, rule_layout, feature_vectors, scaler_parameters, chronological_split,
-        global_split, sliding_windows, exact_percentile, exact_percentile_volume, drift_results, trend_statistics,
+        global_split, sliding_windows, exact_percentile, exact_percentile_volume, drift_results, drift_retraining, stale_baselines, rule_errors, trend_statistics,
     )
 }
 
@@ -312,9 +345,16 @@ ORACLES = {
     "exact_percentile": f"WITH {sql.READINGS} SELECT building_id, round(quantile_cont(kwh, 0.95), 6) AS p95 FROM readings GROUP BY 1",
     "exact_percentile_volume": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1",
     "trend_statistics": f"WITH {TREND} SELECT building_id, n, s, round(z, 6) AS z, round(slope, 9) AS slope FROM stat",
+    "rule_errors": f"""WITH {sql.READINGS}, u AS (SELECT *, hour(ts) AS h FROM readings WHERE data_quality_status <> 'quarantined')
+        SELECT circuit_id, ts, 'zero_division_v1' AS rule_id FROM u WHERE h % 3 = 1 UNION ALL SELECT circuit_id, ts, 'bad_cast_v1' FROM u WHERE h % 2 = 0
+        UNION ALL SELECT circuit_id, ts, 'far_element_v1' FROM u WHERE h % 4 = 1""",
     "drift_results": f"""WITH {TREND}, {sql.BUILDINGS}, t AS (SELECT s.*, b.tenant_id, CASE WHEN building_type = 'office' AND climate_zone = 'warm' THEN 0.6744897501960817 WHEN building_type = 'retail' THEN 2.5758293035489004 ELSE 1.959963984540054 END AS lim,
           CASE WHEN building_type = 'retail' THEN 5000 ELSE 10 END AS pts FROM stat s JOIN buildings b USING (building_id))
         SELECT tenant_id, building_id, n AS n_points, CASE WHEN n >= pts AND abs(z) > lim THEN 'drifting' ELSE 'stable' END AS status,
           CASE WHEN n >= pts AND abs(z) > lim THEN CASE WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END ELSE 'none' END AS trend_direction,
           CASE WHEN n >= pts THEN round(slope, 9) END AS magnitude FROM t""",
 }
+_DRIFTING = f"SELECT * FROM ({ORACLES['drift_results']}) WHERE status = 'drifting'"
+ORACLES["drift_retraining"] = f"""SELECT tenant_id, building_id, 'drift' AS trigger,
+    'retraining-drift-'||tenant_id||'-'||building_id||'-2024-02-01T00:00:00+00:00' AS dedupe_key FROM ({_DRIFTING})"""
+ORACLES["stale_baselines"] = f"SELECT building_id AS key, tenant_id, 'baseline_stale' AS notification_type FROM ({_DRIFTING})"
