@@ -133,12 +133,28 @@ def test_forest_finds_the_spike_whatever_the_shards(spark, feats):
         assert abs(r.train_anomaly_rate - 0.05) < 0.01 and r.n_features == 7
 
 
-def test_forest_pool_is_bounded_and_repeatable(spark, feats):
-    cfg = ForestConfig(trees=2, sample=50)
+def test_trees_sample_the_whole_building_repeatably(spark, feats):
+    cfg = ForestConfig(trees=30, sample=50)
     v = feats.select("tenant_id", "building_id", "circuit_id", "ts", F.array("kwh").alias("scaled"))
-    a, b = (forest.training_pool(v.repartition(n), cfg) for n in (3, 7))
-    assert a.groupBy("building_id").count().agg(F.max("count")).first()[0] <= 100
-    assert a.select("circuit_id", "ts").exceptAll(b.select("circuit_id", "ts")).count() == 0
+    a, b = (forest.tree_samples(v.repartition(n), cfg).select("building_id", "tree", "circuit_id", "ts", "_r").cache() for n in (3, 7))
+    sizes = a.groupBy("building_id", "tree").count()
+    assert sizes.filter("count <> 50").count() == 0 and sizes.count() == 60
+    assert a.exceptAll(b).count() == 0
+    # the draws of all trees reach most rows, and differ
+    assert a.select("circuit_id", "ts").distinct().count() > 0.45 * feats.count()
+
+
+def test_window_model_depends_on_its_building_only(spark, feats):
+    """Equal weights alone and beside another building, and for any number of shards."""
+    import numpy as np
+
+    def weights(rows, **more):
+        m = window_model.train(rows, WindowModelConfig(epochs=4, rounds=2, **more))
+        return {r.building_id: np.array(r.weights) for r in m.weights.collect()}
+
+    both, many = weights(feats), weights(feats, shard_rows=600)
+    alone = weights(feats.filter("building_id = 'b1'"))
+    assert np.allclose(both["b1"], alone["b1"], atol=1e-12) and all(np.allclose(both[b], many[b], atol=1e-9) for b in both)
 
 
 def test_window_model_flags_a_flat_day_in_one_or_many_shards(spark, feats):

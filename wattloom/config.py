@@ -112,7 +112,7 @@ class WindowModelConfig:
     percentile: float = 0.95
     seed: int = 42
     shard_rows: int = 50_000
-    rounds: int = 10
+    rounds: int = 5
 
 
 @dataclass(frozen=True)
