@@ -128,3 +128,20 @@ def domain_violations(readings: DataFrame) -> DataFrame:
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """Strict form of a check: the job fails on the first row that breaks it."""
     return df.filter(F.assert_true(condition, F.lit(message)).isNull())
+
+
+def with_circuits(readings: DataFrame, circuits: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
+    """Readings joined with their circuit (building, type, label), and with the building's attributes if given.
+
+    Readings carry many rows per circuit and circuits few; their key is the circuit, which the hours of a window bound.
+    """
+    out = readings.join(circuits.select("tenant_id", "circuit_id", "building_id", "circuit_type", "label"), ["tenant_id", "circuit_id"])
+    if buildings is None:
+        return out
+    return salted_join(out, buildings.drop("name"), ["tenant_id", "building_id"])
+
+
+def feature_window(features: DataFrame, circuits: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Stored feature rows of a window with the building of their circuit; the window reaches the scan."""
+    rows = features.filter(F.col("ts").between(start, end))
+    return rows.join(circuits.select("tenant_id", "circuit_id", "building_id"), ["tenant_id", "circuit_id"])
