@@ -75,6 +75,17 @@ from (select *, row_number() over (partition by r order by score desc, vec_id, c
 """
 
 
+OP5_SQL = r"""
+with w as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select r, i, array_to_string(w[i:i + 34], ' ') as x from (select r, w, unnest(range(1, len(w) - 33)) as i from w)),
+c as materialized (
+  select distinct r, i + k as p from s join (select x from s group by x having count(*) > 1) using (x), (select unnest(range(0, 35)) as k)),
+k as (select u.r, string_agg(u.x, ' ' order by u.p) as t, count(*) as n
+  from (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from w) u anti join c on c.r = u.r and c.p = u.p group by u.r)
+select w.doc_id, len(w.w)::bigint as n_words, (len(w.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from w left join k using (r)
+"""
+
 OP4_SQL = r"""
 with d as (
   select doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
@@ -112,4 +123,4 @@ from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc
 """
 
 QUERIES = {"op1_language": op1_language, "op2_pii": op2_pii, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op5_substrings": op5_substrings, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
-ORACLES = {"op4_mixing": OP4_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_substrings": OP5_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}
