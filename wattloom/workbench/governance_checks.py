@@ -67,7 +67,7 @@ def _runs(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     f = views.findings(spark, sf_dir)
-    return o.join(f, F.concat(F.lit("f"), k.cast("string")) == f.finding_id).filter("o_orderstatus = 'P'").select(
+    return o.join(f, F.concat(F.lit("f"), k.cast("string")) == f.finding_id).select(
         "tenant_id", "building_id", F.col("layer_origin").alias("model_type"), F.col("finding_id").alias("run_id"), F.col("o_custkey").alias("n_features_used"),
         F.when(k % 9 != 0, k).alias("registered_version"), (k % 400).alias("n_training_samples"), F.round(F.col("o_totalprice") / 1500000, 8).alias("train_anomaly_rate"),
         F.element_at(F.array(F.lit("calendar"), F.lit("drift"), F.lit("feedback_volume")), (k % 3 + 1).cast("int")).alias("training_trigger"),
@@ -221,7 +221,7 @@ _JUDGED = f"""{_FB}, judged AS (SELECT l.*, CASE WHEN action NOT IN ('confirmed'
     WHEN confidence IS NULL THEN 'Cannot write feedback for finding * because it has no explainability bundle.' END AS rejection FROM labels_fb l JOIN findings f USING (finding_id))"""
 _RUN = f"""{sql.FINDINGS}, runs AS (SELECT f.tenant_id, f.building_id, f.layer_origin AS model_type, f.finding_id AS run_id, o_custkey AS n_features_used, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS registered_version,
     o_orderkey % 400 AS n_training_samples, round(o_totalprice / 1500000, 8) AS rate, (['calendar','drift','feedback_volume'])[o_orderkey % 3 + 1] AS training_trigger, o_orderkey
-    FROM orders JOIN findings f ON f.finding_id = 'f'||o_orderkey WHERE o_orderstatus = 'P'),
+    FROM orders JOIN findings f ON f.finding_id = 'f'||o_orderkey),
 prior AS (SELECT tenant_id, building_id, layer_origin AS model_type, count(*) AS n FROM findings WHERE status = 'confirmed' AND detected_at < TIMESTAMP '1995-02-01' GROUP BY ALL),
 dec0 AS (SELECT r.*, coalesce(p.n, 0) AS prior FROM runs r LEFT JOIN prior p USING (tenant_id, building_id, model_type)),
 dec AS (SELECT *, registered_version IS NULL OR n_training_samples < 50 OR rate > 0.25 AS failed, prior < 3 AS review,

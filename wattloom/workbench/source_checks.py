@@ -90,7 +90,7 @@ def holiday_and_closure_sources(spark, sf_dir):
         F.concat(F.lit("day "), F.col("o_orderpriority")).alias("name"),
     )
     h = calendars.holidays_of(hol, "IN", 1997)
-    c = calendars.closure_rows(o.filter("o_orderstatus = 'P'").select(
+    c = calendars.closure_rows(o.filter("o_orderstatus <> 'F'").select(
         F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
         F.when(F.col("o_orderkey") % 3 == 0, "  ").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).alias("description"),
     ))
@@ -113,7 +113,7 @@ def rule_versions(spark, sf_dir):
     f = views.table(spark, sf_dir, "orders").select(
         F.concat(F.lit("r"), (F.col("o_custkey") % 50).cast("string")).alias("rule_id"), (F.col("o_orderkey") % 9).cast("int").alias("version"), "o_orderstatus"
     )
-    return rules.check_versions(f.filter("o_orderstatus = 'P'").drop("o_orderstatus").distinct(), f.filter("o_orderstatus = 'F'")).select(
+    return rules.check_versions(f.filter("o_orderstatus <> 'F'").drop("o_orderstatus").distinct(), f.filter("o_orderstatus = 'F'")).select(
         "rule_id", "version", "registered_version", "accepted"
     )
 
@@ -182,7 +182,7 @@ def _runs(spark, sf_dir):
     )
     done = f.filter("status = 'confirmed'").drop("status")
     old = records.register_versions(done, done.limit(0).withColumn("version", F.lit(0).cast("long")))
-    return f.filter("status = 'open'").drop("status"), old
+    return f.filter("status <> 'confirmed'").drop("status"), old
 
 
 def latest_model_runs(spark, sf_dir):
@@ -317,7 +317,7 @@ ORACLES = {
         'meter_id,timestamp,kwh' AS required FROM manifests JOIN n USING (batch_id) GROUP BY source_id""",
     "holiday_and_closure_sources": """SELECT date, source, count(*) AS n FROM (
         SELECT CAST(o_orderdate AS DATE) AS date, 'holiday_api:IN:day '||o_orderpriority AS source FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) = 1997
-        UNION ALL SELECT CAST(o_orderdate AS DATE), CASE WHEN o_orderkey % 3 = 1 THEN 'customer_upload:'||o_orderpriority ELSE 'customer_upload' END FROM orders WHERE o_orderstatus = 'P')
+        UNION ALL SELECT CAST(o_orderdate AS DATE), CASE WHEN o_orderkey % 3 = 1 THEN 'customer_upload:'||o_orderpriority ELSE 'customer_upload' END FROM orders WHERE o_orderstatus <> 'F')
         GROUP BY ALL""",
     "bounds_table": f"""WITH {sql.READINGS}, bt AS (SELECT (['hvac','lighting','plug_load','main_feed','__default__'])[p_partkey % 5 + 1] AS circuit_type, max(p_size)::DOUBLE AS hi FROM part GROUP BY 1)
         SELECT r.circuit_type, max(coalesce(b.hi, d.hi)) AS max_kwh, count(*) FILTER (r.kwh < 0 OR r.kwh > coalesce(b.hi, d.hi)) AS n_outside
@@ -326,7 +326,7 @@ ORACLES = {
     "rule_versions": """WITH f AS (SELECT 'r'||(o_custkey % 50) AS rule_id, CAST(o_orderkey % 9 AS INT) AS version, o_orderstatus FROM orders),
         reg AS (SELECT rule_id, max(version) AS registered_version FROM f WHERE o_orderstatus = 'F' GROUP BY 1)
         SELECT DISTINCT f.rule_id, version, registered_version, coalesce(version >= registered_version, true) AS accepted
-        FROM f LEFT JOIN reg USING (rule_id) WHERE o_orderstatus = 'P'""",
+        FROM f LEFT JOIN reg USING (rule_id) WHERE o_orderstatus <> 'F'""",
     "readings_upsert": f"""WITH {sql.USERS}, h AS (SELECT tenant_id, circuit_id, date_trunc('hour', ts) AS ts, event_id % 3 AS seq, round(sum(kwh), 6) AS kwh FROM users GROUP BY ALL),
         last AS (SELECT * FROM h WHERE seq > 0 QUALIFY row_number() OVER (PARTITION BY tenant_id, circuit_id, ts ORDER BY seq DESC) = 1),
         cur AS (SELECT * FROM h WHERE seq = 0)
@@ -351,7 +351,7 @@ ORACLES = {
         CASE overall_status WHEN 'quarantined' THEN n_rows ELSE 0 END AS quarantined_count, TIMESTAMP '2024-02-01' AS created_at FROM roll WHERE tenant_id = 't0' AND batch_id = 'm7'""",
     "model_versions": f"""WITH {_RUNS}, top AS (SELECT tenant_id, building_id, model_type, max(version) AS m FROM old GROUP BY ALL)
         SELECT r.tenant_id, r.building_id, r.model_type, r.run_id, coalesce(m, 0) + row_number() OVER (PARTITION BY r.tenant_id, r.building_id, r.model_type ORDER BY trained_at, run_id) AS version
-        FROM runs r LEFT JOIN top USING (tenant_id, building_id, model_type) WHERE status = 'open'""",
+        FROM runs r LEFT JOIN top USING (tenant_id, building_id, model_type) WHERE status <> 'confirmed'""",
     "latest_model_runs": f"""WITH {_RUNS} SELECT tenant_id, building_id, model_type, run_id, version FROM old
         QUALIFY row_number() OVER (PARTITION BY tenant_id, building_id, model_type ORDER BY trained_at DESC, run_id DESC) = 1""",
     "circuit_registry": f"""WITH {sql.USERS}, f AS (SELECT tenant_id, building_id, circuit_id AS label, event_type, ts, event_id FROM users)
