@@ -116,6 +116,9 @@ class Encoder:
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
         self.by_word = not d.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
         self.again: set[str] = set()  # words that more than one batch had
 
@@ -129,13 +132,26 @@ class Encoder:
         ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), side="right")).tolist()
         return list(map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
+    def _behind_spaces(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, each behind a space, from one text: only a word's first token begins with its space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(words):
+            return self._each([" " + w for w in words])
+        data, begins = ids.tobytes(), (4 * begins).tolist()
+        return list(map(data.__getitem__, map(slice, begins, [*begins[1:], len(data)])))
+
     def _learn(self, words: list[str]) -> None:
         stems = {w: w[:-1] for w in words if w[-1:] in (".", ",")}
         stems = {w: s for w, s in stems.items() if s.isalpha()}
-        new = list(set(words).difference(stems).union(s for s in stems.values() if s not in self.known))
-        self.known.update(zip(new, self._each([w[2:] if w[:2] == FIRST * 2 else w[1:] if w[:1] == FIRST else w if w == "\n" else " " + w for w in new])))
-        stop, comma = self._each([".", ","])
-        self.known.update({w: self.known[s] + (stop if w[-1] == "." else comma) for w, s in stems.items()})
+        new = set(words).difference(stems).union(s for s in stems.values() if s not in self.known)
+        marked = [w for w in new if w[:1] == FIRST or w == "\n" or " " in w]
+        behind = list(new.difference(marked))
+        if behind:
+            self.known.update(zip(behind, self._behind_spaces(behind)))
+        own = self._each([".", ",", *[w[2:] if w[:2] == FIRST * 2 else w[1:] if w[:1] == FIRST else w if w == "\n" else " " + w for w in marked]])
+        self.known.update(zip(marked, own[2:]))
+        self.known.update({w: self.known[s] + own[0 if w[-1] == "." else 1] for w, s in stems.items()})
 
     def _look_up(self, words: pa.DictionaryArray, names: list[str], stops: np.ndarray) -> list[np.ndarray]:
         """Ids of texts from the keys of their words; stops says where each text's words end."""
