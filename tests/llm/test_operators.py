@@ -236,7 +236,7 @@ def test_toxicity(spark, sf_dir):
 
 def test_toxic_folding():
     m = toxicity.Matcher({" idiot ": 4.0, " trash ": 4.0, " tra": 1.0})
-    assert m.features("an 1d10t, а ТRΑSН")[0] == 8.0 or m.features("an 1d10t")[0] == 4.0
+    assert m.features("an 1d10t, а ТRΑSН")[0] == 8.0 and m.features("an 1d10t")[0] == 4.0
     assert m.features("the trash can")[0] == 0.0 and m.features("trash talk")[0] == 4.0 and m.features("tram")[0] == 1.0 and m.features(None) == (0.0, 0)
 
 

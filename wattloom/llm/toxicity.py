@@ -33,7 +33,7 @@ BASE = (
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "pond scum", "not stupid", "stupid simple", "bastard file", "bastard sword", "loser bracket")
 # fixed values: look-alike letters of other scripts, and substitutions
 LOOKS_LIKE = {
-    "a": "аα@4ａ", "b": "Ьвｂ8", "c": "сϲｃ", "d": "ԁｄ", "e": "еεҽｅ3€", "g": "ɡｇ9", "h": "һｈ", "i": "іıιｉ1!|", "j": "јｊ", "k": "κкｋ", "l": "ⅼｌ",
+    "a": "аα@4ａ", "b": "ьвｂ8", "c": "сϲｃ", "d": "ԁｄ", "e": "еεҽｅ3€", "g": "ɡｇ9", "h": "һнｈ", "i": "іıιｉ1!|", "j": "јｊ", "k": "κкｋ", "l": "ⅼｌ",
     "m": "мｍ", "n": "ոｎ", "o": "оοօｏ0", "p": "рρｐ", "q": "ԛｑ", "s": "ѕｓ5$", "t": "тτｔ7+", "u": "υսｕ", "v": "νѵｖ", "w": "ԝｗ", "x": "хχｘ", "y": "уγｙ", "z": "ᴢｚ2",
 }
 TOXIC, CLEAN = 15_000, 45_000
@@ -96,7 +96,7 @@ class Matcher:
             # the word's own space at its end may be the phrase's last character
             if at >= reach:
                 total += best[at]
-        return total, folded.count(" ") - 1
+        return total, folded.count(" ") - 1 if len(folded) > 2 else 0
 
 
 def _shape(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
