@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,19 +83,6 @@ def stable_sum(c) -> Column:
     return F.round(F.sum(_col(c)), 6)
 
 
-def clamp(c, low: float, high: float) -> Column:
-    return F.least(F.greatest(_col(c), F.lit(low)), F.lit(high))
-
-
-def ladder(c, steps: Sequence[tuple], default) -> Column:
-    """First step whose upper edge is not exceeded."""
-    out = None
-    for edge, value in steps:
-        cond = _col(c) <= F.lit(edge)
-        out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    return out.otherwise(F.lit(default))
-
-
 def annual_factor(days: int) -> float:
     return 365.0 / max(days, 1)
 
@@ -131,10 +118,6 @@ def iso_weekday(ts) -> Column:
     return F.weekday(_col(ts)) + 1
 
 
-def seconds(ts) -> Column:
-    return F.unix_micros(_col(ts)) / F.lit(1e6)
-
-
 def minutes_between(start, end) -> Column:
     return (F.unix_micros(_col(end)) - F.unix_micros(_col(start))) / F.lit(6e7)
 
@@ -152,16 +135,6 @@ def hours_seq(first, last) -> Column:
     )
 
 
-def within_schedule(schedule: str, ts) -> Column:
-    """Occupied at `ts` under struct(days, start, end); false without a usable schedule."""
-    s = F.col(schedule)
-    clock = F.date_format(_col(ts), "HH:mm:ss.SSSSSS")
-    start = F.concat(F.coalesce(s["start"], F.lit("00:00")), F.lit(":00.000000"))
-    end = F.concat(F.coalesce(s["end"], F.lit("23:59")), F.lit(":00.000000"))
-    inside = F.array_contains(s["days"], iso_weekday(ts)) & clock.between(start, end)
-    return F.coalesce(inside, F.lit(False))
-
-
 # --- statuses ------------------------------------------------------------------------------
 def status_rank(c) -> Column:
     return coded(c, {s: i for i, s in enumerate(STATUSES)})

@@ -130,10 +130,6 @@ def scaler_arrays(scaler: DataFrame, keys: Sequence[str] = ("tenant_id", "buildi
     )
 
 
-def apply_scaler(vectors: DataFrame, arrays: DataFrame, keys: Sequence[str] = ("tenant_id", "building_id")) -> DataFrame:
-    return salted_join(vectors, arrays, keys).withColumn("scaled", standardized())
-
-
 def standardized() -> Column:
     return F.zip_with(F.zip_with("vector", "means", lambda x, m: x - m), "scales", lambda d, s: d / s)
 

@@ -8,6 +8,7 @@ from wattloom.config import GateConfig
 from wattloom.functions import scalars as S
 from wattloom.operators import gate, scope
 from wattloom.operators import rules as rule_ops
+from wattloom.session import shared_path
 from wattloom.sinks import merge, messages, records
 from wattloom.sources import bounds, calendars, meters, presets, rules
 from wattloom.workbench import gate_checks, sql, views
@@ -129,9 +130,12 @@ def readings_upsert(spark, sf_dir):
 
 
 def findings_round_trip(spark, sf_dir):
-    """Rule findings stored with a JSON bundle and read back typed."""
-    fires = rule_ops.fired(views.readings(spark, sf_dir), views.buildings(spark, sf_dir))
-    back = records.read_findings(records.finding_records(rule_ops.rule_findings(fires)))
+    """Rule findings appended to files with a JSON bundle, in two runs, and read back typed."""
+    found = records.finding_records(rule_ops.rule_findings(rule_ops.fired(views.readings(spark, sf_dir), views.buildings(spark, sf_dir))))
+    path, early = shared_path(spark, "findings"), F.hour("detected_at") < 12
+    for part in (found.filter(early), found.filter(~early)):
+        merge.append_files(part, path)
+    back = records.read_findings(spark.read.schema(found.schema).parquet(path))
     b = F.col("bundle")
     return plain(back.select(
         "tenant_id", "building_id", "circuit_id", "layer_origin", "evidence_start", "evidence_end", "status",
