@@ -31,7 +31,7 @@ from wattloom.llm.common import settle, small_join
 BLOCK, LANES = 1024, 32
 PERCENTILE = 90
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
-CACHE = 700_000  # words of which a Python worker remembers the ids
+CACHE = 400_000  # words of which a Python worker remembers the ids
 END_ID = 2
 SEGMENTS = "shard int, position long, n long, block_starts array<int>, blocks binary, doc_ids array<long>, doc_ends array<long>"
 HEAD = struct.Struct("<IIHBB")
@@ -168,12 +168,16 @@ class Encoder:
         ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(start[each] - (stop - n), n) + np.arange(n.sum())]
         return np.split(ids, np.append(0, stop)[stops[:-1]])
 
+    def forget(self, most: int) -> None:
+        """Keeps the words that came more than once if there are more than `most`; a worker's later work needs the memory."""
+        if len(self.known) > most:
+            self.known = {k: self.known[k] for k in self.again} if len(self.again) < most else {}
+            self.again = set()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        if len(self.known) > CACHE:  # words that came once are forgotten first
-            self.known = {k: self.known[k] for k in self.again} if len(self.again) < CACHE // 2 else {}
-            self.again = set()
+        self.forget(CACHE)
         plain = [i for i, t in enumerate(texts) if not _spaced(t)]
         while True:
             cut = pc.split_pattern(pa.array([FIRST + texts[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string()), " ")
@@ -250,7 +254,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     end = np.array([end_id], "<u4")
 
     def segments(batches):
-        shard, encode = TaskContext.get().partitionId(), encoder(vocabulary.value).encode
+        shard, own = TaskContext.get().partitionId(), encoder(vocabulary.value)
         position, size, ids, ends, data = 0, 0, [], [], []
 
         def segment():
@@ -259,7 +263,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
             return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
         for names, texts in _few(batches):
-            for i, d in zip(names, encode(texts)):
+            for i, d in zip(names, own.encode(texts)):
                 size += len(d) + 1
                 ids.append(i)
                 ends.append(size)
@@ -269,6 +273,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
                     position, size, ids, ends, data = position + size, 0, [], [], []
         if ids:
             yield segment()
+        own.forget(CACHE // 2)
 
     # equal ids are dealt and ordered by their texts
     dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

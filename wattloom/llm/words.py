@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -26,21 +24,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=8)
+KEPT = 1 << 21  # powers that a worker keeps; longer runs are rare and make their own
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    have = _kept.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, KEPT), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= KEPT:
+            _kept[base] = have
+    return have[:n]
 
 
 class Sums:
     """Polynomial hashes of any stretch of numbers, from running sums."""
 
     def __init__(self, values: np.ndarray):
-        n = 1 << max(16, len(values).bit_length() + 1)
         self.total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, n)[: len(values)], out=self.total[1:])
-        self.undo = _powers(_INVERSE, n)
+        np.cumsum(values * _powers(_BASE, len(values) + 1)[:-1], out=self.total[1:])
+        self.undo = _powers(_INVERSE, len(values) + 1)
 
     def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.total[end] - self.total[begin]) * self.undo[begin]
