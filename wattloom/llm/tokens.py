@@ -219,7 +219,7 @@ def _whole_spaces(text: str) -> list[str]:
     return parts
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
@@ -230,7 +230,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _few(batches, most: int = 4 << 20):
+def _few(batches, most: int = 3 << 20):
     """Runs of rows with about `most` characters of text."""
     ids, texts, size = [], [], 0
     for batch in batches:

@@ -111,7 +111,7 @@ def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(g[at]), at
 
 
-def slices(texts: list, most: int = 1 << 21):
+def slices(texts: list, most: int = 1 << 20):
     """Runs of text numbers whose texts have about `most` characters together."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
