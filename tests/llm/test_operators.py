@@ -1,6 +1,7 @@
 """Every training-data operator against a plain version: nulls, empty and long texts, ties and repeats, empty tables, clashing names."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -122,6 +123,45 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 200
 
 
+def _written(pattern):
+    """Texts that a pattern matches: all its branches and options, with line ends as white space."""
+
+    def texts(items):
+        out = [""]
+        for op, x in items:
+            op = str(op)
+            if op == "LITERAL":
+                own = [chr(x)]
+            elif op == "IN":
+                own = [{"CATEGORY_SPACE": "\n", "CATEGORY_NOT_SPACE": "x"}[str(v)] if str(o) == "CATEGORY" else chr(v[0] if str(o) == "RANGE" else v) for o, v in x]
+            elif op == "BRANCH":
+                own = [t for y in x[1] for t in texts(y)]
+            elif op == "SUBPATTERN":
+                own = texts(x[3])
+            elif op == "MAX_REPEAT":
+                own = [t * max(1, x[0]) for t in texts(x[2])] + [""] * (x[0] == 0)
+            else:
+                assert op == "ASSERT_NOT", op
+                own = [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_every_match(spark):
+    chosen = []
+    for label, keys, pattern, _ in licenses.rules():
+        texts = _written(pattern)
+        assert all(any(k in t.lower() for k in keys.split()) and any(g in t.lower() for g in licenses.GATES) for t in texts), (label, pattern)
+        chosen += [(label, texts[i]) for i in sorted({0, len(texts) // 3, len(texts) // 2, len(texts) - 1})]
+    chosen += [("cc-by-4.0", "Creative Commons Attribution 4.0"), ("public-domain", "placed in the public\n domain"), ("warranty-disclaimer", "provided 'as  is'"), ("wtfpl", "www.wtfpl.net")]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(chosen)], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    lost = [(x, got[i]["labels"]) for i, x in enumerate(chosen) if not got[i]["score"] or x[0] not in got[i]["labels"].split(",")]
+    assert not lost
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 1023, 1024, 1025, 20_000):
