@@ -183,6 +183,25 @@ def test_encoder_equals_whole_texts(pairs):
         assert [x.tobytes() for x in e.encode(texts)] == e._ids(texts)
 
 
+def test_added_tokens_keep_their_ids(spark):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(tokens.default_tokenizer())
+    plain = [*ODD, "<|endoftext|>", "a<|endoftext|>b  c\n<|endoftext|>", "<|endoftext |>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in plain]
+    rows = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in tokens.read_ids(tokens.write_tokens(rows, shards=2)).collect()}
+    assert [got[i][:-1] for i in range(len(plain))] == want and 50256 in got[len(ODD)]
+    # added tokens with a space in them, or of ordinary letters
+    for more, by_word in ((tokenizers.AddedToken("x y", normalized=False), False), (tokenizers.AddedToken("ship", normalized=False), True)):
+        t.add_tokens([more])
+        e = tokens.Encoder(t.to_str())
+        texts = ["a x y b", "x", "y", "some ships, a ship", "nothing", "shi p"]
+        assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        t = tokenizers.Tokenizer.from_file(tokens.default_tokenizer())
+        assert e.by_word == by_word
+
+
 def test_tokens(spark, docs, pairs):
     import tokenizers
 

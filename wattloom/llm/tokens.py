@@ -9,7 +9,8 @@ Block layout, little-endian: uint32 count of values, uint32 minimum, uint16 exce
 (32 lanes of 32 values each); then uint16 exception places; then uint32 high parts.
 
 Defined results: a text that is null or empty has only the end id. Documents with equal ids stand in the order of their texts; null ids come first.
-Rows that repeat are written as often as they come. An empty table gives an empty file. A long text is one segment of its own.
+Rows that repeat are written as often as they come. Where the
+content of an added token of the vocabulary stands in a text, its id is given, as the plain library call does. An empty table gives an empty file. A long text is one segment of its own.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def unpack(blocks: bytes, starts) -> np.ndarray:
 class Encoder:
     """Ids of whole texts. Byte-level vocabularies never join a word with the space before the next one, nor with a lone line end, so texts are
     cut there and the ids of a word are looked up; what is not known yet is encoded in one call. A word behind a space is its own key, one that begins
-    a text or line stands behind FIRST, a line end is a word. Other vocabularies get whole texts."""
+    a text or line stands behind FIRST, a line end is a word. Texts in which an added token (such as <|endoftext|>) stands are encoded whole, as are all texts
+    of other vocabularies."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,10 +114,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
         self.by_word = not d.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"] for t in d.get("added_tokens") or [] if t["content"]]
+        self.by_word = self.by_word and not any(c.isspace() for t in self.added for c in t)  # words that are joined never make an added token
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
@@ -178,7 +181,9 @@ class Encoder:
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
         self.forget(CACHE)
-        plain = [i for i, t in enumerate(texts) if not _spaced(t)]
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        apart = set(whole)
+        plain = [i for i, t in enumerate(texts) if i not in apart and not _spaced(t)]
         while True:
             cut = pc.split_pattern(pa.array([FIRST + texts[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string()), " ")
             words = cut.flatten().dictionary_encode()
@@ -189,6 +194,9 @@ class Encoder:
             # other white space than single spaces and line ends
             plain = [i for i, parts in zip(plain, cut.to_pylist()) if odd.isdisjoint(parts)]
         out: list = [None] * len(texts)
+        if whole:
+            for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+                out[i] = np.frombuffer(ids, "<u4")
         if plain:
             for i, ids in zip(plain, self._look_up(words, names, cut.offsets.to_numpy()[1:])):
                 out[i] = ids
