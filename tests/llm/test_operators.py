@@ -102,6 +102,25 @@ def test_pii(docs, pairs):
     assert all(set(filter(None, brute.personal(t)[1].split(","))) <= shown[d] for d, t in pairs if d is not None and d != 304)
 
 
+IBANS = [
+    "DE89370400440532013000", "FR1420041010050500013M02606", "ES9121000418450200051332", "GB29NWBK60161331926819", "IT60X0542811101000000123456", "NL91ABNA0417164300",
+    "BE68539007547034", "CH9300762011623852957", "AT611904300234573201", "PL61109010140000071219812874", "SE4550000000058398257466", "DK5000400440116243", "NO9386011117947",
+    "FI2112345600000785", "IE29AIBK93115212345678", "PT50000201231234567890154", "LU280019400644750000", "CZ6508000000192000145399",
+]
+
+
+def test_pii_whole_ibans_and_long_secrets(spark):
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in IBANS]
+    secrets = ["token=" + "a1" * 150, "secret: " + "7" * 100_000, "password=" + "a" * 100_000]
+    found = [*IBANS, *spaced, *secrets]
+    rows = spark.createDataFrame([(i, f"account {x} EUR 500 THIS YEAR") for i, x in enumerate(found)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["gazetteer"]) for s in r["_spans"] if not s["base"]] for r in pii.candidates(rows).collect()}
+    n, iban, secret = len(IBANS), pii.KINDS.index("iban"), pii.KINDS.index("secret")
+    for i, x in enumerate(found):
+        assert (iban if i < 2 * n else secret, 8, 8 + len(x), -1 if i == len(found) - 1 else 1) in got[i], x
+    assert {x[:2] for x in IBANS} == set(pii.GOOD["iban"][4:-1].split("|"))
+
+
 def test_pii_estimates():
     cells = [{"kind": 0, "regex": 1, "gazetteer": 1, "context": 1, "size": 1, "n": 90}, {"kind": 0, "regex": -1, "gazetteer": -1, "context": 0, "size": 1, "n": 30}]
     p = pii.estimate(cells)

@@ -27,6 +27,16 @@ from wattloom.llm.spans import let, matches
 BASE = ("email", "ip", "card", "phone")
 OWN = ("phone_local", "national_id", "iban", "person", "secret")
 KINDS = BASE + OWN
+# fixed values: lengths of the countries' account numbers
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# groups of four behind the check digits, and what is left of the country's length
+_IBAN = "|".join(
+    rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_LENGTHS.items()
+)
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
@@ -34,9 +44,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "phone_local": r"(?<![0-9A-Za-z+(.-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Z0-9])",
+    "iban": rf"(?<![A-Z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_IBAN})|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{3,7}})(?![A-Z0-9])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,200}+)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,}+)",
 }
 # what must stand in a text before its pattern is tried
 SIGNS = {"email": "@", "phone": "+"}
@@ -59,7 +69,7 @@ GOOD = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "iban": r"^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT|PL|SE|DK|NO|FI|IE|PT|LU|CZ)",
     "person": r"\x20(?:Smith|Johnson|Brown|Jones|Miller|Davis|Garcia|Martinez|Wilson|Taylor|Martin|Lee|White|Clark|Lewis|Walker|Hall|Young|King|Wright|Müller|Schmidt|Weber|Dubois|Bernard|Moreau)$",
-    "secret": r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]",
+    "secret": r"^(?=[^0-9]*+[0-9])[^A-Za-z]*+[A-Za-z]",
 }
 NEAR_GOOD = r"(?i)(?:mail|contact|write|call|phone|tel|fax|mobile|reach|card|visa|payment|account|iban|bank|ssn|social|host|server|address|from|login|user|pass|key|name|signed)[^A-Za-z0-9]{0,4}(?:[a-z]{1,6}[^A-Za-z0-9]{0,3})?$"
 NEAR_BAD = r"(?i)(?:version|ver|v|section|figure|fig|table|page|chapter|build|release|no|order|isbn|issn|doi|id|serial)[^A-Za-z0-9]{0,3}$"
