@@ -89,6 +89,31 @@ def test_jaccard_small_groups_lose_nothing(spark, docs, pairs, monkeypatch):
     assert bag(jaccard.join(docs).collect()) == bag(brute.components(pairs))
 
 
+def test_jaccard_sets_left_apart_meet_in_bounded_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(2):  # two families of near copies that share one list entry
+        base = [word() for _ in range(70)]
+        for k in range(60):
+            copy = list(base)
+            copy[rng.randrange(70)] = word()
+            texts.append(" ".join(copy) + (" link one two three four" if k == 0 else ""))
+    chain = [word() for _ in range(400)]
+    texts += [" ".join(chain[5 * k : 5 * k + 70]) for k in range(60)]  # each is similar to the next, none to many
+    pairs = list(enumerate(texts))
+    groups, decided = [], jaccard._decided
+
+    def counted(dealt, sets):
+        groups.append([r["count"] for r in dealt.groupBy("cluster", "part").count().collect()])
+        return decided(dealt, sets)
+
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "_decided", counted)
+    assert bag(jaccard.join(spark.createDataFrame(pairs, "doc_id long, text string")).collect()) == bag(brute.components(pairs))
+    assert len(groups) == 3 and groups[2] and max(groups[2]) <= 4 * jaccard.GROUP
+
+
 def test_substrings(docs, pairs):
     got = substrings.dedup(docs.select("doc_id", "text", F.lit("x").alias("ranges_"), F.lit(1).alias("n_words")))
     assert bag(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == bag(brute.removed(pairs))
