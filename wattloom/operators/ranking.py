@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators.skew import salted_join
+from wattloom.session import store_table
 
 
 def position_in_group(df: DataFrame, keys: Sequence[str], coarse: str, ties: Sequence[str]) -> DataFrame:
@@ -38,6 +39,47 @@ def position_in_group(df: DataFrame, keys: Sequence[str], coarse: str, ties: Seq
     )
 
 
+def prefix_sums(counts: DataFrame, at: str, n: str, out: str) -> DataFrame:
+    """Sum of `n` over the rows of the same `_g` with a smaller `at` (a non-negative integer), for every row.
+
+    A tree of partial sums stands in for a running window: every row adds to one node of each level (`at` shifted right by the level), and
+    reads the nodes left of its own path. So a long group needs no task that sees all of it; `at` is unique within `_g`.
+    """
+    top = counts.agg(F.max(at)).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(top or 0).bit_length() - 1)))
+    node = F.expr(f"shiftright(`{at}`, _level)")
+    sums = counts.select("_g", n, at, F.explode(levels).alias("_level")).groupBy("_g", "_level", node.alias("_node")).agg(F.sum(n).alias("_sum"))
+    left = F.filter(levels, lambda j: F.call_function("shiftright", F.col(at), j).bitwiseAND(1) == 1)
+    asked = counts.select("_g", at, F.explode(left).alias("_level")).withColumn("_node", node - 1)
+    found = asked.join(sums, ["_g", "_level", "_node"]).groupBy("_g", at).agg(F.sum("_sum").alias(out))
+    return counts.join(found, ["_g", at], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def placed_rows(df: DataFrame, keys: Sequence[str], order: Sequence, shards: int | None = None) -> DataFrame:
+    """Adds 0-based `position` by `order` within keys, and `group_rows`, for groups of any size and any number of groups.
+
+    Rows are dealt by ranges of (keys, order) and sorted inside a range; a row's position is its place in its range plus the counts of the
+    group's earlier ranges, which prefix_sums adds up. No task holds more than one range, and only rows that are equal in keys and order
+    always lie in the same one. Null keys form a group; order is ascending with nulls first unless a column says otherwise.
+    """
+    spark = df.sparkSession
+    shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(shards, *by).sortWithinPartitions(*by)
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(1).alias("one"))
+    numbered = store_table(dealt.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    # the upper bits of the number name the range, the lower ones count its rows
+    numbered = numbered.withColumns({"_g": group, "_range": F.shiftright("_row", 33)})
+    counts = store_table(numbered.groupBy("_g", "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")), "ranges")
+    whole = counts.groupBy("_g").agg(F.sum("_n").alias("group_rows"))
+    offsets = prefix_sums(counts, "_range", "_n", "_before").join(whole, "_g").select("_g", "_range", "_first", "_before", "group_rows")
+    return (
+        numbered.join(offsets, ["_g", "_range"])
+        .withColumn("position", F.col("_before") + F.col("_row") - F.col("_first"))
+        .drop("_g", "_range", "_row", "_first", "_before")
+    )
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile", slack: float = 0.0005) -> DataFrame:
     """Exact linear-interpolated quantile per group.
 

@@ -63,3 +63,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's shared checkpoint folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as a Parquet table in the shared folder and reads it back: a lineage cut whose columns can be pruned later."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
