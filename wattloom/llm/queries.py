@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import decontaminate, jaccard, language, licenses, mixing, pii, substrings, tokens, topk, toxicity
+from wattloom.llm import decontaminate, fingerprints, jaccard, language, licenses, merkle, mixing, pii, substrings, tokens, topk, toxicity, tries
 from wattloom.llm.common import table
 
 
@@ -63,6 +63,20 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP7_SQL = r"""
 with v as (
   select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over () as r from embeddings
@@ -122,5 +136,87 @@ select s.doc_id, len(s.s)::bigint as n_shingles, min(o.doc_id) as component_id
 from s join reach on reach.r = s.r join s o on o.r = reach.o group by s.r, s.doc_id, s.s
 """
 
-QUERIES = {"op1_language": op1_language, "op2_pii": op2_pii, "op3_tokens": op3_tokens, "op4_mixing": op4_mixing, "op5_substrings": op5_substrings, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_decontaminate": op8_decontaminate, "op9_licenses": op9_licenses, "op10_jaccard": op10_jaccard}
-ORACLES = {"op4_mixing": OP4_SQL, "op5_substrings": OP5_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL}
+# crc32 of a text of digits, which DuckDB does not have
+_CRC = """xor(list_reduce(list_prepend(4294967295, [unicode(x)::bigint for x in string_split(TEXT, '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)), 4294967295)"""
+
+OP11_SQL = r"""
+with t as materialized (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, s) - 1 as p, s, w from (
+    select conv_id, turn, sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as s,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as w
+    from conversations where conv_id is not null)),
+c as materialized (select conv_id, conv_id - conv_id % 20 as f, CRC % 4 as h from (select distinct conv_id from t)),
+k as materialized (select c.*, least(c.h, (select count(*) from t where t.conv_id = c.f)) as k from c),
+r as materialized (
+  select k.conv_id, t.p, s, w from k join t on t.conv_id = k.f and t.p < k.k
+  union all select k.conv_id, t.p - k.h + k.k, s, w from k join t on t.conv_id = k.conv_id and t.p >= k.h),
+m as materialized (
+  select conv_id, p + 1 as d, sha256(string_agg(s, '') over (partition by conv_id order by p)) as name, w from r
+  union all select conv_id, 0, 'root', 0 from c),
+l as materialized (select conv_id, max(d) as n from m group by conv_id),
+n as materialized (select d, name, min(conv_id) as conv_id, count(*) as n_convs, max(w) as w from m group by d, name),
+e as materialized (
+  select m.name, sha256(string_agg(l.conv_id::varchar, ',' order by l.conv_id)) as ends from l join m on m.conv_id = l.conv_id and m.d = l.n group by m.name),
+x as materialized (select n.*, q.name as up, q.conv_id as q from n left join m a on a.conv_id = n.conv_id and a.d = n.d - 1 left join n q on q.name = a.name),
+h as materialized (select up as name, count(*) as n from x where up is not null group by up),
+s as (
+  select a.name, sum(case when h.n is null then 1 else 0 end) as leaves, sum((n.n_convs - 1) * n.w) as saved
+  from n left join h on h.name = n.name join m a on a.conv_id = n.conv_id and a.d <= n.d group by a.name)
+select x.conv_id::bigint as conv_id, x.d::bigint as depth, x.q::bigint as parent_conv_id, x.n_convs::bigint as n_convs, coalesce(h.n, 0)::bigint as n_children,
+  s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from x join s on s.name = x.name left join h on h.name = x.name left join e on e.name = x.name
+""".replace("CRC", _CRC.replace("TEXT", "conv_id::varchar"))
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen({c})::varchar || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "N::varchar", "text")
+) + ")"
+
+# levels of a tree: n nodes of a group at each, until one is left
+_LEVELS = """
+{0} as (
+  select 0 as l, g, p, n, h from {1}
+  union all select l + 1, g, p // 2, (n + 1) // 2, sha256(string_agg(h, '' order by p)) from {0} where n > 1 group by l, g, p // 2, n)"""
+
+OP12_SQL = (
+    "with recursive d as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by g) as n from ("
+    "select doc_id, coalesce('=' || lang, '-') as g, row_number() over () as r, "
+    + _LEAF.replace("N::varchar", "n_chars::varchar")
+    + " as leaf, case when coalesce("
+    + _CRC.replace("TEXT", "coalesce(doc_id, 0)::varchar")
+    + " % 7 = 0 and doc_id is not null, false) then "
+    + _LEAF.replace("N::varchar", "(n_chars + 1)::varchar")
+    + " end as changed from documents)),\nb as (select g, p, n, leaf as h from d),"
+    + _LEVELS.format("t", "b")
+    + ",\nsub as materialized (select g, h from t where n = 1),"
+    + "\ntop as materialized (select '' as g, row_number() over (order by g) - 1 as p, count(*) over () as n, h, g as name from sub),"
+    + _LEVELS.format("u", "top")
+    + """,
+ts as materialized (select * from t), us as materialized (select * from u),
+-- a row's way: its ancestors' places and, but for the last, their siblings
+way as (
+  select d.r, x.l, d.p >> x.l as place, y.h as sib, x.n from d join (select distinct g, l, n from ts) x on x.g = d.g and x.n > 1
+    left join ts y on y.g = d.g and y.l = x.l and y.p = xor(d.p >> x.l, 1)
+  union all
+  select d.r, 1000 + x.l, top.p >> x.l, y.h, x.n from d join top on top.name = d.g join (select distinct l, n from us) x on x.n > 1
+    left join us y on y.l = x.l and y.p = xor(top.p >> x.l, 1)),
+ways as materialized (select r, list({'place': place, 'sib': sib} order by l) as w, coalesce(string_agg(sib, '' order by l), '') as proof from way group by r),
+f as (
+  select d.*, coalesce(ways.w, []) as w, coalesce(ways.proof, '') as proof,
+    list_reduce(list_prepend({'place': 0::bigint, 'sib': coalesce(changed, leaf)}, coalesce(ways.w, [])),
+      lambda a, b: {'place': 0::bigint, 'sib': sha256(case when b.sib is null then a.sib when b.place % 2 = 1 then b.sib || a.sib else a.sib || b.sib end)}).sib as folded
+  from d left join ways using (r))
+select doc_id, leaf, sub.h as subroot, (select h from us where n = 1) as root, sha256(proof) as proof_sha256, folded as folded_root,
+  folded = (select h from us where n = 1) as verified
+from f join sub on sub.g = f.g
+"""
+)
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language, op2_pii, op3_tokens, op4_mixing, op5_substrings, op6_toxicity, op7_topk, op8_decontaminate, op9_licenses, op10_jaccard,
+        op11_tries, op12_merkle, op13_fingerprints,
+    )
+}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_substrings": OP5_SQL, "op7_topk": OP7_SQL, "op10_jaccard": OP10_SQL, "op11_tries": OP11_SQL, "op12_merkle": OP12_SQL}
