@@ -17,14 +17,17 @@ def test_twins(spark, sf_dir, name):
     assert not diff, diff
 
 
-ROWS = {f"op{n}": "embeddings" if n == 7 else "documents" for n in range(1, 11)}
+ROWS = {f"op{n}": {7: "embeddings", 11: "conversations"}.get(n, "documents") for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_whole_tables(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     t = table(spark, sf_dir, ROWS[name.split("_")[0]])
-    key = "query_id" if "query_id" in df.columns else "doc_id"
+    key = next(k for k in ("query_id", "doc_id", "conv_id") if k in df.columns)
+    if key == "conv_id":
+        assert df.filter("depth = 0").first()["n_convs"] == t.select("conv_id").distinct().count()
+        return
     ids = {r[0] for r in df.select(key).distinct().collect()}
     want = {r[0] for r in (t.filter("vec_id % 50 = 0").select("vec_id") if key == "query_id" else t.select("doc_id")).collect()}
     assert ids == want
@@ -43,6 +46,9 @@ def test_contract_columns(spark, sf_dir):
         "op7_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
         "op9_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
         "op10_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+        "op11_tries": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+        "op12_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+        "op13_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     }
     for name, columns in want.items():
         have = dict(QUERIES[name](spark, sf_dir).dtypes)

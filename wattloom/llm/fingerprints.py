@@ -315,10 +315,10 @@ def _few(batches, most: int = 1 << 20):
         yield ids, texts
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     rank = entropy_ranks(docs)
-    rows = neighbours(docs, rank)
+    rows = neighbours(docs, rank, shards)
     # one row per range: the range that comes next, the first one again after the last
     begins = rows.filter(F.col("place") == 0)
     order = Window.orderBy("shard")
