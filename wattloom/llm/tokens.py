@@ -8,6 +8,9 @@ segments, so that a task that is repeated leaves no second copy.
 Block layout, little-endian: uint32 count of values, uint32 minimum, uint16 exceptions, uint8 width, uint8 zero; then 32 x width uint32 words
 (32 lanes of 32 values each); then uint16 exception places; then uint32 high parts.
 
+Ids of pieces of words are kept under two 64-bit hashes of a piece's bytes. The first finds an entry, the second confirms it: with 2^20 pieces remembered, a
+piece is taken for another with a chance of 2^-108.
+
 Defined results: a text that is null or empty has only the end id. Documents with equal ids stand in the order of their texts; null ids come first.
 Rows that repeat are written as often as they come. Where the
 content of an added token of the vocabulary stands in a text, its id is given, as the plain library call does. An empty table gives an empty file. A long text is one segment of its own.
@@ -22,7 +25,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +34,11 @@ from wattloom.llm.common import settle, small_join
 BLOCK, LANES = 1024, 32
 PERCENTILE = 90
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
-CACHE = 400_000  # words of which a Python worker remembers the ids
+CACHE = 1 << 20  # pieces of which a Python worker remembers the ids: about 40 bytes each
+LONG = 256  # bytes of a piece beyond which it is not remembered
 END_ID = 2
 SEGMENTS = "shard int, position long, n long, block_starts array<int>, blocks binary, doc_ids array<long>, doc_ends array<long>"
 HEAD = struct.Struct("<IIHBB")
-FIRST = "\0"
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, list[int]]:
@@ -101,11 +103,114 @@ def unpack(blocks: bytes, starts) -> np.ndarray:
     return full.ravel()[: sum(h[0] for h in heads)]
 
 
+class Pieces:
+    """Token ids of pieces, by hash, in flat arrays."""
+
+    def __init__(self):
+        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.n, self.again = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.ids = np.empty(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each hash, and whether there is one."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return i, (self.key[i] == key) & (self.check[i] == check)
+
+    def add(self, key: np.ndarray, check: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """New entries with the numbers of their ids, which follow each other in `ids`."""
+        at = np.cumsum(n) - n + len(self.ids)
+        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+        join = lambda a, b: np.concatenate([a, b])[order]
+        self.key, self.check, self.at, self.n = join(self.key, key), join(self.check, check), join(self.at, at), join(self.n, n.astype(np.int32))
+        self.again = join(self.again, np.zeros(len(key), bool))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def forget(self, most: int) -> None:
+        """Keeps the pieces that more than one batch had, if there are more than `most`; none if these are too many, too."""
+        if len(self.key) <= most:
+            return
+        keep = np.flatnonzero(self.again) if self.again.sum() <= most else np.empty(0, np.int64)
+        n = self.n[keep]
+        self.ids = self.ids[spread(self.at[keep], n)]
+        self.key, self.check, self.n, self.at = self.key[keep], self.check[keep], n, np.cumsum(n, dtype=np.int64) - n
+        self.again = np.zeros(len(keep), bool)
+
+
+def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, .. at + n - 1 of every run, one run after the other."""
+    n = n.astype(np.int64)
+    stop = np.cumsum(n)
+    return np.repeat(at - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def _bytes(*ranges) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+# bytes that are white space or may begin a character that is
+MAYBE_WHITE = _bytes((0x09, 0x0D), (0x1C, 0x20), (0xC2, 0xC2), (0xE1, 0xE3))
+ALNUM = _bytes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+VISIBLE = _bytes((0x21, 0x7E))
+PUNCTUATION = VISIBLE & ~ALNUM
+ACCENTED = _bytes((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))  # second bytes of the letters behind 0xC3
+PAIR = _bytes((0xC3, 0xDF))  # first bytes of two-byte characters that are not white space
+
+
+def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where texts, which begin at the given bytes, can be cut without changing their tokens.
+
+    Byte-level vocabularies split a text into runs of letters, of digits and of other signs, each with one space before it, and runs of white space. So a split
+    is certain before a space that a visible character follows, around a lone line end between visible characters, and before a sign behind a letter or digit.
+    Bytes that leave it open are not cut at.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    first[n] = True
+    before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+    letter_end = ALNUM[data] | (before == 0xC3) & ACCENTED[data]
+    solid_end = VISIBLE[data] | PAIR[before] & (data >= 0x80)
+    # the next byte belongs to the same text and begins a character that is not white space
+    solid_next = np.append(~MAYBE_WHITE[data[1:]], False) & ~first[1:]
+    inner = ~first[:n]
+    behind = lambda x: np.concatenate([np.zeros(1, bool), x[:-1]])
+    line_end = (data == 0x0A) & behind(solid_end) & solid_next & inner
+    cut = (data == 0x20) & solid_next
+    cut |= line_end | behind(line_end)
+    cut |= PUNCTUATION[data] & behind(letter_end) & inner
+    cut |= first[:n]
+    return np.flatnonzero(cut)
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece; `data` has eight bytes more than the pieces."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = [size.astype(np.uint64) * _ODD[0], size.astype(np.uint64) * _ODD[1]]
+    rest, k = np.arange(len(start)), 0
+    while len(rest):
+        w = words[start[rest] + 8 * k] & _MASKS[np.minimum(size[rest] - 8 * k, 8)]
+        for i, h in enumerate(out):
+            x = ((h[rest] ^ w) + _ODD[1 - i]) * _ODD[i]
+            x ^= x >> np.uint64(32 - 3 * i)
+            x *= _ODD[1 - i]
+            h[rest] = x ^ x >> np.uint64(29 + 3 * i)
+        k += 1
+        rest = rest[size[rest] > 8 * k]
+    return out[0], out[1]
+
+
 class Encoder:
-    """Ids of whole texts. Byte-level vocabularies never join a word with the space before the next one, nor with a lone line end, so texts are
-    cut there and the ids of a word are looked up; what is not known yet is encoded in one call. A word behind a space is its own key, one that begins
-    a text or line stands behind FIRST, a line end is a word. Texts in which an added token (such as <|endoftext|>) stands are encoded whole, as are all texts
-    of other vocabularies."""
+    """Ids of whole texts, put together from the ids of their pieces (see `cuts`); pieces that are not remembered go to the library, many in one call.
+    Texts in which an added token (such as <|endoftext|>) stands are encoded whole, as are all texts of vocabularies of another kind."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -118,113 +223,134 @@ class Encoder:
         pre = d.get("pre_tokenizer") or {}
         self.by_word = not d.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [t["content"] for t in d.get("added_tokens") or [] if t["content"]]
-        self.by_word = self.by_word and not any(c.isspace() for t in self.added for c in t)  # words that are joined never make an added token
+        self.by_word = self.by_word and not any(c.isspace() for t in self.added for c in t)  # pieces that are joined never make an added token
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # words that more than one batch had
+        line = self.tokenizer.encode("a\na", add_special_tokens=False).ids
+        self.line_end = line[1] if len(line) == 3 else None
+        self.known = Pieces()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, in one call for all; the library says to which piece an id belongs."""
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(e.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), side="right")).tolist()
-        return list(map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
-
-    def _behind_spaces(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space, each behind a space, from one text: only a word's first token begins with its space."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        begins = np.flatnonzero(self.spaced[ids])
-        if len(begins) != len(words):
-            return self._each([" " + w for w in words])
-        data, begins = ids.tobytes(), (4 * begins).tolist()
-        return list(map(data.__getitem__, map(slice, begins, [*begins[1:], len(data)])))
-
-    def _learn(self, words: list[str]) -> None:
-        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",")}
-        stems = {w: s for w, s in stems.items() if s.isalpha()}
-        new = set(words).difference(stems).union(s for s in stems.values() if s not in self.known)
-        marked = [w for w in new if w[:1] == FIRST or w == "\n" or " " in w]
-        behind = list(new.difference(marked))
-        if behind:
-            self.known.update(zip(behind, self._behind_spaces(behind)))
-        own = self._each([".", ",", *[w[2:] if w[:2] == FIRST * 2 else w[1:] if w[:1] == FIRST else w if w == "\n" else " " + w for w in marked]])
-        self.known.update(zip(marked, own[2:]))
-        self.known.update({w: self.known[s] + own[0 if w[-1] == "." else 1] for w, s in stems.items()})
-
-    def _look_up(self, words: pa.DictionaryArray, names: list[str], stops: np.ndarray) -> list[np.ndarray]:
-        """Ids of texts from the keys of their words; stops says where each text's words end."""
-        new = [w for w in names if w not in self.known]
-        self.again.update(set(names).difference(new))
-        if new:
-            self._learn(new)
-        own = list(map(self.known.__getitem__, names))
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        start = np.cumsum(size) - size
-        each = words.indices.to_numpy()
-        n = size[each]
-        stop = np.cumsum(n)
-        ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(start[each] - (stop - n), n) + np.arange(n.sum())]
-        return np.split(ids, np.append(0, stop)[stops[:-1]])
-
-    def forget(self, most: int) -> None:
-        """Keeps the words that came more than once if there are more than `most`; a worker's later work needs the memory."""
-        if len(self.known) > most:
-            self.known = {k: self.known[k] for k in self.again} if len(self.again) < most else {}
-            self.again = set()
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        self.forget(CACHE)
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
-        apart = set(whole)
-        plain = [i for i, t in enumerate(texts) if i not in apart and not _spaced(t)]
-        while True:
-            cut = pc.split_pattern(pa.array([FIRST + texts[i].replace("\n", " \n " + FIRST) for i in plain], pa.large_string()), " ")
-            words = cut.flatten().dictionary_encode()
-            names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-            odd = {w for w in names if w not in self.known and w != "\n" and w.removeprefix(FIRST)[:1].isspace()}
-            if not odd:
-                break
-            # other white space than single spaces and line ends
-            plain = [i for i, parts in zip(plain, cut.to_pylist()) if odd.isdisjoint(parts)]
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each piece, and the ids, in one call for all; the library says to which piece an id belongs."""
+        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces)), np.array(e.ids, np.uint32)
+
+    def _learned(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of pieces that are not known.
+
+        Pieces of a space and visible characters are encoded as one text, in which only a piece's first token begins with a space; pieces of visible
+        characters alone as lines of one text, between which the token of a line end stands; others piece by piece.
+        """
+        own = data[spread(start, size)]
+        owner = np.repeat(np.arange(len(start)), size)
+        odd = MAYBE_WHITE[own]
+        head = np.cumsum(size) - size
+        led = own[head] == 0x20
+        odd[head[led]] = False
+        plain = np.ones(len(start), bool)
+        plain[owner[odd]] = False
+        plain[led & (size == 1)] = False
+        counts, places, found, total = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [], 0
+        for kind, chosen in (("led", np.flatnonzero(plain & led)), ("line", np.flatnonzero(plain & ~led)), ("rest", np.flatnonzero(~plain))):
+            if not len(chosen):
+                continue
+            n = ids = None
+            if kind == "led":
+                ids = self._one(data[spread(start[chosen], size[chosen])].tobytes().decode())
+                begin = np.flatnonzero(self.spaced[ids])
+                if len(begin) == len(chosen):
+                    n = np.diff(np.append(begin, len(ids)))
+            elif kind == "line" and self.line_end is not None:
+                text = np.insert(data[spread(start[chosen], size[chosen])], np.cumsum(size[chosen])[:-1], 0x0A)
+                ids = self._one(text.tobytes().decode())
+                ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+                if len(ends) == len(chosen):
+                    n = np.diff(np.append(-1, ends)) - 1
+                    ids = ids[ids != self.line_end]
+            if n is None:
+                buffer = data.tobytes()
+                n, ids = self._each([buffer[a : a + b].decode() for a, b in zip(start[chosen].tolist(), size[chosen].tolist())])
+            counts[chosen], places[chosen] = n, total + np.cumsum(n) - n
+            found.append(ids)
+            total += len(ids)
+        return counts, np.concatenate(found)[spread(places, counts)]
+
+    def _pieces(self, buffer: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that begin at the given bytes of `buffer`, one after the other, and where each text's end; eight more bytes follow the last text."""
+        data = np.frombuffer(buffer, np.uint8)[: len(buffer) - 8]
+        texts = begins[begins < len(data)]
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(begins), np.int64)
+        start = cuts(data, texts)
+        size = np.diff(np.append(start, len(data)))
+        short = np.flatnonzero(size <= LONG)
+        key, check = hashes(buffer, start[short], size[short])
+        unique, first, each = np.unique(key, return_index=True, return_inverse=True)
+        clash = np.flatnonzero(check != check[first][each])  # pieces whose first hash is another piece's
+        entry, known = self.known.find(unique, check[first])
+        self.known.again[entry[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            at = short[first[new]]
+            n, ids = self._learned(data, start[at], size[at])
+            # an entry with the same first hash and another second one stays as it is
+            taken = self.known.key[entry[new]] == unique[new] if len(self.known.key) else np.zeros(len(new), bool)
+            if taken.any():
+                other = np.zeros(len(unique), bool)
+                other[new[taken]] = True
+                clash = np.union1d(clash, np.flatnonzero(other[each]))
+                keep = ~taken
+                ids = ids[np.repeat(keep, n)]
+                new, n, at = new[keep], n[keep], at[keep]
+            self.known.add(unique[new], check[first[new]], n, ids)
+            entry, _ = self.known.find(unique, check[first])
+        place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        place[short], count[short] = self.known.at[entry[each]], self.known.n[entry[each]]
+        source = self.known.ids
+        alone = np.sort(np.concatenate([np.flatnonzero(size > LONG), short[clash]]))
+        if len(alone):
+            # not remembered: their ids stand behind the known ones for this batch only
+            found = [self._one(buffer[start[i] : start[i] + size[i]].decode()) for i in alone.tolist()]
+            count[alone] = [len(f) for f in found]
+            place[alone] = len(source) + np.cumsum(count[alone]) - count[alone]
+            source = np.concatenate([source, *found])
+        ids = source[spread(place, count)]
+        ends = np.append(np.cumsum(count), 0)
+        # a text's ids end where its last piece's do; empty texts end where they begin
+        last = np.searchsorted(start, np.append(begins[1:], len(data)), side="left") - 1
+        return ids, ends[last]
+
+    def encode_flat(self, buffer: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie in `buffer` between the offsets, one after the other, and where each text's end."""
+        if self.by_word and not any(t.encode() in buffer for t in self.added):
+            self.known.forget(CACHE)
+            return self._pieces(buffer + bytes(8), offsets[:-1])
+        texts = [buffer[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         out: list = [None] * len(texts)
-        if whole:
-            for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-                out[i] = np.frombuffer(ids, "<u4")
+        plain = [i for i, t in enumerate(texts) if self.by_word and not any(x in t for x in self.added)]
         if plain:
-            for i, ids in zip(plain, self._look_up(words, names, cut.offsets.to_numpy()[1:])):
-                out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
-        if rest:
-            cut = pa.array([_whole_spaces(texts[i]) for i in rest], pa.large_list(pa.large_string()))
-            words = cut.flatten().dictionary_encode()
-            for i, ids in zip(rest, self._look_up(words, words.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.offsets.to_numpy()[1:])):
-                out[i] = ids
-        return out
-
-
-def _spaced(text: str) -> bool:
-    """Whether a text has runs of white space, or white space at an end."""
-    return any(x in text for x in ("\0", "  ", "\n\n", " \n", "\n ")) or text[:1].isspace() or text[-1:].isspace()
-
-
-def _whole_spaces(text: str) -> list[str]:
-    """Keys of a text with runs of white space: a piece that begins with white space, or is empty, belongs to the one before. The first has two marks,
-    since it may begin with white space."""
-    head, *rest = text.split(" ")
-    parts = [FIRST * 2 + head]
-    for p in rest:
-        if not p or p[0].isspace() or p[0] == FIRST:
-            parts[-1] += " " + p
-        else:
-            parts.append(p)
-    return parts
+            parts = [texts[i].encode() for i in plain]
+            ids, ends = self._pieces(b"".join(parts) + bytes(8), np.cumsum([0, *map(len, parts)])[:-1])
+            for i, x in zip(plain, np.split(ids, ends[:-1])):
+                out[i] = x
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = np.frombuffer(x, "<u4")
+        return np.concatenate(out).astype(np.uint32), np.cumsum([len(x) for x in out])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        parts = [t.encode() for t in texts]
+        ids, ends = self.encode_flat(b"".join(parts), np.cumsum([0, *map(len, parts)]))
+        return np.split(ids, ends[:-1])
 
 
 @functools.lru_cache(maxsize=1)
@@ -238,19 +364,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _few(batches, most: int = 3 << 20):
-    """Runs of rows with about `most` characters of text."""
-    ids, texts, size = [], [], 0
+def _few(batches, most: int = 1 << 20):
+    """Runs of rows with about `most` bytes of text: their ids, the bytes, and where each text begins and the last one ends."""
+    names, parts, sizes, total = [], [], [np.zeros(1, np.int64)], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size > most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        texts = batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most - total, side="right")) - 1)
+            end = min(end, len(texts))
+            names.append(batch.column(0).slice(begin, end - begin))
+            low, high = int(offsets[begin]), int(offsets[end])
+            # a null text may have bytes behind it in the buffer; the offsets leave them out
+            parts.append(texts.buffers()[2].slice(low, high - low).to_pybytes() if high > low else b"")
+            sizes.append(np.diff(offsets[begin : end + 1]))
+            total += high - low
+            begin = end
+            if total >= most:
+                yield pa.concat_arrays(names), b"".join(parts), np.cumsum(np.concatenate(sizes))
+                names, parts, sizes, total = [], [], [np.zeros(1, np.int64)], 0
+    if names:
+        yield pa.concat_arrays(names), b"".join(parts), np.cumsum(np.concatenate(sizes))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
@@ -259,32 +394,40 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed file of some MB
     shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    end = np.array([end_id], "<u4")
 
     def segments(batches):
         shard, own = TaskContext.get().partitionId(), encoder(vocabulary.value)
-        position, size, ids, ends, data = 0, 0, [], [], []
+        position, size, ids, names, ends = 0, 0, [], [], []
 
         def segment():
-            blocks, starts = pack(np.concatenate(data))
-            row = {"shard": shard, "position": position, "n": size, "block_starts": starts, "blocks": blocks, "doc_ids": ids, "doc_ends": ends}
-            return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
-
-        for names, texts in _few(batches):
-            for i, d in zip(names, own.encode(texts)):
-                size += len(d) + 1
-                ids.append(i)
-                ends.append(size)
-                data += (d, end)
-                if size >= SEGMENT:
+            blocks, starts = pack(np.concatenate(ids))
+            row = [[shard], [position], [size], [starts], [blocks], [pa.concat_arrays(names)], [np.concatenate(ends)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, SCHEMA.types)], schema=SCHEMA)
+
+        for docs, buffer, offsets in _few(batches):
+            found, stops = own.encode_flat(buffer, offsets)
+            found = np.insert(found, stops, end_id)
+            stops = stops + np.arange(1, len(stops) + 1)
+            first, at = 0, 0  # document and id at which the rest of the run begins
+            while first < len(stops):
+                last = int(np.searchsorted(stops, at + SEGMENT - size))
+                full = last < len(stops)
+                last = min(last, len(stops) - 1)
+                ids.append(found[at : stops[last]])
+                names.append(docs.slice(first, last + 1 - first))
+                ends.append(stops[first : last + 1] - at + size)
+                size += int(stops[last]) - at
+                first, at = last + 1, int(stops[last])
+                if full:
                     yield segment()
-                    position, size, ids, ends, data = position + size, 0, [], [], []
-        if ids:
+                    position, size, ids, names, ends = position + size, 0, [], [], []
+        if names:
             yield segment()
-        own.forget(CACHE // 2)
+        own.known.forget(CACHE // 2)
 
     # equal ids are dealt and ordered by their texts
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = dealt.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return settle(dealt.mapInArrow(segments, SEGMENTS), "tokens")
 
 
