@@ -1,12 +1,12 @@
 """Prefix trie of conversations by van Emde Boas recursion: how much of their beginnings conversations share.
 
 Sequences of turns are cut at half of a height that no sequence reaches. The prefixes up to the cut get names, by which the remainders fall into forests; the
-part above the cut and the forests below it are cut again in the same way, all of one height in parallel, until single turns are left: then every prefix of every
-sequence has a name, and equal prefixes have equal ones. Totals of subtrees go the other way: at every height the sums of the trees below
-a cut are grafted onto the nodes above it, up to the root.
+part above the cut and the forests below it are cut again in the same way, all of one height in parallel, until parts of BLOCK turns are left, whose few
+prefixes are named one after the other. Then every prefix of every sequence has a name, and equal prefixes have equal ones. Totals of subtrees go the other
+way: inside the blocks first, then at every height the sums of the trees below a cut are grafted onto the nodes above it, up to the root.
 
-A name is a digest of the name before the cut and of the turns behind it; digests of aligned runs of turns come from doubling. So a prefix is named without gathering a
-sequence, a name's holders are only counted, and a sequence of d turns takes about log2(d) rounds of small joins by (conversation, place).
+A name is 128 bits of a digest of the name before the cut and of the turns behind it; digests of aligned runs of blocks come from doubling. So a prefix is named without
+gathering a sequence, a name's holders are only counted, and a sequence of d turns takes about log2(d / BLOCK) rounds of small joins by (conversation, block).
 
 Defined results: a null role or text is empty. Turns stand in the order of their numbers, null first, equal ones in the order of their digests, so a repeated
 row is a turn of its own. Rows with a null conversation id belong to none and are left out. An empty table has no conversations and no nodes. Texts of any
@@ -26,13 +26,18 @@ from wattloom.operators.ranking import placed_rows
 from wattloom.operators.skew import salted_join
 
 FAMILY, HEADS = 20, 4  # conversations c - c % FAMILY .. share a beginning of fewer than HEADS turns
+BLOCK = 16  # turns that are not cut any more
 CHUNK = 8192  # ids of one piece of a list of ids
 ROOT = "root"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _sha(*parts: Column) -> Column:
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    return F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, 16)
+
+
+def _root() -> Column:
+    return F.substring(F.unhex(F.sha2(F.lit(ROOT), 256)), 1, 16)
 
 
 def symbols(conversations: DataFrame) -> DataFrame:
@@ -62,9 +67,18 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(taken.unionByName(own), "trie-rebuilt"), settle(convs.select("conv_id", length.cast("long").alias("length")), "trie-lengths")
 
 
-def _runs(turns: DataFrame, height: int) -> list[DataFrame]:
-    """Digests of the whole aligned runs of 1, 2, 4, .. height / 2 turns: conv_id, run, digest."""
-    runs, size = [turns.select("conv_id", F.col("place").alias("run"), F.col("symbol").alias("digest"))], 2
+def blocks(turns: DataFrame) -> DataFrame:
+    """conv_id, block, and the symbols and words of its turns in their order: at most BLOCK."""
+    turn = F.struct("place", "symbol", "words")
+    gathered = turns.groupBy("conv_id", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(turn)).alias("_t"))
+    return settle(gathered.select("conv_id", "block", F.col("_t.symbol").alias("symbols"), F.col("_t.words").alias("words")), "trie-blocks")
+
+
+def _runs(cut: DataFrame, height: int) -> list[DataFrame]:
+    """Digests of the whole aligned runs of 1, 2, 4, .. height / 2 blocks: conv_id, run, digest."""
+    whole = cut.filter(F.size("symbols") == BLOCK)
+    joined = F.aggregate("symbols", F.lit(b""), lambda a, x: F.concat(a, x))
+    runs, size = [whole.select("conv_id", F.col("block").alias("run"), _sha(joined).alias("digest"))], 2
     while size < height:
         odd = F.col("run") % 2 == 1
         left, right = F.max(F.when(~odd, F.col("digest"))), F.max(F.when(odd, F.col("digest")))
@@ -75,56 +89,79 @@ def _runs(turns: DataFrame, height: int) -> list[DataFrame]:
     return runs
 
 
-def named_prefixes(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, int]:
-    """conv_id, length, depth, name of every prefix of every sequence (depth 0: the root), and the height of the recursion."""
-    longest = lengths.agg(F.max("length")).first()[0] or 0
-    height = 1 << max(1, int(longest).bit_length())  # no sequence reaches it
-    runs = _runs(turns, height)
-    # what is left to cut: (sequence, depth at which a part begins, name of the prefix above it)
-    parts = lengths.select("conv_id", "length", F.lit(0).cast("long").alias("depth"), F.unhex(F.sha2(F.lit(ROOT), 256)).alias("name"))
+def _starts(cut: DataFrame, lengths: DataFrame, height: int) -> DataFrame:
+    """conv_id, block, and the name of the prefix before each block; `height` is the recursion's in blocks."""
+    # what is left to cut: (sequence, block at which a part begins, name of the prefix above it)
+    parts = lengths.select("conv_id", "length", F.lit(0).cast("long").alias("block"), _root().alias("start"))
+    if height == 1:
+        return parts
+    runs = _runs(cut, height)
     half, at = height // 2, len(runs) - 1
     while half:
-        reach = parts.filter(F.col("length") >= F.col("depth") + half).withColumn("run", F.floor(F.col("depth") / half))
-        cut = reach.join(runs[at], ["conv_id", "run"]).select("conv_id", "length", (F.col("depth") + half).alias("depth"), _sha("name", "digest").alias("name"))
-        parts = parts.unionByName(settle(cut, "trie-cuts"))
+        reach = parts.filter(F.col("length") >= (F.col("block") + half) * BLOCK).withColumn("run", F.floor(F.col("block") / half))
+        below = reach.join(runs[at], ["conv_id", "run"]).select("conv_id", "length", (F.col("block") + half).alias("block"), _sha("start", "digest").alias("start"))
+        parts = parts.unionByName(settle(below, "trie-cuts"))
         half, at = half // 2, at - 1
-    return parts, height
-
-
-def members(turns: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Every prefix of every sequence with the name of the one before it and the words of its last turn."""
-    none = F.lit(None)
-    own = prefixes.select("conv_id", "depth", "name", none.cast("binary").alias("parent"), none.cast("long").alias("words"), "length")
-    next_ = prefixes.select("conv_id", (F.col("depth") + 1).alias("depth"), none.cast("binary").alias("name"), F.col("name").alias("parent"), none.cast("long").alias("words"), none.cast("long").alias("length"))
-    last = turns.select("conv_id", (F.col("place") + 1).alias("depth"), none.cast("binary").alias("name"), none.cast("binary").alias("parent"), "words", none.cast("long").alias("length"))
-    rows = own.unionByName(next_).unionByName(last).groupBy("conv_id", "depth").agg(*[F.max(c).alias(c) for c in ("name", "parent", "words", "length")])
-    return settle(rows.filter(F.col("name").isNotNull()), "trie-members")
+    return parts
 
 
-def grafted(nodes: DataFrame, held: DataFrame, height: int) -> DataFrame:
+def named_prefixes(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks with the names of their prefixes: conv_id, length, block, words, and `names`, first that of the prefix before the block; and the height of the recursion in
+    blocks. A sequence of no turns has none."""
+    longest = lengths.agg(F.max("length")).first()[0] or 0
+    height = 1 << int(longest // BLOCK).bit_length()  # no sequence reaches it
+    cut = blocks(turns)
+    starts = settle(_starts(cut, lengths, height), "trie-starts")
+    behind = starts.select("conv_id", (F.col("block") - 1).alias("block"), F.col("start").alias("end"))
+    begun = cut.join(starts, ["conv_id", "block"]).join(behind, ["conv_id", "block"], "left")
+    names = F.aggregate("symbols", F.array("start"), lambda a, x: F.concat(a, F.array(_sha(F.element_at(a, -1), x))))
+    # the last prefix of a whole block ends at a cut and has its name from there
+    names = F.when(F.col("end").isNull(), names).otherwise(F.concat(F.slice(names, 1, BLOCK), F.array("end")))
+    return settle(begun.select("conv_id", "length", "block", "words", names.alias("names")), "trie-names"), height
+
+
+def members(named: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Every prefix of every sequence: conv_id, length, depth, name, the name of the prefix before it, and the words of its last turn."""
+    each = F.transform("words", lambda w, i: F.struct((i + 1).cast("long").alias("i"), F.element_at("names", i + 2).alias("name"), F.element_at("names", i + 1).alias("parent"), w.alias("words")))
+    rows = named.select("conv_id", "length", "block", F.explode(each).alias("_p"))
+    rows = rows.select("conv_id", "length", (F.col("block") * BLOCK + F.col("_p.i")).alias("depth"), "_p.name", "_p.parent", "_p.words")
+    return rows.unionByName(lengths.select("conv_id", "length", F.lit(0).cast("long").alias("depth"), _root().alias("name"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("words")))
+
+
+def _spread(sums: DataFrame, named: DataFrame, depths: int) -> DataFrame:
+    """Sums (conv_id, depth, leaves, saved) given to the last `depths` depths up to their own, on the way of their sequence."""
+    last = F.floor((F.col("depth") - 1) / BLOCK)
+    first = last - (depths // BLOCK - 1) if depths > BLOCK else last
+    ways = sums.select("conv_id", "depth", "leaves", "saved", F.explode(F.sequence(first, last)).alias("block"))
+    found = ways.join(named.select("conv_id", "block", "names"), ["conv_id", "block"])
+    # names[0] belongs to the block before
+    upto = F.least(F.size("names") - 1, F.col("depth") - F.col("block") * BLOCK).cast("int")
+    each = F.transform(F.sequence(F.lit(1), upto), lambda i: F.struct((F.col("block") * BLOCK + i).alias("depth"), F.element_at("names", i + 1).alias("name"), F.element_at("names", i).alias("parent")))
+    rows = found.select("conv_id", "leaves", "saved", F.explode(each).alias("_p")).select("conv_id", "leaves", "saved", "_p.*")
+    added = rows.groupBy("name", "parent", "depth").agg(F.min("conv_id").alias("conv_id"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    return settle(added, "trie-grafts")
+
+
+def grafted(nodes: DataFrame, named: DataFrame, height: int) -> DataFrame:
     """Per node name the sums of `leaves` and `saved` over its subtree.
 
-    Heights ascend. At each, the trees that begin right below a cut have their sums within that height; a cut node's sum of them is added to the node and to its
-    ancestors above, up to where its part begins: at most half the height, however many sequences pass through.
+    Inside a block every node gives its own to itself and its ancestors there. Then heights ascend. At each, the trees that begin right below a cut have their sums within that
+    height; a cut node's sum of them is added to the node and to its ancestors above, up to where its part begins: at most half the height, however many sequences pass
+    through. Any sequence through a tree passes through its cut node and the ancestors, so one of them shows the way.
     """
-    columns = ("name", "parent", "depth", "conv_id", "leaves", "saved")
-    sums = nodes.select(*columns)
+    deep = nodes.filter(F.col("depth") > 0)
+    sums = _spread(deep, named, BLOCK)
     size = 2
     while size <= height:
-        half = size // 2
-        below = sums.filter((F.col("depth") > 0) & ((F.col("depth") - 1) % size == half))
+        half = size // 2 * BLOCK
+        below = sums.filter((F.col("depth") - 1) % (size * BLOCK) == half)
         cuts = below.groupBy("parent", "depth").agg(F.min("conv_id").alias("conv_id"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-        # any sequence through the tree passes through the cut node and its ancestors
-        above = cuts.select("conv_id", "leaves", "saved", F.explode(F.sequence(F.col("depth") - half, F.col("depth") - 1)).alias("depth"))
-        ways = held.filter(F.col("length") > half).select("conv_id", "depth", "name", "parent")
-        added = above.join(ways, ["conv_id", "depth"]).groupBy("name", "parent", "depth")
-        added = added.agg(F.min("conv_id").alias("conv_id"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-        sums = sums.unionByName(settle(added.select(*columns), "trie-grafts"))
+        sums = sums.unionByName(_spread(cuts.withColumn("depth", F.col("depth") - 1), named, half))
         size *= 2
-    root = sums.filter(F.col("depth") <= 1).groupBy(F.when(F.col("depth") == 0, F.col("name")).otherwise(F.col("parent")).alias("name"))
-    rest = sums.filter(F.col("depth") > 0).groupBy("name")
     add = [F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens")]
-    return rest.agg(*add).unionByName(root.agg(*add))
+    tops = sums.filter(F.col("depth") == 1).select(F.col("parent").alias("name"), "leaves", "saved")
+    root = nodes.filter(F.col("depth") == 0).select("name", "leaves", "saved").unionByName(tops)
+    return sums.groupBy("name").agg(*add).unionByName(root.groupBy("name").agg(*add))
 
 
 def _hashes(batches):
@@ -159,8 +196,8 @@ def end_digests(held: DataFrame) -> DataFrame:
 def trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     """Nodes of the trie of sequences (conv_id, place, symbol, words) of given lengths: conv_id (the smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256."""
-    prefixes, height = named_prefixes(turns, lengths)
-    held = members(turns, prefixes)
+    named, height = named_prefixes(turns, lengths)
+    held = members(named, lengths)
     nodes = held.groupBy("name", "depth").agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.max("parent").alias("parent"), F.coalesce(F.max("words"), F.lit(0)).alias("words")
     )
@@ -168,7 +205,7 @@ def trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     children = nodes.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = nodes.join(children, "name", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = settle(nodes.withColumns({"leaves": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("words")}), "trie-counted")
-    whole = nodes.join(grafted(nodes, held, height), "name").join(end_digests(held), "name", "left")
+    whole = nodes.join(grafted(nodes, named, height), "name").join(end_digests(held), "name", "left")
     whole = settle(whole.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY))).drop("leaves", "saved", "words"), "trie-sums")
     up = whole.select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     columns = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
