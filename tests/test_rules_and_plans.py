@@ -95,7 +95,7 @@ def test_stream_pieces_of_an_hour_add_up(spark, tmp_path):
 
     src = tmp_path / "in"
     src.mkdir()
-    store = ingest.Store(str(tmp_path / "raw"), str(tmp_path / "readings"))
+    store = ingest.Store(str(tmp_path / "store"))
     pieces = [(h, q) for h in range(6) for q in range(4)]
     pieces.append(pieces.pop(5))
     stamps = [f"2026-01-05T{h:02d}:{15 * q:02d}:00Z" for h, q in pieces]
@@ -105,7 +105,7 @@ def test_stream_pieces_of_an_hour_add_up(spark, tmp_path):
         (src / f"{part[0][11:16].replace(':', '')}-{len(list(src.iterdir()))}.json").write_text(json.dumps(doc) + "\n")
         stream = spark.readStream.schema("tenant_id string, building_id string, value string").json(str(src))
         ingest.start_ingest(ingest.payload_stream(stream), store, built_in_bounds(spark), str(tmp_path / "cp")).awaitTermination()
-    got = {r.ts.hour: r.kwh for r in spark.read.parquet(store.readings).collect()}
+    got = {r.ts.hour: r.kwh for r in ingest.readings(spark, store).collect()}
     assert got == {h: 4.0 for h in range(6)}
 
 
@@ -120,14 +120,14 @@ def _push(spark, store, seq, rows):
         [("t", "b", "c", "hvac", "csv_upload", datetime.fromisoformat(s), v) for s, v in rows],
         "tenant_id string, building_id string, circuit_id string, circuit_type string, ingestion_source string, ts timestamp, kwh double",
     )
-    ingest.ingest_batch(store, built_in_bounds(spark))(df, seq)
-    return {r.ts: (r.kwh, r.data_quality_status) for r in spark.read.parquet(store.readings).collect()}
+    ingest.ingest_batch(store, built_in_bounds(spark), stream="pushed")(df, seq)
+    return {r.ts: (r.kwh, r.data_quality_status) for r in ingest.readings(spark, store).collect()}
 
 
 def test_stream_redelivery_and_correction(spark, tmp_path):
     from wattloom.streaming import ingest
 
-    store = ingest.Store(str(tmp_path / "raw"), str(tmp_path / "readings"), shards=2)
+    store = ingest.Store(str(tmp_path / "store"), shards=2)
     rows = [(f"2026-01-05 {h:02d}:00:00", 2.0) for h in range(5)]
     once = _push(spark, store, 0, rows)
     assert sum(v for v, _ in once.values()) == 10.0
@@ -140,7 +140,7 @@ def test_stream_redelivery_and_correction(spark, tmp_path):
 def test_stream_keeps_empty_days(spark, tmp_path):
     from wattloom.streaming import ingest
 
-    store = ingest.Store(str(tmp_path / "raw"), str(tmp_path / "readings"))
+    store = ingest.Store(str(tmp_path / "store"))
     _push(spark, store, 0, [(f"2026-01-05 {h:02d}:00:00", 2.0) for h in range(5)])
     got = _push(spark, store, 1, [(f"2026-01-20 {h:02d}:00:00", 2.0) for h in range(6)])
     assert len(got) == 15 * 24 + 6

@@ -32,13 +32,13 @@ def _deliveries(spark, sf_dir):
 def stream_meter_ingest(spark, sf_dir):
     """Deliveries streamed through the gate into a stored readings table, one micro-batch each."""
     configure(spark)
-    store = ingest.Store(shared_path(spark, "raw"), shared_path(spark, "readings"), shards=4)
+    store = ingest.Store(shared_path(spark, "ingest"), shards=4)
     source, offsets = shared_path(spark, "deliveries"), shared_path(spark, "offsets")
     for rows in _deliveries(spark, sf_dir):
         rows.write.mode("append").parquet(source)
         ingest.start_ingest(spark.readStream.schema(rows.schema).parquet(source), store, built_in_bounds(spark), offsets).awaitTermination()
-    r = spark.read.parquet(store.readings)
-    return plain(r.select(F.col("tenant_id").cast("string").alias("tenant_id"), "circuit_id", "ts", "kwh", "filled", "data_quality_status"))
+    r = ingest.readings(spark, store)
+    return plain(r.select("tenant_id", "circuit_id", "ts", "kwh", "filled", "data_quality_status"))
 
 
 def _messages(df):
