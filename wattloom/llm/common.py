@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,29 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+REST = "columns_of_the_input"
+
+
+def packed(docs: DataFrame, needed: Sequence[str]) -> DataFrame:
+    """The needed columns, and all others as one struct, so that no name of theirs meets a working column of an operator."""
+    others = [c for c in docs.columns if c not in needed]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias(REST)] if others else []
+    return docs.select(*needed, *rest)
+
+
+def unpacked(columns: Sequence[str], needed: Sequence[str]) -> list[Column]:
+    """The columns of the input again, in the order in which they are named."""
+    return [F.col(f"`{c}`") if c in needed else F.col(f"{REST}.`{c}`").alias(c) for c in columns]
+
+
+def keeping(docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame], DataFrame], dropped: Sequence[str] = ()) -> DataFrame:
+    """`work` on the needed columns alone; its new columns stand behind the input's, of which those named like a new one or like one of `dropped` go."""
+    out = work(packed(docs, needed))
+    made = [c for c in out.columns if c not in needed and c != REST]
+    stay = [c for c in docs.columns if c not in made and c not in dropped]
+    return out.select(*unpacked(stay, needed), *made)
+
+
 def small_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with a settled side that is usually small: copied to executors only if its counted rows allow it, salted otherwise."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

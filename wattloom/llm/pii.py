@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import settle
+from wattloom.llm.common import keeping, settle
 from wattloom.llm.spans import let, matches
 
 # fixed values: the base kinds, in order, and the method's own
@@ -213,8 +213,10 @@ def _score(weights: dict[str, float], s: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, joined by commas) and n_spans; drops the text."""
-    results = [*[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"]
-    kept = docs.drop(*results)
+    return keeping(docs, ["text"], _found, ["text"])
+
+
+def _found(kept: DataFrame) -> DataFrame:
     found = settle(candidates(kept).drop("text"), "pii-candidates")
     cell = ["kind", *LABELERS, "size"]
     counts = found.select(F.explode("_spans").alias("s")).select("s.*").groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))

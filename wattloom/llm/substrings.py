@@ -20,11 +20,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wattloom.llm.common import BROADCAST_ROWS, settle
+from wattloom.llm.common import BROADCAST_ROWS, keeping, settle
 from wattloom.llm.words import NO_SPACE, Sums, grams, mix, slices, text_of, word_hashes
+from wattloom.operators.skew import salted_join
 
 LENGTH, SEED = 35, 8
 SPAN = LENGTH - SEED + 1  # seeds of a window
@@ -143,7 +145,8 @@ def _pruned(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """Documents joined with the ranges of their text; those without any stay where they are, if the keys are few enough to be sent everywhere."""
     keys = ranges.select("t")
     if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return docs.join(ranges, "t", how)
+        # copies of one text have one key; their own numbers spread them
+        return salted_join(docs.withColumn("_row", F.monotonically_increasing_id()), ranges, ["t"], how).drop("_row")
     some = docs.join(F.broadcast(keys), "t", "left_semi").join(ranges, "t")
     if how == "inner":
         return some
@@ -159,19 +162,24 @@ def _merged(rows: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(t, ranges): the word ranges (both ends inclusive) of each text that repeats somewhere, from (t, text)."""
     anchors = settle(docs.select("t", "text").mapInArrow(_find_anchors, ANCHORS), "repeat-anchors")
-    seed, kind = Window.partitionBy("h"), Window.partitionBy("h", "cls")
     weight = F.when(F.col("many"), F.lit(2)).otherwise(F.lit(1))
-    met = anchors.filter("h is not null").withColumn("_seed", F.sum(weight).over(seed)).withColumn("_kind", F.sum(weight).over(kind))
-    met = met.withColumn("_rank", F.row_number().over(kind.orderBy("t", "lo"))).filter("_seed > 1")
-    met = settle(met.select("t", "lo", "hi", (F.col("_kind") > 1).alias("whole"), ((F.col("_seed") > F.col("_kind")) & (F.col("_rank") == 1)).alias("differs")), "repeat-met")
+    # an anchor may stand in very many texts: its kinds are counted with partial sums, and only single rows of them meet
+    seeds = anchors.filter("h is not null")
+    kinds = seeds.groupBy("h", "cls").agg(F.sum(weight).alias("_kind"), F.min(F.struct("t", "lo", "hi")).alias("_first"))
+    kinds = settle(kinds, "repeat-kinds")
+    both = salted_join(kinds, kinds.groupBy("h").agg(F.sum("_kind").alias("_seed")).filter("_seed > 1"), ["h"])
+    differs = both.filter(F.col("_seed") > F.col("_kind")).select("_first.*")
+    again = salted_join(seeds, kinds.filter("_kind > 1").select("h", "cls"), ["h", "cls"], "left_semi").select("t", "lo", "hi")
+    met = settle(differs.withColumn("differs", F.lit(True)).unionByName(again.withColumn("differs", F.lit(False))), "repeat-met")
 
     differing = settle(_merged(met.filter("differs")), "repeat-differing")
     texts = _pruned(docs.select("t", "text"), differing, "inner").dropDuplicates(["t"]).select("t", "text", "ranges")
     windows = settle(texts.mapInArrow(_find_windows, "w long, v int, t long, at int, many boolean"), "repeat-windows")
-    again = windows.filter("w is not null").withColumn("_n", F.sum(weight).over(Window.partitionBy("w", "v"))).filter("_n > 1")
+    several = windows.filter("w is not null").groupBy("w", "v").agg(F.sum(weight).alias("_n")).filter("_n > 1").select("w", "v")
+    again = salted_join(windows.filter("w is not null"), several, ["w", "v"], "left_semi")
     again = again.select("t", "at").union(windows.filter("w is null").select("t", "at")).select("t", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
-    whole = anchors.filter("h is null").select("t", "lo", "hi").union(met.filter("whole").select("t", "lo", "hi"))
+    whole = anchors.filter("h is null").select("t", "lo", "hi").union(met.filter("not differs").select("t", "lo", "hi"))
     twice = docs.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", F.lit(0).alias("lo"), F.lit(2**31 - LENGTH - 1).alias("hi"))
     every = whole.union(again).select("t", "lo", (F.col("hi") + LENGTH - 1).alias("hi"))
     return settle(_merged(every.union(twice)), "repeat-ranges")
@@ -179,11 +187,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Adds `n_words`, `n_removed`, `kept_sha256` (and `kept_text`) to documents, and drops `text`."""
-    kept = docs.drop(*[r.split()[0] for r in RESULTS], "kept_text")
+    return keeping(docs, ["text"], lambda kept: _dedup(kept, with_text), ["text"])
+
+
+def _dedup(kept: DataFrame, with_text: bool) -> DataFrame:
     keyed = kept.withColumn("t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = _pruned(keyed, repeated_ranges(keyed), "left")
     others = [c for c in kept.columns if c != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text"] + list(RESULTS) + ["kept_text string"] * with_text)
+    made = StructType.fromDDL(", ".join([*RESULTS, *["kept_text string"] * with_text]))
+    schema = StructType([f for f in kept.schema.fields if f.name != "text"] + made.fields)
 
     def cut(batches):
         for batch in batches:
