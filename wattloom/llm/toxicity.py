@@ -1,10 +1,11 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text, normalised by length, with exception phrases.
 
-Folding lower-cases, maps look-alike letters and digit substitutions to plain letters and everything between words to a space. The lexicon
-starts from `BASE` and learns from labels: words and word beginnings that toxic texts use far more often than clean ones, weighted by that
-log ratio. Hits inside an exception phrase do not count. A logistic curve over the summed weight and the weight per hundred words gives the score.
+Folding lower-cases, takes compatibility forms and accents away, maps look-alike letters and digit substitutions to plain letters and everything between words to a space.
+The lexicon starts from `BASE` and learns from labels: words of any length, word beginnings, and, in runs of more than `RUN` letters such as scripts without spaces have, runs of
+`GRAMS` letters beyond ASCII, that toxic texts use far more often than clean ones, weighted by that log ratio. The automaton finds such a run of letters wherever it stands. Hits inside an exception phrase do not count. A logistic curve over the summed weight and the weight per hundred words gives the score.
 
-Learning: a documented bounded sample, about `TOXIC` toxic and `CLEAN` clean labelled texts drawn by hash of the id; the lexicon holds `TERMS` terms.
+Learning: a documented bounded sample, about `TOXIC` toxic and `CLEAN` clean labelled texts drawn by hash of the id; the lexicon
+holds the `terms` (a parameter, `TERMS` unless given) that most toxic texts of the sample use.
 The automaton and the curve are the only things broadcast.
 
 Defined results: a null or empty text has no hits and gets the curve's value there. A document with several labels is toxic if one of them
@@ -16,12 +17,14 @@ from __future__ import annotations
 
 import functools
 import math
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from wattloom.llm.common import settle
 
@@ -39,6 +42,7 @@ LOOKS_LIKE = {
 TOXIC, CLEAN = 15_000, 45_000
 TERMS = 5_000
 PREFIXES = (4, 5, 6)
+RUN, GRAMS = 20, (2, 3, 4)
 LEAST_TEXTS, LEAST_RATIO, MOST_WEIGHT = 4, 3.0, 6.0
 BASE_WEIGHT, BASE_CURVE = 4.0, (-4.0, 2.0, 1.0)
 THRESHOLD = 0.3
@@ -46,19 +50,27 @@ THRESHOLD = 0.3
 
 @functools.lru_cache(maxsize=1)
 def _folds() -> dict[int, str]:
-    out = {i: " " for i in range(128) if not chr(i).isalnum()} | {0xAD: "", 0x200B: "", 0x200C: "", 0x200D: ""}
+    out = {i: " " for i in range(128) if not chr(i).isalnum()} | {0xAD: "", 0x200B: "", 0x200C: "", 0x200D: ""} | {i: "" for i in range(0x300, 0x370)}
     return out | {ord(c): k for k, cs in LOOKS_LIKE.items() for c in cs}
 
 
 def fold(text: str | None) -> str:
     """Words in plain small letters, one space before and behind each."""
-    return " " + " ".join((text or "").lower().translate(_folds()).split()) + " "
+    plain = (text or "").lower()
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", plain)
+    return " " + " ".join(plain.translate(_folds()).split()) + " "
 
 
 def _terms(folded: str) -> set[str]:
-    """Whole words as ` word `, beginnings as ` begin`."""
-    words = {w for w in folded.split(" ") if 2 < len(w) <= 40}
-    return {f" {w} " for w in words} | {" " + w[:n] for w in words if len(w) > min(PREFIXES) for n in PREFIXES if len(w) > n}
+    """Whole words as ` word `, beginnings as ` begin`, runs of letters beyond ASCII in long words as they are."""
+    words = set(filter(None, folded.split(" ")))
+    found = {f" {w} " for w in words} | {" " + w[:n] for w in words if len(w) > min(PREFIXES) for n in PREFIXES if len(w) > n}
+    for w in words:
+        if len(w) > RUN and not w.isascii():
+            runs = (w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))
+            found.update(g for g in runs if not any(c.isascii() for c in g))
+    return found
 
 
 class Matcher:
@@ -116,7 +128,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
     return tuple(float(b) for b in beta)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[float, ...]]:
+def learn(docs: DataFrame, labels: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], tuple[float, ...]]:
     """Lexicon and curve from (doc_id, text) and (doc_id, toxic)."""
     base = {f" {fold(w).strip()} ": BASE_WEIGHT for w in BASE}
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -146,12 +158,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[f
                 yield flush()
         yield flush()
 
-    used = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, toxic int, n long")
+    # the sample is dealt evenly, so that it is counted by as many tasks as there are
+    even = sample.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    used = even.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, toxic int, n long")
     by = used.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("bad"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("good"))
     ratio = F.log((F.col("bad") + 0.1) / (size[1] + 0.2)) - F.log((F.col("good") + 0.1) / (size[0] + 0.2))
-    terms = by.filter(F.col("bad") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    # the most frequent terms of the toxic texts; TERMS bounds the model
-    top = terms.orderBy(F.desc("bad"), "good", "term").limit(TERMS).collect()
+    telling = by.filter(F.col("bad") >= LEAST_TEXTS).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    # the most frequent terms of the toxic texts; their number bounds the model
+    top = telling.orderBy(F.desc("bad"), "good", "term").limit(terms).collect()
     lexicon = base | {r["term"]: round(min(MOST_WEIGHT, r["ratio"]), 6) for r in top}
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -173,7 +187,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], tuple[float, ...]]) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted")
     at = kept.columns.index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["score double", "predicted int"])
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def scored(batches):
         lexicon, curve = shared.value
