@@ -1,78 +1,81 @@
-"""Exact top-k by inner product with the no-random-access algorithm (threshold bounds over sorted lists).
+"""Exact top-k by inner product with the no-random-access algorithm (score bounds from sorted lists).
 
-Every block of vectors has one list per dimension, sorted by component. For a query the lists are read in step, from the end that contributes most;
-a vector read in some lists has an upper bound: what was read plus the last value read of every other list. The lower bound to beat is the k-th
-exact score of an opening part of the block, which is read to the end. Reading stops when vectors not read yet cannot reach that bound
-and few of those read can; their final scores are then resolved from whole vectors.
+Every block of vectors has one list per dimension, sorted by component. For a query the lists are read in step, from the end that contributes most. A
+vector read in some lists has an upper bound, what was read plus the last value read of every other list, and a lower bound, what was read plus the least value of
+every other list. The k-th best lower bound is the bar: reading stops when no vector outside of a small set can reach it, read or not. The final scores of
+that set are then resolved from its vectors. Small blocks go the same way as large ones.
 
-Blocks of queries meet blocks of vectors, so that every task holds one bounded block of each; only k rows per query and block leave it.
+A block and its lists are built once in a task; the queries, dealt to all blocks, stream past it in batches, and only k rows per query and block leave it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; empty vectors neither. Scores of vectors of unequal
 length do not exist, so lengths never meet. Rows that repeat are rows of their own; a query's own row is left out by its place in the written table.
-Ties go to the smaller vec_id, then to the earlier row. Sums are exact while they stay below 2^52; beyond that the bounds are not used and scores wrap as 64-bit
+Ties go to the smaller vec_id, then to the earlier row. Bounds are whole numbers and exact; where a sum could pass 2^62 they say nothing, all lists are read to the end, and scores wrap as 64-bit
 integers do. An empty table has no results.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import settle
 
-VECTORS, QUERIES = 12_288, 1_024  # rows of a block
-OPENING = 512
-DEPTHS = (0.2, 0.35, 0.5, 0.65, 0.8, 1.0)
-FEW = 1 / 24  # share of a block that may be resolved at the end
+VECTORS = 4_096  # rows of a block
+DEPTHS = (0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 1.0)
+FEW = 1 / 24  # share of a block that may be left to resolve at the end
 RESULT = "query_id long, _query long, vec_id long, _row long, score long"
+TYPES = pa.schema([(c, pa.int64()) for c in ("query_id", "_query", "vec_id", "_row", "score")])
 
 
 class Block:
-    """Vectors of one length and their sorted lists."""
+    """Vectors of one length and their sorted lists, in the narrowest integers that hold them."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray):
-        self.x, self.ids, self.rows = x, ids, rows
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
+        self.x, self.ids, self.rows = x.astype(kind), ids, rows
         # per dimension, ascending: places and components
-        self.lists = np.argsort(x, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(x.T, self.lists, axis=1).astype(float)
-        self.most = np.abs(x).max(axis=0).astype(float)
+        self.lists = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(self.x.T, self.lists, axis=1)
+        self.most = [max(abs(int(v[0])), abs(int(v[-1]))) for v in self.values]
 
-    def search(self, q: np.ndarray, own: int, k: int) -> list[int]:
-        """Places of the k best rows other than `own`."""
+    def candidates(self, q: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Places of the rows that may be among the k best other than `own`, by the lists alone."""
         n = len(self.x)
-        opening = min(n, OPENING)
-        exact = self.x[:opening] @ q
-        exact = exact[self.rows[:opening] != own]
         dims = np.flatnonzero(q)
-        if len(exact) < k or n == opening or (np.abs(q) * self.most).sum() >= 2.0**52:
-            return self._best(q, own, k, np.arange(n))
-        bound = np.partition(exact, len(exact) - k)[len(exact) - k]
-        read = np.zeros(n)
-        seen = np.zeros((len(dims), n))
-        last = np.zeros(len(dims))
+        others = self.rows != own
+        if sum(abs(int(q[d])) * self.most[d] for d in dims) >= 1 << 62:
+            return np.flatnonzero(others)
+        # what the lists that were not read contribute at least and at most
+        ends = np.stack([self.values[dims, 0].astype(np.int64), self.values[dims, -1].astype(np.int64)]) * q[dims]
+        least, last = ends.min(axis=0), ends.max(axis=0)
+        read, seen = np.zeros(n, np.int64), np.zeros((n, len(dims)), bool)
         begin = 0
-        places = np.arange(n)
+        places = np.flatnonzero(others)
         for depth in DEPTHS:
             end = max(begin + 1, int(np.ceil(n * depth)))
             for j, d in enumerate(dims):
-                part = slice(n - end, n - begin) if q[d] > 0 else slice(begin, end)
-                got, value = self.lists[d, part], self.values[d, part] * q[d]
-                read[got] += value
-                seen[j, got] = 1
-                last[j] = value[0] if q[d] > 0 else value[-1]
+                part = slice(max(n - end, 0), n - begin) if q[d] > 0 else slice(begin, end)
+                got, value = self.lists[d, part], self.values[d, part].astype(np.int64) * q[d]
+                if len(got):
+                    read[got] += value
+                    seen[got, j] = True
+                    last[j] = value[0] if q[d] > 0 else value[-1]
             begin = end
-            unread = last.sum()
-            upper = read + unread - last @ seen  # sums of integers, so exact
-            places = np.flatnonzero(upper >= bound)
-            if len(places) <= max(8 * k, FEW * n):
+            lower = read + (least.sum() - seen @ least)
+            upper = read + (last.sum() - seen @ last)
+            if others.sum() > k:
+                bar = np.partition(lower[others], others.sum() - k)[others.sum() - k]
+                places = np.flatnonzero(others & (upper >= bar))
+            if len(places) <= max(8 * k, FEW * n) or end >= n:
                 break
-        return self._best(q, own, k, places)
+        return places
 
-    def _best(self, q, own, k, places) -> list[int]:
-        places = places[self.rows[places] != own]
-        score = self.x[places] @ q
+    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """Places and scores of the k best rows other than `own`."""
+        places = self.candidates(q, own, k)
+        score = self.x[places].astype(np.int64) @ q
         if len(places) > 4 * k:
             cut = np.partition(score, len(score) - k)[len(score) - k]
             places, score = places[score >= cut], score[score >= cut]
@@ -87,27 +90,43 @@ def vectors(table: DataFrame, scale: int = 256) -> DataFrame:
     return table.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def top_k(vecs: DataFrame, is_query: Column, k: int = 5, block: int = VECTORS, queries: int = QUERIES) -> DataFrame:
+def _searched(k: int):
+    """Rows (length, block, query or not, id, row, vector), sorted, to RESULT: a block's own rows come first and are built once, its queries follow in batches of any size."""
+
+    def run(batches):
+        key, ids, rows, xs, block = None, [], [], [], None
+        for batch in batches:
+            out = []
+            for d, b, asked, name, row, v in zip(*[c.to_pylist() if i < 5 else c for i, c in enumerate(batch.columns)]):
+                if (d, b) != key:
+                    key, ids, rows, xs, block = (d, b), [], [], [], None
+                x = np.asarray(v.values, np.int64)
+                if not asked:
+                    ids.append(name)
+                    rows.append(row)
+                    xs.append(x)
+                elif xs or block:
+                    if block is None:
+                        block = Block(np.stack(xs), np.array(ids), np.array(rows))
+                        xs = []
+                    out += [(name, row, int(block.ids[p]), int(block.rows[p]), s) for p, s in block.search(x, row, k)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=TYPES)
+
+    return run
+
+
+def top_k(vecs: DataFrame, is_query: Column, k: int = 5, block: int = VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other rows for every row of (vec_id, v) that is a query."""
     rows = settle(vecs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.size("v")), "vectors")
-    n, m = rows.count(), rows.filter(is_query).count()
-    blocks, groups = -(-n // block) or 1, -(-m // queries) or 1
-    deal = lambda parts: F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")
-    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.withColumn("_b", deal(blocks)).withColumn("_g", spread(groups))
-    right = rows.filter(is_query).withColumn("_g", deal(groups)).withColumn("_b", spread(blocks))
-
-    def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(asked):
-            own = own.sort_values("_row")
-            b = Block(np.stack(own["v"].to_list()).astype(np.int64), own["vec_id"].to_numpy(), own["_row"].to_numpy())
-            for q, name, row in zip(asked["v"], asked["vec_id"], asked["_row"]):
-                out += [(name, row, int(b.ids[p]), int(b.rows[p]), s) for p, s in b.search(np.asarray(q, np.int64), row, k)]
-        return pd.DataFrame(out, columns=["query_id", "_query", "vec_id", "_row", "score"]).astype("int64")
-
-    keys = ["_d", "_b", "_g"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, RESULT)
+    blocks = -(-rows.count() // block) or 1
+    columns = ["_d", "_b", "_asked", "vec_id", "_row", "v"]
+    own = rows.withColumns({"_b": F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"), "_asked": F.lit(0)})
+    asked = rows.filter(is_query).withColumns({"_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "_asked": F.lit(1)})
+    spark = vecs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    dealt = own.select(*columns).unionByName(asked.select(*columns)).repartition(tasks, "_d", "_b").sortWithinPartitions(*columns[:5])
+    near = dealt.mapInArrow(_searched(k), RESULT)
     # k rows per query and block
     order = Window.partitionBy("_query").orderBy(F.desc("score"), "vec_id", "_row")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
