@@ -5,10 +5,11 @@ item's seeds are those not much more frequent than its rarer quarter, so that an
 seeds with an item on nearby diagonals, the stretch around them is aligned with the item word by word (match 1, mismatch and gap -1). The score is the
 best local alignment over the item's words; at `THRESHOLD` or more the text holds the item, be it exact, edited or paraphrased.
 
-One seed is enough for an alignment, since edits all over a passage may leave no more. Items are taken in blocks of `ITEMS`, so that the index of a block, which is broadcast, is bounded; every block
-meets all texts in one pass, without a shuffle of texts.
+One seed is enough for an alignment, since edits all over a passage may leave no more. An item of one or two words is its own seed. Items are taken in blocks of `ITEMS`: the index of
+one block is broadcast, meets all texts in one pass, writes the best hit of every text that has one under a digest of the text, and is taken back before the next block comes. So
+what is broadcast and kept is bounded however many items there are, and texts do not move.
 
-Defined results: null and empty texts, and texts without a hit, are clean with score 0 and no item. Items with fewer than three words are not searched.
+Defined results: null and empty texts, and texts without a hit, are clean with score 0 and no item. Items without a word are not searched.
 Equal scores go to the smaller item_id. Repeated rows are judged each; repeated items count once by id and text. Empty tables: all clean.
 Input columns named like a result are replaced; others are kept.
 """
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.common import keeping, settle, small_join
 from wattloom.llm.words import ALNUM, grams, slices, text_of, word_hashes
 
 N = 3
 ITEMS = 20_000
 THRESHOLD = 0.4
 TABLE_BITS = 22
-RESULTS = ("contaminated boolean", "item_id long", "overlap double", "first_word long", "last_word long")
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,21 +61,17 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, first, last
 
 
-class Index:
-    """Words and n-grams of a block of items."""
+class Seeds:
+    """n-grams of items, sorted, with the item and place that each stands for."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        h, first = word_hashes(texts, ALNUM, lower=True)
-        self.ids = ids
-        self.items = [h[a:b] for a, b in zip(first[:-1], first[1:])]
-        g, at = grams(h, first, N)
-        item = text_of(first)[at] if len(at) else at
-        order = np.argsort(g, kind="stable")
-        self.all, self.owner, self.place = g[order], item[order], (at - first[item])[order]
-        self.keys = np.unique(self.all)
+    def __init__(self, n: int, grams_: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        order = np.argsort(grams_, kind="stable")
+        self.n, self.all, self.owner, self.place = n, grams_[order], owner[order], place[order]
         self._table()
 
     def _table(self):
+        self.keys, first = np.unique(self.all, return_index=True)
+        self.first = np.append(first, len(self.all))
         self.filter = np.zeros(1 << TABLE_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - TABLE_BITS)] = True
 
@@ -87,19 +84,67 @@ class Index:
         return at[same], k[same]
 
     def choose(self, count: np.ndarray):
-        """Keeps the seeds; count is by key."""
+        """Keeps the rare ones of each item; count is by key."""
         own = count[np.searchsorted(self.keys, self.all)]
-        n = len(self.items)
-        limit = np.zeros(n)
+        limit = np.zeros(int(self.owner.max()) + 1)
         for i, c in zip(*_by_item(self.owner, own)):
             limit[i] = 2 * np.quantile(c, 0.25) + 2
         seed = own <= limit[self.owner]
         self.all, self.owner, self.place = self.all[seed], self.owner[seed], self.place[seed]
-        self.keys, first = np.unique(self.all, return_index=True)
-        self.first = np.append(first, len(self.all))
         self._table()
+
+
+class Index:
+    """Words and n-grams of a block of items: N-grams of all, and the whole sequence of those with fewer words."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        h, first = word_hashes(texts, ALNUM, lower=True)
+        self.ids = ids
+        self.items = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        size = np.diff(first)
+        self.seeds = []
+        for n in range(1, N + 1):
+            g, at = grams(h, first, n)
+            if not len(at):
+                continue
+            item = text_of(first)[at]
+            whole = size[item] >= N if n == N else size[item] == n
+            if whole.any():
+                self.seeds.append(Seeds(n, g[whole], item[whole], (at - first[item])[whole]))
+
+    def __len__(self):
+        return sum(len(s.keys) for s in self.seeds)
+
+    def counts(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How often each key of all seeds, one kind after the other, stands in texts."""
+        out = [np.zeros(0, np.int64)]
+        for s in self.seeds:
+            g, _ = grams(h, first, s.n)
+            out.append(np.bincount(s.hits(g)[1], minlength=len(s.keys)) if len(g) else np.zeros(len(s.keys), np.int64))
+        return np.concatenate(out)
+
+    def choose(self, count: np.ndarray):
+        """Keeps the seeds; count is by key."""
+        at = 0
+        for s in self.seeds:
+            n = len(s.keys)
+            s.choose(count[at : at + n])
+            at += n
         return self
 
+    def found(self, h: np.ndarray, first: np.ndarray):
+        """(word, item, place) of every seed that stands in texts: each n-gram of a text with each place it has in an item."""
+        out = []
+        for s in self.seeds:
+            g, at = grams(h, first, s.n)
+            if not len(g):
+                continue
+            hit, key = s.hits(g)
+            times = s.first[key + 1] - s.first[key]
+            entry = np.repeat(s.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            out.append((np.repeat(at[hit], times), s.owner[entry], s.place[entry]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
 
 def _by_item(owner: np.ndarray, values: np.ndarray):
     order = np.argsort(owner, kind="stable")
@@ -109,15 +154,7 @@ def _by_item(owner: np.ndarray, values: np.ndarray):
 
 def _candidates(index: Index, h: np.ndarray, first: np.ndarray):
     """(text, item, begin, end) of the stretches to align, in words of all texts."""
-    g, at = grams(h, first, N)
-    if not len(g) or not len(index.keys):
-        return []
-    hit, key = index.hits(g)
-    # each n-gram of a text with each place it has in an item
-    times = index.first[key + 1] - index.first[key]
-    entry = np.repeat(index.first[key], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    word = np.repeat(at[hit], times)
-    item, place = index.owner[entry], index.place[entry]
+    word, item, place = index.found(h, first)
     if not len(word):
         return []
     text = np.searchsorted(first, word, side="right") - 1
@@ -169,52 +206,63 @@ def _judge(index: Index, texts: list):
     return best
 
 
+HITS = "_d binary, share double, item_id long, first_word long, last_word long"
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = ITEMS) -> DataFrame:
     """Adds `contaminated`, `item_id` (the best item at the threshold or above), `overlap` (its score, or the best below), `first_word` and `last_word`."""
-    spark = docs.sparkSession
-    kept = docs.drop(*[r.split()[0] for r in RESULTS])
-    at = kept.columns.index("text")
+    return keeping(docs, ["text"], lambda kept: _judged(kept, items, threshold, block))
+
+
+def _counts(sent):
+    def count(batches):
+        index = sent.value
+        total = np.zeros(len(index), np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i, j in slices(texts):
+                total += index.counts(*word_hashes(texts[i:j], ALNUM, lower=True))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["key", "n"])
+
+    return count
+
+
+def _hits(sent):
+    def judge(batches):
+        for batch in batches:
+            best = _judge(sent.value, batch.column(1).to_pylist())
+            rows = sorted(best)
+            columns = list(zip(*[best[t] for t in rows])) if rows else [[]] * 4
+            made = [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.int64(), pa.int64()))]]
+            yield pa.RecordBatch.from_arrays(made, names=["_d", "share", "item_id", "first_word", "last_word"])
+
+    return judge
+
+
+def _judged(kept: DataFrame, items: DataFrame, threshold: float, block: int) -> DataFrame:
+    spark = kept.sparkSession
+    keyed = kept.withColumn("_d", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     items = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-items.count() // block))
-    shared = []
+    found = None
     for b in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a bounded block
         index = Index([r["item_id"] for r in mine], [r["text"] for r in mine])
         sent = spark.sparkContext.broadcast(index)
-
-        def count(batches, sent=sent):
-            own = sent.value
-            total = np.zeros(len(own.keys), np.int64)
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for i, j in slices(texts):
-                    g, _ = grams(*word_hashes(texts[i:j], ALNUM, lower=True), N)
-                    if len(g) and len(total):
-                        total += np.bincount(own.hits(g)[1], minlength=len(total))
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["key", "n"])
-
         # one row per n-gram of the block
-        got = kept.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros(len(index.keys), np.int64)
+        got = kept.select("text").mapInArrow(_counts(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+        sent.destroy()
+        total = np.zeros(len(index), np.int64)
         total[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-        shared.append(spark.sparkContext.broadcast(index.choose(total)))
-
-    def judge(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            best: dict[int, tuple] = {}
-            for s in shared:
-                for t, found in _judge(s.value, texts).items():
-                    best[t] = min(best.get(t, found), found)
-            out = []
-            for t in range(len(texts)):
-                share, item, first, last = best.get(t, (0.0, None, None, None))
-                held = -share >= threshold
-                out.append((held, item if held else None, abs(share), first if held else None, last if held else None))
-            columns = list(zip(*out)) if out else [[]] * 5
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[r.split()[0] for r in RESULTS]])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + list(RESULTS))
-    return kept.mapInArrow(judge, schema)
+        sent = spark.sparkContext.broadcast(index.choose(total))
+        hits = settle(keyed.select("_d", "text").mapInArrow(_hits(sent), HITS), "leak-hits")
+        sent.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    # copies of a text have one digest and one result
+    best = found.groupBy("_d").agg(F.min(F.struct("share", "item_id", "first_word", "last_word")).alias("_b"))
+    out = small_join(keyed, settle(best, "leak-best"), ["_d"], "left")
+    held = F.coalesce(-F.col("_b.share") >= threshold, F.lit(False))
+    made = {c: F.when(held, F.col(f"_b.{c}")) for c in ("item_id", "first_word", "last_word")}
+    overlap = F.coalesce(-F.col("_b.share"), F.lit(0.0))
+    return out.select(*kept.columns, held.alias("contaminated"), made["item_id"].alias("item_id"), overlap.alias("overlap"), made["first_word"].alias("first_word"), made["last_word"].alias("last_word"))
