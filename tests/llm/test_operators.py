@@ -374,7 +374,7 @@ def test_top_k(spark):
     x[100:900] = x[100]  # ties
     rows = [(i, [float(v) for v in x[i]], 1) for i in range(len(x))] + [(100, [float(v) for v in x[100]], 2), (5000, None, 1), (5001, [1.0, None], 1), (5002, [float("nan")] * 16, 1), (5050, [float("inf")] * 16, 1), (5100, [1.0, 2.0], 1), (None, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = topk.top_k(topk.vectors(df), F.col("vec_id") % 50 == 0, block=700, queries=20).collect()
+    got = topk.top_k(topk.vectors(df), F.col("vec_id") % 50 == 0, block=700).collect()
     v = np.floor(256 * x.astype(float)).astype(np.int64)
     v, ids = np.vstack([v, v[100]]), [*range(3000), 100]
     want = []
