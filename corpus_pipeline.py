@@ -1,6 +1,11 @@
 """The corpus pipeline: documents through its stages, each written as Parquet and read again as the next one's documents.
 
 Every stage takes all documents that its predecessor kept and returns rows with the columns of documents, but for the last, which returns what it wrote.
+
+A stage sees the columns that it works on (doc_id, text and, for mixing, source) and all others as one struct, so columns of any name come through unchanged.
+Null or empty texts: hold nothing toxic and no benchmark item, so both stages keep them; the Jaccard join links them with nothing and keeps them; they have no words, so the mix takes
+them as often as it takes whole rounds of their source; their token ids are the end id alone. Rows that repeat in whole, id and text, are one document to the Jaccard join
+and stand as often as they come elsewhere. A null doc_id comes last among equals, a null source is a source. Ties are broken as the operators say. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,30 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import decontaminate, jaccard, language, mixing, tokens, toxicity
-from wattloom.llm.common import settle, table
+from wattloom.llm.common import packed, settle, table, unpacked
+
+NEEDED = ("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model, learned from the labels of these documents, predicts toxic."""
     labels = table(spark, sf_dir, "labels").filter(~language.held_out(F.col("doc_id"), 4, 2))
-    scored = toxicity.score(docs, toxicity.learn(docs, labels))
-    return scored.filter(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity.score(packed(docs, NEEDED), toxicity.learn(docs.select(*NEEDED), labels))
+    return scored.filter(F.col("predicted") == 0).select(*unpacked(docs.columns, NEEDED))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts: the one with the smallest id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(packed(docs, NEEDED)).select(*unpacked(docs.columns, NEEDED))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = decontaminate.decontaminate(packed(docs, NEEDED), table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select(*unpacked(docs.columns, NEEDED))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's share takes them."""
-    return mixing.mixed_documents(docs)
+    needed = (*NEEDED, "source")
+    return mixing.mixed_documents(packed(docs, needed)).select(*unpacked(docs.columns, needed))
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
