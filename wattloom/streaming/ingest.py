@@ -209,7 +209,7 @@ def ingest(own: DataFrame, store: Store, commit_id: str, bounds: DataFrame, cfg:
 
     def work(base: int):
         new = store_table(_placed(own.select(*RAW), store).withColumn("arrived", F.lit(base + 1).cast("long")), "delivery")
-        changed = store_table(new.select(*PARTS).distinct(), "days")
+        changed = new.select(*PARTS).distinct()
         old = snapshots.read("raw", RAW_TABLE, changed, PARTS, base)
         raw = snapshots.stage("raw", _merged(old, new), changed, PARTS)
         replaced = old.join(new.select("tenant_id", "circuit_id", "ts").distinct(), ["tenant_id", "circuit_id", "ts"], "left_semi")
@@ -219,14 +219,14 @@ def ingest(own: DataFrame, store: Store, commit_id: str, bounds: DataFrame, cfg:
 
         shards = hits.select("shard").distinct()
         series = snapshots.read("series", SERIES_TABLE, shards, ["shard"], base)
-        extents = store_table(_extents(series, new), "extents")
+        extents = _extents(series, new)
         rows = _Rows(snapshots, base, raw.rows, changed)
         pieces = _pieces(ends, 4 * (reach.after + reach.context) // 24)
-        windows = store_table(_windows(pieces, extents, hits.select(*CIRCUIT, _kind().alias("kind")).distinct(), rows, reach), "windows")
+        windows = _windows(pieces, extents, hits.select(*CIRCUIT, _kind().alias("kind")).distinct(), rows, reach)
 
         fresh = store_table(_own_readings(rows.of(windows), windows, bounds, cfg, store), "readings")
         days = windows.select("shard", F.explode(F.sequence(F.to_date("left"), F.to_date("right"))).alias("day")).distinct()
-        touched = store_table(days.unionByName(fresh.select(*PARTS)).distinct(), "parts")
+        touched = days.unionByName(fresh.select(*PARTS)).distinct()
         before = snapshots.read("readings", READINGS_TABLE, touched, PARTS, base)
         ranges = windows.select(*[F.col(c).alias(f"_{c}") for c in CIRCUIT], "left", "right")
         test = F.col("ts").between(F.col("left"), F.col("right"))
