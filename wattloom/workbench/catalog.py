@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("gate_checks", "source_checks", "feature_checks", "scenario_checks", "governance_checks", "model_checks", "stream_checks", "plan_checks")
+MODULES = ("gate_checks", "source_checks", "feature_checks", "scenario_checks", "governance_checks", "model_checks", "stream_checks", "plan_checks", "store_checks")
 
 
 def _load(attr: str) -> dict:
