@@ -120,15 +120,20 @@ def test_bounds_alone_find_the_best(spark, monkeypatch):
         x = rng.integers(-200, 200, (n, 16))
         x[rng.integers(0, n, n // 4)] = x[0]
         block = topk.Block(x, np.arange(n), np.arange(n))
-        for own in (0, n - 1, -1):
-            q = x[own]
+        owns = [0, n - 1, -1]
+        queries = x[owns]
+        got, kept = block.search(queries, owns, 5), block.candidates(queries, owns, 5)
+        for q, own, best, places in zip(queries, owns, got, kept):
             others = np.flatnonzero(np.arange(n) != own)
             score = x[others] @ q
             want = [(int(others[i]), int(score[i])) for i in np.lexsort((others, -score))[:5]]
-            assert block.search(q, own, 5) == want
-            assert set(p for p, _ in want) <= set(block.candidates(q, own, 5).tolist())
+            assert best == want and set(p for p, _ in want) <= set(places.tolist()) and own not in places
+        for end in {1, n // 2 + 1, n}:
+            lower, upper = block.bounds(queries, end)
+            exact = x @ queries.T
+            assert (lower <= exact).all() and (exact <= upper).all() and (end < n or (lower == upper).all())
     huge = np.array([[2**61, 1], [2**61, 2], [3, 4]])
-    assert len(topk.Block(huge, np.arange(3), np.arange(3)).candidates(huge[0], 0, 1)) == 2
+    assert len(topk.Block(huge, np.arange(3), np.arange(3)).candidates(huge[:1], [0], 1)[0]) == 2
 
 
 # --- language ------------------------------------------------------------------------------------

@@ -5,11 +5,14 @@ vector read in some lists has an upper bound, what was read plus the last value
 every other list. The k-th best lower bound is the bar: reading stops when no vector outside of a small set can reach it, read or not. The final scores of
 that set are then resolved from its vectors. Small blocks go the same way as large ones.
 
-A block and its lists are built once in a task; the queries, dealt to all blocks, stream past it in batches, and only k rows per query and block leave it.
+Lists are read to the same depths for all queries. Down to a depth, a vector's share of a bound in one dimension is its component where the list was read up to it, else the last
+component read (upper) or the list's end (lower), whatever the query; only the sign of the query's component says from which end the list is read. So the bounds of
+a batch of queries are products with four tables of the block, made once per depth. A block is built once in a task; the queries, dealt to all blocks, stream past it
+in batches, and only k rows per query and block leave it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; empty vectors neither. Scores of vectors of unequal
 length do not exist, so lengths never meet. Rows that repeat are rows of their own; a query's own row is left out by its place in the written table.
-Ties go to the smaller vec_id, then to the earlier row. Bounds are whole numbers and exact; where a sum could pass 2^62 they say nothing, all lists are read to the end, and scores wrap as 64-bit
+Ties go to the smaller vec_id, then to the earlier row. Bounds are whole numbers and exact; where a sum could pass 2^52 they say nothing, all lists are read to the end, and scores wrap as 64-bit
 integers do. An empty table has no results.
 """
 
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import settle
 
 VECTORS = 4_096  # rows of a block
-DEPTHS = (0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 1.0)
+BATCH = 256  # queries that are searched together
+DEPTHS = (0.25, 0.5, 0.75, 1.0)
 FEW = 1 / 24  # share of a block that may be left to resolve at the end
 RESULT = "query_id long, _query long, vec_id long, _row long, score long"
 TYPES = pa.schema([(c, pa.int64()) for c in ("query_id", "_query", "vec_id", "_row", "score")])
@@ -35,52 +39,56 @@ class Block:
     def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
         self.x, self.ids, self.rows = x.astype(kind), ids, rows
-        # per dimension, ascending: places and components
-        self.lists = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(self.x.T, self.lists, axis=1)
-        self.most = [max(abs(int(v[0])), abs(int(v[-1]))) for v in self.values]
-
-    def candidates(self, q: np.ndarray, own: int, k: int) -> np.ndarray:
-        """Places of the rows that may be among the k best other than `own`, by the lists alone."""
+        self.place = {int(r): i for i, r in enumerate(rows)}
+        self.lists = np.sort(self.x, axis=0)  # per dimension, ascending
+        self.most = np.maximum(np.abs(self.lists[0].astype(float)), np.abs(self.lists[-1].astype(float)))
+        self.tables: dict[int, tuple] = {}
+
+    def _tables(self, end: int) -> tuple:
+        """What every component adds at most and at least, per unit of a positive and of a negative query component, after `end` entries of all lists."""
+        if end not in self.tables:
+            high, low = self.lists[len(self.x) - end], self.lists[end - 1]
+            least = np.where(self.x >= high, self.x, self.lists[0]), np.where(self.x <= low, self.x, self.lists[-1])
+            self.tables[end] = tuple(t.astype(float) for t in (np.maximum(self.x, high), np.minimum(self.x, low), *least))
+        return self.tables[end]
+
+    def bounds(self, queries: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all rows (down) for queries (across) after `end` entries of all lists."""
+        up, down, least_up, least_down = self._tables(end)
+        plus, minus = np.maximum(queries, 0).T.astype(float), np.minimum(queries, 0).T.astype(float)
+        return least_up @ plus + least_down @ minus, up @ plus + down @ minus
+
+    def candidates(self, queries: np.ndarray, owns: list[int], k: int) -> list[np.ndarray]:
+        """Per query the places of the rows that may be among its k best other than its own, by the lists alone."""
         n = len(self.x)
-        dims = np.flatnonzero(q)
-        others = self.rows != own
-        if sum(abs(int(q[d])) * self.most[d] for d in dims) >= 1 << 62:
-            return np.flatnonzero(others)
-        # what the lists that were not read contribute at least and at most
-        ends = np.stack([self.values[dims, 0].astype(np.int64), self.values[dims, -1].astype(np.int64)]) * q[dims]
-        least, last = ends.min(axis=0), ends.max(axis=0)
-        read, seen = np.zeros(n, np.int64), np.zeros((n, len(dims)), bool)
-        begin = 0
-        places = np.flatnonzero(others)
+        own = [self.place.get(int(o)) for o in owns]
+        out = [np.delete(np.arange(n), [] if o is None else o) for o in own]
+        unsure = np.flatnonzero(np.abs(queries.astype(float)) @ self.most < 2.0**52)
         for depth in DEPTHS:
-            end = max(begin + 1, int(np.ceil(n * depth)))
-            for j, d in enumerate(dims):
-                part = slice(max(n - end, 0), n - begin) if q[d] > 0 else slice(begin, end)
-                got, value = self.lists[d, part], self.values[d, part].astype(np.int64) * q[d]
-                if len(got):
-                    read[got] += value
-                    seen[got, j] = True
-                    last[j] = value[0] if q[d] > 0 else value[-1]
-            begin = end
-            lower = read + (least.sum() - seen @ least)
-            upper = read + (last.sum() - seen @ last)
-            if others.sum() > k:
-                bar = np.partition(lower[others], others.sum() - k)[others.sum() - k]
-                places = np.flatnonzero(others & (upper >= bar))
-            if len(places) <= max(8 * k, FEW * n) or end >= n:
+            unsure = np.array([j for j in unsure if len(out[j]) > max(8 * k, FEW * n)], int)
+            if not len(unsure):
                 break
-        return places
-
-    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """Places and scores of the k best rows other than `own`."""
-        places = self.candidates(q, own, k)
-        score = self.x[places].astype(np.int64) @ q
-        if len(places) > 4 * k:
-            cut = np.partition(score, len(score) - k)[len(score) - k]
-            places, score = places[score >= cut], score[score >= cut]
-        best = np.lexsort((self.rows[places], self.ids[places], -score))[:k]
-        return [(int(places[i]), int(score[i])) for i in best]
+            lower, upper = self.bounds(queries[unsure], min(n, int(np.ceil(n * depth))))
+            for c, j in enumerate(unsure):
+                if own[j] is not None:
+                    lower[own[j], c] = upper[own[j], c] = -np.inf
+            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(unsure), -np.inf)
+            reach = upper >= np.maximum(bar, -(2.0**60))
+            for c, j in enumerate(unsure):
+                out[j] = np.flatnonzero(reach[:, c])
+        return out
+
+    def search(self, queries: np.ndarray, owns: list[int], k: int) -> list[list[tuple[int, int]]]:
+        """Per query the places and scores of its k best rows other than its own."""
+        found = []
+        for q, places in zip(queries, self.candidates(queries, owns, k)):
+            score = self.x[places].astype(np.int64) @ q
+            if len(places) > 4 * k:
+                cut = np.partition(score, len(score) - k)[len(score) - k]
+                places, score = places[score >= cut], score[score >= cut]
+            best = np.lexsort((self.rows[places], self.ids[places], -score))[:k]
+            found.append([(int(places[i]), int(score[i])) for i in best])
+        return found
 
 
 def vectors(table: DataFrame, scale: int = 256) -> DataFrame:
@@ -94,11 +102,20 @@ def _searched(k: int):
     """Rows (length, block, query or not, id, row, vector), sorted, to RESULT: a block's own rows come first and are built once, its queries follow in batches of any size."""
 
     def run(batches):
-        key, ids, rows, xs, block = None, [], [], [], None
+        key, ids, rows, xs, block, waiting = None, [], [], [], None, []
+
+        def flush():
+            nonlocal waiting
+            found = block.search(np.stack([x for _, _, x in waiting]), [row for _, row, _ in waiting], k)
+            out = [(name, row, int(block.ids[p]), int(block.rows[p]), s) for (name, row, _), best in zip(waiting, found) for p, s in best]
+            waiting = []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], schema=TYPES)
+
         for batch in batches:
-            out = []
             for d, b, asked, name, row, v in zip(*[c.to_pylist() if i < 5 else c for i, c in enumerate(batch.columns)]):
                 if (d, b) != key:
+                    if waiting:
+                        yield flush()
                     key, ids, rows, xs, block = (d, b), [], [], [], None
                 x = np.asarray(v.values, np.int64)
                 if not asked:
@@ -109,9 +126,11 @@ def _searched(k: int):
                     if block is None:
                         block = Block(np.stack(xs), np.array(ids), np.array(rows))
                         xs = []
-                    out += [(name, row, int(block.ids[p]), int(block.rows[p]), s) for p, s in block.search(x, row, k)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=TYPES)
+                    waiting.append((name, row, x))
+                    if len(waiting) == BATCH:
+                        yield flush()
+        if waiting:
+            yield flush()
 
     return run
 
