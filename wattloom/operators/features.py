@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.config import BASE_FEATURES, DAY_TYPE_CODES, FEATURE_SCHEMA_VERSION, FeatureConfig
 from wattloom.functions.scalars import coded, flag, iso_weekday
-from wattloom.operators.ranking import position_in_group
+from wattloom.operators.ranking import placed_rows, position_in_group
 from wattloom.operators.skew import salted_join
 
 ROW = ("tenant_id", "circuit_id", "ts")
@@ -139,7 +139,11 @@ def chronological_split(features: DataFrame, train: float = 0.7, validation: flo
     """Adds `split` by position in time within each building (or over all rows with no keys)."""
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("fractions must lie in (0, 1) and leave a test share")
-    placed = position_in_group(features, keys, "ts", ["circuit_id"])
+    if keys:
+        placed = position_in_group(features, keys, "ts", ["circuit_id"])
+    else:
+        # one group in all: ranges of rows, with the sums of the ranges before
+        placed = placed_rows(features, [], [F.col("ts"), F.col("circuit_id")]).withColumn("position", F.col("position") + 1)
     first = F.floor(F.col("group_rows") * train)
     second = first + F.floor(F.col("group_rows") * validation)
     return placed.withColumn(

@@ -1,9 +1,8 @@
 """Data-quality gate over many batches at once.
 
 Plan: raw rows -> cells -> hourly sums -> grid -> per-row checks in one projection; only interval issues
-(stuck, dropout) and whole-batch issues come back through joins. Interval issues are spread to
-the hours they touch, reduced to the worst severity per circuit-hour, and joined by equality, so
-no range join is planned and no circuit gathers in one task.
+(stuck, dropout) and whole-batch issues come back. Interval issues meet the readings in a sweep over
+their starts and ends, in buckets of time, so no range join is planned and no interval is spelled out.
 """
 
 from __future__ import annotations
@@ -11,16 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.config import DEFAULT_BOUNDS, NORMALIZATION_VERSION, SCHEMA_VERSION, GateConfig
 from wattloom.functions.scalars import (
     digest16,
     fixed_text,
-    hour_ceil,
-    hour_floor,
-    hours_seq,
     name_key,
     rank_status,
     status_rank,
@@ -179,17 +175,31 @@ def bounds_issues(bounded: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 # --- issues onto readings ---------------------------------------------------------------------
-def touched_hours(issues: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Worst severity per circuit-hour inside the closed interval of any issue."""
-    return (
-        issues.select(
-            *keys,
-            F.explode(hours_seq(hour_ceil("ts_start"), hour_floor(F.coalesce("ts_end", "ts_start")))).alias("ts"),
-            status_rank("severity").alias("_rank"),
-        )
-        .groupBy(*keys, "ts")
-        .agg(F.max("_rank").alias("_issue_rank"))
+BUCKET_DAYS = 30
+
+
+def covering_rank(readings: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Adds `_issue_rank`: the worst severity of the closed intervals (ts_start, ts_end; without an end the start alone) that cover a reading's stamp, whatever stamps there are.
+
+    A sweep in the order of time counts the intervals of each severity that are open: an interval is a start and an end, not its hours. Time is cut into buckets of
+    BUCKET_DAYS, in each of which an interval that reaches into it stands once, so a long interval is few rows and a long series many small groups.
+    """
+    width = F.lit(BUCKET_DAYS * 86_400_000_000)
+    bucket = lambda c: F.floor(F.unix_micros(c) / width)
+    end = F.coalesce("ts_end", "ts_start")
+    spans = intervals.filter(F.col("ts_start") <= end).select(
+        *keys, status_rank("severity").alias("_rank"), F.explode(F.sequence(bucket(F.col("ts_start")), bucket(end))).alias("_bucket"),
+        F.array(F.struct(F.col("ts_start").alias("ts"), F.lit(0).alias("_kind"), F.lit(1).alias("_d")), F.struct(end.alias("ts"), F.lit(2).alias("_kind"), F.lit(-1).alias("_d"))).alias("_e"),
     )
+    edges = spans.select(*keys, "_bucket", "_rank", F.explode("_e").alias("_e")).select(*keys, "_bucket", "_rank", "_e.*")
+    # equal edges are summed first, so that many intervals that begin together are one row
+    edges = edges.groupBy(*keys, "_bucket", "ts", "_kind").agg(*[F.sum(F.when(F.col("_rank") == r, F.col("_d")).otherwise(0)).alias(f"_d{r}") for r in (1, 2)])
+    rows = readings.withColumns({"_bucket": bucket(F.col("ts")), "_kind": F.lit(1), "_d1": F.lit(0).cast("long"), "_d2": F.lit(0).cast("long")})
+    sweep = Window.partitionBy(*keys, "_bucket").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(edges, allowMissingColumns=True)
+    open_ = lambda r: F.sum(f"_d{r}").over(sweep) > 0
+    both = both.withColumn("_issue_rank", F.when(open_(2), 2).when(open_(1), 1).otherwise(0))
+    return both.filter(F.col("_kind") == 1).select(*readings.columns, "_issue_rank")
 
 
 def apply_issues(readings: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS,
@@ -199,8 +209,8 @@ def apply_issues(readings: DataFrame, intervals: DataFrame, keys: Sequence[str]
 
     `intervals` hold circuit and time, `circuits` only a circuit, `whole` neither.
     """
-    out = readings.join(touched_hours(intervals, keys), [*keys, "ts"], "left")
-    ranks = [status_rank("data_quality_status"), F.coalesce("_issue_rank", F.lit(0))]
+    out = covering_rank(readings, intervals, keys)
+    ranks = [status_rank("data_quality_status"), F.col("_issue_rank")]
     if circuits is not None:
         worst = circuits.groupBy(*keys).agg(F.max(status_rank("severity")).alias("_circuit_rank"))
         out = out.join(worst, list(keys), "left")

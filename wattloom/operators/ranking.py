@@ -80,46 +80,51 @@ def placed_rows(df: DataFrame, keys: Sequence[str], order: Sequence, shards: int
     )
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile", slack: float = 0.0005) -> DataFrame:
-    """Exact linear-interpolated quantile per group.
+BUCKETS = 4096  # of one pass over a bracket
 
-    An approximate sketch brackets the answer; rows below the bracket are only counted, and the few
-    distinct values inside it are ranked. Equal values are merged before they are moved.
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile") -> DataFrame:
+    """Exact linear-interpolated quantile per group, by counting: no group is sorted or gathered, whatever its size.
+
+    Values are dealt to buckets that keep their order, first by sign and binary exponent, then, inside the bucket that holds a wanted rank, to BUCKETS even slices between
+    that bucket's smallest and largest value, and so on. A rank is found once its bucket holds one value only, or it is the bucket's first or last. A pass
+    at least halves the exponent or cuts the bracket to a four-thousandth, so few are needed; equal values are one value in all of them. Both ranks between which the quantile lies go
+    together, and groups that are done take no part in later passes.
     """
     if not keys:
-        # one group in all: the bracket is a single row
-        whole = exact_quantile(df.withColumn("_all", F.lit(1)), ["_all"], value, p, name, slack)
-        return whole.drop("_all")
+        # one group in all
+        return exact_quantile(df.withColumn("_all", F.lit(1)), ["_all"], value, p, name).drop("_all")
     keys = list(keys)
-    accuracy = 10_000
-    lo, hi = max(0.0, p - slack), min(1.0, p + slack)
-    bracket = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.percentile_approx(value, F.lit(lo), accuracy).alias("_lo"),
-        F.percentile_approx(value, F.lit(hi), accuracy).alias("_hi"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    bracket = bracket.select(
-        *keys, "_n",
-        # small groups and the ends of the range are ranked whole
-        F.when((F.col("_n") <= 20_000) | F.lit(lo <= slack), F.col("_min")).otherwise(F.col("_lo")).alias("_lo"),
-        F.when((F.col("_n") <= 20_000) | F.lit(hi >= 1 - slack), F.col("_max")).otherwise(F.col("_hi")).alias("_hi"),
-    )
-    rows = salted_join(df.filter(F.col(value).isNotNull()), bracket, keys)
-    below = F.col(value) < F.col("_lo")
-    counted = (
-        rows.filter(F.col(value) <= F.col("_hi"))
-        .groupBy(*keys, "_n", F.when(~below, F.col(value)).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
+    v = F.col("_v")
+    rows = store_table(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "values")
+    exponent = F.when(F.isnan(v), 5000).when(F.abs(v) == float("inf"), F.signum(v) * 4000).when(v == 0, 0)
+    exponent = exponent.otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v))) + 2000)).cast("int")
+
+    def counted(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+        return dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+    first = store_table(counted(rows.withColumn("_b", exponent), keys), "buckets")
+    total = first.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     place = F.lit(p) * (F.col("_n") - 1)
-    low, high = F.floor(place), F.ceil(place)
-    at = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_v")))
-    return (
-        ranked.groupBy(*keys, "_n")
-        .agg(at(low).alias("_a"), at(high).alias("_b"))
-        .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low)).alias(name))
+    total = store_table(total.withColumn("_w", place - F.floor(place)).withColumn("_k", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))), "ranks")
+    hist, target = first.join(total.select(*keys, F.col("_k").alias("_rank"), F.col("_k").alias("_id")), keys), [*keys, "_id"]
+    found = None
+    while True:
+        # at most BUCKETS rows per group and rank
+        order = Window.partitionBy(*target).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        inside = hist.withColumn("_at", F.col("_rank") - F.coalesce(F.sum("_c").over(order), F.lit(0)))
+        inside = store_table(inside.filter((F.col("_at") >= 0) & (F.col("_at") < F.col("_c"))), "brackets")
+        done = (F.col("_lo") == F.col("_hi")) | (F.col("_at") == 0) | (F.col("_at") == F.col("_c") - 1)
+        is_last = (F.col("_at") == F.col("_c") - 1) & (F.col("_at") > 0)
+        part = inside.filter(done).select(*target, F.when(is_last, F.col("_hi")).otherwise(F.col("_lo")).alias("_v"))
+        found = part if found is None else found.unionByName(part)
+        rest = inside.filter(~done).select(*target, F.col("_at").alias("_rank"), F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+        if rest.isEmpty():
+            break
+        near = salted_join(rows, rest, keys).filter(v.between(F.col("_from"), F.col("_to")))
+        slice_ = F.least(F.floor((v - F.col("_from")) / (F.col("_to") - F.col("_from")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        hist = store_table(counted(near.withColumn("_b", slice_), [*target, "_rank"]), "buckets")
+    both = total.join(found.withColumnRenamed("_id", "_k"), [*keys, "_k"]).groupBy(*keys).agg(
+        F.min_by("_v", "_k").alias("_a"), F.max_by("_v", "_k").alias("_z"), F.max("_w").alias("_w")
     )
+    return both.select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias(name))

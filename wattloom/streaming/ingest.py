@@ -183,7 +183,7 @@ def _windows(pieces: DataFrame, extents: DataFrame, changed_series: DataFrame, r
         pieces = judged.filter("short").select(*pieces.columns)
         if pieces.isEmpty():
             return out
-        days *= 2
+        days *= 4
 
 
 def _own_readings(rows: DataFrame, windows: DataFrame, bounds: DataFrame, cfg: GateConfig, store: Store) -> DataFrame:
