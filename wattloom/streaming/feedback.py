@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wattloom.config import RETRAIN_AT_LABELS
-from wattloom.operators.feedback import accepted, judge
-from wattloom.sinks.merge import upsert_files
+from wattloom.operators.feedback import accepted, apply_status, judge
+from wattloom.session import store_table
+from wattloom.sinks.merge import last_per_key
+from wattloom.sinks.snapshots import SnapshotStore
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CROSSINGS = "tenant_id string, building_id string, feedback_count long"
@@ -45,20 +48,50 @@ def crossing_stream(labeled: DataFrame, at: int = RETRAIN_AT_LABELS) -> DataFram
     )
 
 
-def apply_batch(spark: SparkSession, findings_path: str, labels_path: str, rejected_path: str):
-    """Function for `foreachBatch`: valid labels are stored and set their finding's status; the rest
-    is kept with the reason. Keys make a repeated batch harmless."""
+PARTS = ["tenant_id", "bucket"]
 
-    def run(batch: DataFrame, seq: int) -> None:
-        own = batch.sparkSession
-        findings = own.read.parquet(findings_path)
-        judged = judge(batch, findings)
+
+def with_bucket(df: DataFrame, buckets: int = 64) -> DataFrame:
+    """With the part that a finding, and all of its labels, lie in."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("finding_id"), F.lit(buckets)).cast("int"))
+
+
+def store_findings(store: SnapshotStore, findings: DataFrame, commit_id: str, buckets: int = 64) -> int:
+    """Puts findings into the store, in place of all in the parts that they lie in."""
+    rows = with_bucket(findings, buckets)
+    return store.update(commit_id, lambda base: [store.stage("findings", rows, rows.select(*PARTS).distinct(), PARTS)])
+
+
+def apply_labels(batch: DataFrame, store: SnapshotStore, schema: StructType, commit_id: str, buckets: int = 64) -> int:
+    """Valid labels are stored and set their finding's status; the rest is kept with the reason. Labels, findings and rejections change in one commit, and only the
+    parts that the labels' findings lie in are read. A finding has the action of its latest label, whichever delivery brought it."""
+    stored = StructType([*schema.fields, StructField("bucket", IntegerType())])
+
+    def work(base: int):
+        own = store_table(with_bucket(batch, buckets), "labels")
+        touched = own.select(*PARTS).distinct()
+        findings = store.read("findings", stored, touched, PARTS, base)
+        judged = store_table(judge(own, findings), "judged")
         good = accepted(judged)
-        upsert_files(labels_path, good.withColumn("batch_seq", F.lit(seq)), ["tenant_id", "feedback_id"], None, ("batch_seq",), ("tenant_id",))
-        bad = judged.filter(F.col("rejection").isNotNull()).withColumn("batch_seq", F.lit(seq))
-        bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_seq").parquet(rejected_path)
-        last = good.groupBy("tenant_id", "finding_id").agg(F.max_by(F.col("action"), F.struct("created_at", "feedback_id")).alias("status"))
-        changed = findings.drop("status").join(last, ["tenant_id", "finding_id"]).withColumn("batch_seq", F.lit(seq))
-        upsert_files(findings_path, changed, ["tenant_id", "finding_id"], ["status"], ("batch_seq",), ("tenant_id",))
+        known = store.read("labels", good.schema, touched, PARTS, base)
+        # a label that comes again takes the place of the one before
+        kept = known.join(good.select("tenant_id", "feedback_id"), ["tenant_id", "feedback_id"], "left_anti")
+        labels = store.stage("labels", kept.unionByName(last_per_key(good, ["tenant_id", "feedback_id"], ["created_at"]).select(*good.columns)), touched, PARTS)
+        bad = judged.filter(F.col("rejection").isNotNull()).withColumn("delivery", F.lit(commit_id))
+        named = store.spark.createDataFrame([(commit_id,)], "delivery string")
+        return [labels, store.stage("findings", apply_status(findings, labels.rows), touched, PARTS), store.stage("rejected", bad, named, ["delivery"])]
+
+    return store.update(commit_id, work)
+
+
+def apply_batch(store: SnapshotStore, schema: StructType, buckets: int = 64, stream: str | None = None):
+    """Function for `foreachBatch`; `schema` is the findings'."""
+
+    def run(batch: DataFrame, seq: int) -> None:
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("a delivery outside of a streaming query needs the name of its stream")
+        if not batch.isEmpty():
+            apply_labels(batch, store, schema, f"{name}#{seq}", buckets)
 
     return run

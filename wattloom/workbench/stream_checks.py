@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from wattloom.operators import feedback
 from wattloom.session import configure, shared_path
 from wattloom.sinks import merge
+from wattloom.sinks.snapshots import SnapshotStore
 from wattloom.sources.bounds import built_in_bounds
-from wattloom.streaming import events, ingest
+from wattloom.streaming import events, ingest, starts
 from wattloom.streaming import feedback as feedback_stream
 from wattloom.workbench import gate_checks, sql, views
 from wattloom.workbench.views import plain
@@ -64,16 +65,13 @@ def analysis_starts(spark, sf_dir):
 
 
 def stream_analysis_starts(spark, sf_dir):
-    """The same on a stream, with duplicates dropped inside the watermark."""
+    """The same on a stream, with the ledger of starts."""
     configure(spark)
+    store = SnapshotStore(spark, shared_path(spark, "starts"))
     e = events.route(events.parse(_messages(table_stream(spark, sf_dir, "events"))), events.ARRIVED)
-    out, at = shared_path(spark, "starts"), shared_path(spark, "offsets")
-    q = (
-        events.once(e, "analysis", "40 days").select("tenant_id", "building_id", "correlation_id", "dedupe_key")
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start()
-    )
+    q = e.writeStream.foreachBatch(starts.starts_batch("analysis", store, 8)).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return starts.starts(store, "analysis").select("tenant_id", "building_id", "correlation_id", "dedupe_key")
 
 
 def retraining_triggers(spark, sf_dir):
@@ -103,9 +101,9 @@ def stream_label_counter(spark, sf_dir):
 def stream_feedback_status(spark, sf_dir):
     """Labels streamed onto stored findings: statuses after the stream ends."""
     configure(spark)
-    paths = [shared_path(spark, n) for n in ("findings", "labels", "rejected", "offsets")]
+    store = SnapshotStore(spark, shared_path(spark, "feedback"))
     f = views.findings(spark, sf_dir).withColumn("bundle", F.when(F.col("confidence").isNotNull(), "{1}"))
-    f.write.partitionBy("tenant_id").parquet(paths[0])
+    feedback_stream.store_findings(store, f, "findings", 4)
     l = table_stream(spark, sf_dir, "lineitem")
     rows = l.select(
         F.concat_ws("-", F.lit("l"), *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("feedback_id"),
@@ -114,11 +112,29 @@ def stream_feedback_status(spark, sf_dir):
         F.col("l_shipdate").cast("timestamp").alias("created_at"),
     ).join(f.select("finding_id", "tenant_id"), "finding_id")
     q = (
-        rows.writeStream.foreachBatch(feedback_stream.apply_batch(spark, *paths[:3]))
-        .option("checkpointLocation", paths[3]).trigger(availableNow=True).start()
+        rows.writeStream.foreachBatch(feedback_stream.apply_batch(store, f.schema, 4))
+        .option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return store.read("findings", f.schema).select("finding_id", "status")
+
+
+def stream_retraining_triggers(spark, sf_dir):
+    """Trainings, drift events and labels as one stream: what starts a retraining, the calendar's own dates included."""
+    configure(spark)
+    e = table_stream(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "drift").when(F.col("event_id") % 97 == 0, "trained").when(F.col("event_id") % 5 == 0, "label")
+    changes = e.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
+        F.concat(F.lit("t"), F.floor(F.col("user_id") / 100).cast("string")).alias("tenant_id"), F.concat(F.lit("b"), F.floor(F.col("user_id") / 50).cast("string")).alias("building_id"),
+        "kind", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("name"),
+    )
+    out, at = shared_path(spark, "triggers"), shared_path(spark, "offsets")
+    q = (
+        starts.retraining_stream(changes).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(paths[0]).select("finding_id", "status")
+    return spark.read.schema(starts.TRIGGERS).parquet(out)
 
 
 def late_redelivery(spark, sf_dir):
@@ -135,7 +151,7 @@ def late_redelivery(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_meter_ingest, event_routing, analysis_starts, stream_analysis_starts, retraining_triggers, stream_label_counter, stream_feedback_status, late_redelivery,
+        stream_meter_ingest, event_routing, analysis_starts, stream_analysis_starts, retraining_triggers, stream_label_counter, stream_feedback_status, stream_retraining_triggers, late_redelivery,
     )
 }
 
