@@ -12,7 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from wattloom.session import local_session  # noqa: E402
-from wattloom.workbench import catalog  # noqa: E402
+from wattloom.workbench import catalog, store_checks  # noqa: E402
 
 HEADLINE = (
     "hourly_resample",
@@ -43,6 +43,9 @@ HEADLINE = (
     "window_model_scores",
     "ensemble_findings",
     "stream_meter_ingest",
+    "champion_scores",
+    "stored_erasure",
+    "durable_starts",
 )
 
 
@@ -53,6 +56,8 @@ def main() -> None:
     spark = local_session("bench", cores, shared=tempfile.mkdtemp(prefix="wattloom-bench-"))
     queries = catalog.queries()
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # starts the session's first job outside the clock
+    if "champion_scores" in names:
+        store_checks.prepared(spark, sf_dir)  # scoring by stored models is timed without their training
     took = {}
     for name in names:
         t = time.perf_counter()

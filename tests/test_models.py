@@ -204,3 +204,14 @@ def test_salted_joins_equal_plain_ones(spark):
         assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
     with pytest.raises(ValueError):
         salted_join(big, small, ["k"], "full_outer")
+
+
+def test_residual_rows_that_break_their_contract(spark):
+    from wattloom.operators.scope import residual_violations
+
+    rows = [
+        ("fine", False, None, 1.0, 0.5, 1.0, "weekend"), ("gap", True, "too few", None, None, None, "weekend"), ("no score", False, None, 1.0, None, 1.0, "weekend"),
+        ("score", True, "too few", 1.0, None, None, "weekend"), ("no reason", True, None, None, None, None, "weekend"), ("odd day", False, None, 1.0, 0.5, 1.0, "someday"),
+    ]
+    df = spark.createDataFrame(rows, "name string, low_data_quality boolean, low_data_quality_reason string, stl_residual double, residual_zscore double, residual_magnitude double, day_type string")
+    assert sorted(r["name"] for r in residual_violations(df).collect()) == ["no reason", "no score", "odd day", "score"]

@@ -37,6 +37,9 @@ PROPERTIES = {
     "window_model_training": _all(_keys("tenant_id", "building_id"), _between("train_anomaly_rate", 0, 0.06), _between("threshold", 0, 1e6)),
     "window_model_scores": _all(_keys("tenant_id", "building_id", "circuit_id", "ts"), _between("ae_reconstruction_error", 0, 1e9)),
     "confidence_fit": _keys("tenant_id", "building_id"),
+    "champion_scores": _all(_keys("building_id", "circuit_id", "ts"), _between("if_score", -1, 1), _between("forest_version", 1, 2)),
+    "analysis_model_findings": _all(_keys("building_id", "layer_origin"), lambda rows: [r for r in rows if r["n"] != r["n_ids"]] and pytest.fail("findings share ids")),
+    "stream_retraining_triggers": _keys("dedupe_key"),
     "ensemble_findings": _all(_keys("building_id", "circuit_id", "detected_at"), _between("confidence", 0, 1), _between("n_top", 0, 5)),
 }
 

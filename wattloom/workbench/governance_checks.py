@@ -146,6 +146,11 @@ def rollback_monitor(spark, sf_dir):
     return _rollback(spark, sf_dir).select("building_id", "model_type", "rolled_back", "reason", "new_champion_version")
 
 
+def rollback_audit(spark, sf_dir):
+    """Audit rows of the decisions that a high rate led to, whether or not a version to go back to existed."""
+    return governance.rollback_audit(_rollback(spark, sf_dir)).select("event_type", "payload")
+
+
 def rolled_back_aliases(spark, sf_dir):
     back = _rollback(spark, sf_dir).filter("rolled_back").withColumn("version", F.col("new_champion_version"))
     return governance.promote(_versions(spark, sf_dir)[1], back).drop("tenant_id")
@@ -209,7 +214,7 @@ QUERIES = {
     for f in (
         false_positive_rates, feedback_counts, feedback_validation, feedback_status, threshold_crossings, retraining_events, calibration_sets,
         promotion_counts, promotion_gate, promotion_audit, outcome_split, metric_deltas, training_lines, training_summaries, champion_versions,
-        rollback_monitor, rolled_back_aliases, retention_dry_run, retention_survivors, retention_audit, building_erasure, erasure_survivors,
+        rollback_monitor, rollback_audit, rolled_back_aliases, retention_dry_run, retention_survivors, retention_audit, building_erasure, erasure_survivors,
         tenant_erasure_audit,
     )
 }
@@ -275,6 +280,8 @@ ORACLES = {
           ||'features_used:    '||max(n_features_used)||chr(10)||chr(10)||string_agg(lines, chr(10)||chr(10) ORDER BY lines) AS summary FROM n GROUP BY tenant_id, building_id, training_trigger""",
     "champion_versions": f"WITH {_RUN}, {_CH} SELECT building_id, model_type, champion_version, previous_version FROM champ",
     "rollback_monitor": f"WITH {_RB} SELECT building_id, model_type, rolled_back, reason, CASE WHEN rolled_back THEN previous_version END AS new_champion_version FROM rb",
+    "rollback_audit": f"""WITH {_RB} SELECT 'model.rollback' AS event_type, '{{"building_id":"'||building_id||'","model_type":"'||model_type||'","n_labeled":'||n||',"rolled_back":'||rolled_back||',"reason":"'||reason||'"}}' AS payload
+        FROM rb WHERE n >= 10 AND coalesce(r > 0.3, true)""",
     "rolled_back_aliases": f"WITH {_RB} SELECT building_id, model_type, CASE WHEN rolled_back THEN previous_version ELSE champion_version END AS version FROM rb",
     "retention_dry_run": f"""WITH {sql.READINGS}, {_POL} SELECT p.tenant_id, CAST(p.days AS BIGINT) AS readings_retention_days, count(r.ts) AS n_expired FROM pol p
         LEFT JOIN readings r ON r.tenant_id = p.tenant_id AND r.ts < TIMESTAMP '2024-01-31' - to_days(CAST(p.days AS INT)) WHERE p.days IS NOT NULL GROUP BY ALL""",
