@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: list[list[str]] = []  # paths of the tables of each `recorded` block that is open
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a table in the cluster's shared folder and reads it back: a lost executor replays nothing before it."""
     path = shared_path(df.sparkSession, name)
+    for paths in _WRITTEN:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded():
+    """The paths of the tables that operators write inside of the block."""
+    paths: list[str] = []
+    _WRITTEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN[:] = [p for p in _WRITTEN if p is not paths]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that have had their last reader."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 REST = "columns_of_the_input"
 
 
