@@ -10,11 +10,14 @@ and stand as often as they come elsewhere. A null doc_id comes last among equals
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import decontaminate, jaccard, language, mixing, tokens, toxicity
-from wattloom.llm.common import packed, settle, table, unpacked
+from wattloom.llm.common import drop_tables, packed, recorded, settle, table, unpacked
 
 NEEDED = ("doc_id", "text")
 
@@ -48,12 +51,29 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.read_digests(tokens.write_tokens(docs))
 
 
+_BEFORE: list[str] = []  # working tables of the stage before
+
+
+def _stage(work: Callable) -> Callable:
+    """A stage that first deletes the working tables of the one before: what that stage returned has been written by then."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _BEFORE)
+        with recorded() as paths:
+            out = work(spark, docs, sf_dir)
+        _BEFORE.extend(paths)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("n-gram Jaccard join", one_of_each),
-    ("benchmark decontamination", drop_leaks),
-    ("mixing", mix_to_weights),
-    ("token ids", write_ids),
+    ("toxicity", _stage(drop_toxic)),
+    ("n-gram Jaccard join", _stage(one_of_each)),
+    ("benchmark decontamination", _stage(drop_leaks)),
+    ("mixing", _stage(mix_to_weights)),
+    ("token ids", _stage(write_ids)),
 ]
 
 # SQL cannot express the toxicity model, the alignment and the encoder; tests/llm compares the stages with brute force
