@@ -66,21 +66,53 @@ def test_pair_counts_and_slopes_match_brute_force():
     x = np.round(np.random.default_rng(3).normal(size=400), 1)
     i, j = np.triu_indices(400, 1)
     assert trend.pair_sign_sum(x) == np.sign(x[j] - x[i]).sum()
-    y = np.random.default_rng(4).normal(size=2100)
-    i, j = np.triu_indices(2100, 1)
-    assert np.isclose(trend.median_slope(y), np.median((y[j] - y[i]) / (j - i)), atol=1e-10)
-
-
-def test_blocked_trend_equals_grouped(spark):
-    x = np.round(np.random.default_rng(5).normal(size=90) + np.arange(90) * 0.01, 1)
-    x[30:60] = 0.5  # a third of the rows share one value
-    r = ratio_frame(spark, x)
-    small = drift.trend_statistics(r).first()
-    pts = ranking.position_in_group(r, drift.KEYS, "ts", ["circuit_id"]).select(*drift.KEYS, "position", "group_rows", "ratio")
-    assert drift.blocked_sign_sum(pts, F.col("ratio"), 20).first().s == small.s
-    large = drift.blocked_trend(r, 20, steps=12).first()
-    assert (large.n, large.s) == (small.n, small.s) and np.isclose(large.z, small.z)
-    assert abs(large.slope - small.slope) < 2 * (x.max() - x.min()) / 2**10
+    assert trend.falling_pairs(np.argsort(np.argsort(x, kind="stable"))) == (x[j] < x[i]).sum()
+    assert trend.tied_pairs(x) == (x[j] == x[i]).sum()
+
+
+def test_orders_along_a_slope_are_exact():
+    rng = np.random.default_rng(11)
+    x, at = rng.integers(-(2**61), 2**61, 300), np.sort(rng.choice(2**31 - 1, 300, replace=False))
+    for p, q in ((2**61 + 7, 2**31 - 1), (-(2**61) - 1, 3), (int(x[5] - x[2]) // 2, int(at[5] - at[2])), (0, 1)):
+        exact = [q * int(a) - p * int(b) for a, b in zip(x, at)]
+        want = {v: i for i, v in enumerate(sorted(set(exact)))}
+        assert trend.slope_order(x, at, p, q).tolist() == [want[v] for v in exact]
+
+
+def brute_trend(x):
+    i, j = np.triu_indices(len(x), 1)
+    return np.sign(x[j] - x[i]).sum(), np.median((x[j] - x[i]) / (j - i)) if len(x) > 1 else None
+
+
+def test_trend_statistics_match_brute_force_at_any_block_size(spark):
+    rng = np.random.default_rng(5)
+    series = {
+        "ties": np.round(rng.normal(size=900) + np.arange(900) * 0.001, 1),
+        "flat": np.full(700, 0.5),
+        "steps": np.repeat(np.arange(8.0), 100),
+        "noise": np.round(rng.normal(1, 0.3, 2500), 9),
+        "falling": np.round(5 - np.arange(1201) * 0.003 + rng.standard_cauchy(1201), 9),
+        "large": np.round(rng.normal(0, 1e6, 800), 3),
+        "two": np.array([3.0, 1.0]), "one": np.array([4.0]), "short": np.round(rng.normal(size=64), 2),
+    }
+    r = None
+    for name, x in series.items():
+        part = ratio_frame(spark, x, name)
+        r = part if r is None else r.unionByName(part)
+    for rows in (100_000, 256):
+        got = {g.building_id: g for g in drift.trend_statistics(r, DriftConfig(block_rows=rows)).collect()}
+        assert set(got) == set(series)
+        for name, x in series.items():
+            s, slope = brute_trend(x)
+            ties = np.unique(x, return_counts=True)[1]
+            n = len(x)
+            assert (got[name].n, got[name].s) == (n, s), (name, rows)
+            assert np.isclose(got[name].z, trend.trend_z(s, n, int((ties * (ties - 1) * (2 * ties + 5)).sum()))), name
+            assert got[name].slope is None if slope is None else np.isclose(got[name].slope, slope, rtol=1e-12, atol=1e-14), (name, rows)
+
+
+def test_trend_of_no_rows(spark):
+    assert drift.trend_statistics(ratio_frame(spark, [1.0]).limit(0)).collect() == []
 
 
 def test_trend_sign_turns_with_the_series(spark):

@@ -128,7 +128,7 @@ class DriftConfig:
     min_points: int = 10
     overrides: dict = field(default_factory=dict)  # "type:zone" or "type:default" -> (alpha, min_points)
     days: int = 30
-    group_rows: int = 200_000  # larger buildings take the blocked count
+    block_rows: int = 65_536  # positions that one task counts
 
 
 @dataclass(frozen=True)

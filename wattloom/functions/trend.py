@@ -1,4 +1,4 @@
-"""Counting concordant pairs and the median pairwise slope of a series, in n log n."""
+"""Counting pairs of a series by the sign of their rise, in n log n."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from statistics import NormalDist
 
 import numpy as np
 
-EXACT_PAIRS = 2000
-
 
 def pair_sign_sum(x: np.ndarray) -> int:
     """Sum over i < j of sign(x[j] - x[i]).
@@ -32,13 +30,32 @@ def pair_sign_sum(x: np.ndarray) -> int:
     return total
 
 
-def tie_sums(x: np.ndarray) -> tuple[int, int]:
-    """(tied pairs, sum of t(t-1)(2t+5)) over groups of equal values."""
-    t = np.unique(x, return_counts=True)[1].astype(object)
-    return int((t * (t - 1)).sum()) // 2, int((t * (t - 1) * (2 * t + 5)).sum())
+def falling_pairs(ranks: np.ndarray) -> int:
+    """Pairs of distinct numbers of which the earlier is the larger."""
+    return (len(ranks) * (len(ranks) - 1) // 2 - pair_sign_sum(ranks)) // 2
+
+
+def tied_pairs(ranks: np.ndarray) -> int:
+    t = np.unique(ranks, return_counts=True)[1].astype(np.int64)
+    return int((t * (t - 1) // 2).sum())
+
+
+def slope_order(x: np.ndarray, at: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Dense ranks of q * x - p * at, exact for |x|, |p| < 2**62 and at, q < 2**31: the products are kept in two parts."""
+    mask = np.int64(2**32 - 1)
+    low = q * (x & mask) - at * np.int64(p & (2**32 - 1))
+    high = q * (x >> 32) - at * np.int64(p >> 32) + (low >> 32)
+    low &= mask
+    order = np.lexsort((low, high))
+    new = np.zeros(len(x), dtype=np.int64)
+    new[1:] = (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)
+    ranks = np.empty(len(x), dtype=np.int64)
+    ranks[order] = np.cumsum(new)
+    return ranks
 
 
 def trend_z(s: int, n: int, ties: int) -> float:
+    """The test's score; `ties` is the sum of t(t-1)(2t+5) over groups of equal values."""
     var = (n * (n - 1) * (2 * n + 5) - ties) / 18
     if s == 0 or var <= 0:
         return 0.0
@@ -47,49 +64,3 @@ def trend_z(s: int, n: int, ties: int) -> float:
 
 def critical(alpha: float) -> float:
     return NormalDist().inv_cdf(1 - alpha / 2)
-
-
-def slopes_below(x: np.ndarray, pos: np.ndarray, t: float) -> int:
-    """Number of pairs whose slope is at most `t`."""
-    z = x - t * pos
-    n = len(z)
-    pairs = n * (n - 1) // 2
-    tied = tie_sums(z)[0]
-    return (pairs - tied - pair_sign_sum(z)) // 2 + tied
-
-
-def median_slope(x: np.ndarray) -> float:
-    n = len(x)
-    if n < 2:
-        return float("nan")
-    pos = np.arange(n, dtype=float)
-    if n <= EXACT_PAIRS:
-        i, j = np.triu_indices(n, 1)
-        return float(np.median((x[j] - x[i]) / (pos[j] - pos[i])))
-    pairs = n * (n - 1) // 2
-    rng = np.random.default_rng(n)
-    a, b = rng.integers(0, n, 20_000), rng.integers(0, n, 20_000)
-    keep = a != b
-    sample = np.sort((x[b] - x[a])[keep] / (pos[b] - pos[a])[keep])
-    mid = len(sample) // 2
-    lo, hi = sample[max(0, mid - 500)], sample[min(len(sample) - 1, mid + 500)]
-    want = [(pairs + 1) // 2] if pairs % 2 else [pairs // 2, pairs // 2 + 1]
-    return float(np.mean([_slope_at(x, pos, k, lo, hi) for k in want]))
-
-
-def _slope_at(x: np.ndarray, pos: np.ndarray, k: int, lo: float, hi: float) -> float:
-    """k-th smallest pairwise slope by bisection; the sampled bracket is widened until it holds."""
-    width = max(hi - lo, 1e-12)
-    while slopes_below(x, pos, lo) >= k:
-        lo, width = lo - width, width * 2
-    while slopes_below(x, pos, hi) < k:
-        hi, width = hi + width, width * 2
-    while hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi)):
-        mid = (lo + hi) / 2
-        if mid in (lo, hi):
-            break
-        if slopes_below(x, pos, mid) >= k:
-            hi = mid
-        else:
-            lo = mid
-    return hi
