@@ -247,3 +247,13 @@ def test_residual_rows_that_break_their_contract(spark):
     ]
     df = spark.createDataFrame(rows, "name string, low_data_quality boolean, low_data_quality_reason string, stl_residual double, residual_zscore double, residual_magnitude double, day_type string")
     assert sorted(r["name"] for r in residual_violations(df).collect()) == ["no reason", "no score", "odd day", "score"]
+
+
+def test_shards_without_a_full_window_train_nothing(spark):
+    rows = feature_rows(spark, 1, 4)
+    short = rows.filter(F.col("circuit_id") == "b0-1").orderBy("ts").limit(6)
+    for i in range(6):
+        rows = rows.unionByName(short.withColumn("circuit_id", F.lit(f"short{i}")))
+    cfg = WindowModelConfig(epochs=1, rounds=1, shard_rows=20)
+    model = window_model.train(rows, cfg)
+    assert model.models.first().n_windows == 2 * (4 * 24 - 23)
