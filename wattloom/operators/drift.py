@@ -1,4 +1,6 @@
-"""Efficiency drift per building: Mann-Kendall trend test with the median pairwise slope, in one path for every size.
+"""Efficiency drift per building: Mann-Kendall trend test with the median pairwise slope, exact at every size.
+
+A building whose points fit in one block is settled by that block's task. Larger ones are settled by counts over blocks, as follows.
 
 Ratios are whole numbers of 1e-9, so a pair's slope is a fraction of whole numbers and compares exactly. How many slopes lie below a probe is the number
 of pairs that the order along that slope turns round: counted block by block for all probes at once, and across blocks from ranks and a table of cells. A
@@ -216,12 +218,41 @@ def _listed(points: DataFrame, state: DataFrame) -> DataFrame:
     return ranked.join(state.select(*group, "below"), group).filter(F.col("_i") == F.col("k") - F.col("below")).select(*group, F.col("slope").alias("found"))
 
 
+STATS = "tenant_id string, building_id string, n long, s long, _ties double, slope double"
+
+
+def _block_trend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Statistics of a building of one block."""
+    import numpy as np
+
+    from wattloom.functions.trend import median_slope, pair_sign_sum
+
+    pdf = pdf.sort_values("position")
+    at, x = pdf["position"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+    t = np.unique(x, return_counts=True)[1].astype(float)
+    slope = median_slope(x, at) / UNIT if len(x) > 1 else None
+    return pdf[KEYS].head(1).assign(n=len(x), s=pair_sign_sum(x), _ties=float((t * (t - 1) * (2 * t + 5)).sum()), slope=pd.Series([slope], dtype=float, index=pdf.index[:1]))
+
+
 def trend_statistics(ratios: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
     """(keys, n, s, z, slope) for every building; a building of one point has no slope."""
     ratios = ratios.withColumn("x", F.round(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("ratio"))) * UNIT).cast("long"))
     points = position_in_group(ratios, KEYS, "ts", ["circuit_id"])
     block = F.expr(f"(position - 1) div {cfg.block_rows}")
     points = store_table(points.select(*KEYS, F.col("position").cast("long").alias("position"), "x", F.col("group_rows").cast("long").alias("n"), block.alias("block")), "points")
+    small = points.filter(F.col("n") <= cfg.block_rows).select(*KEYS, "position", "x")
+    out = spread(small, *KEYS).groupBy(*KEYS).applyInPandas(_block_trend, STATS)
+    large = points.filter(F.col("n") > cfg.block_rows)
+    if not large.isEmpty():
+        out = out.unionByName(_statistics_by_blocks(large, cfg))
+    n = F.col("n").cast("double")
+    var = (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18
+    z = F.when((F.col("s") == 0) | (var <= 0), 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt(var))
+    return out.select(*KEYS, "n", "s", z.alias("z"), "slope")
+
+
+def _statistics_by_blocks(points: DataFrame, cfg: DriftConfig) -> DataFrame:
+    """STATS of buildings of several blocks."""
     blocks = store_table(points.select(*KEYS, "block").distinct(), "blocks")
     sizes = store_table(points.groupBy(*KEYS).agg(F.max("n").alias("n"), (F.max("x") - F.min("x") + 1).alias("_edge")), "sizes")
     pairs = F.expr("n * (n - 1) div 2")
@@ -250,10 +281,7 @@ def trend_statistics(ratios: DataFrame, cfg: DriftConfig = DriftConfig()) -> Dat
     t = F.col("t").cast("double")
     ties = points.groupBy(*KEYS, "x").agg(F.count(F.lit(1)).alias("t")).groupBy(*KEYS).agg(F.sum(t * (t - 1) * (2 * t + 5)).alias("_ties"))
     out = sizes.join(signs, KEYS).join(ties, KEYS).join(slopes, KEYS, "left").withColumn("s", pairs - 2 * F.col("_falling") - F.col("_level"))
-    n = F.col("n").cast("double")
-    var = (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18
-    z = F.when((F.col("s") == 0) | (var <= 0), 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt(var))
-    return out.select(*KEYS, "n", "s", z.alias("z"), "slope")
+    return out.select(*KEYS, "n", "s", "_ties", "slope")
 
 
 def detect(readings: DataFrame, buildings: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
