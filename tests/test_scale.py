@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_models import brute_trend, ratio_frame
-from wattloom.functions import trend
+from wattloom.functions import isolation, loess, mlp, trend
 from wattloom.operators import drift
 
 
@@ -28,3 +28,62 @@ def test_buildings_of_one_block_need_no_passes_over_tables(spark, monkeypatch):
     got = {g.building_id: g for g in drift.trend_statistics(r).collect()}
     assert got["b"].s == -got["r"].s == brute_trend(x)[0] and got["one"].slope is None
     assert np.isclose(got["b"].slope, brute_trend(x)[1], rtol=1e-12)
+
+
+def one_tree(x, rng):
+    """A tree by itself, node by node."""
+    tree, limit = [[-1, 0.0, -1, -1, len(x), 0]], int(np.ceil(np.log2(max(len(x), 2))))
+    stack = [(0, x)]
+    while stack:
+        node, rows = stack.pop()
+        wide = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 and tree[node][5] < limit else []
+        if not len(wide):
+            continue
+        f = int(rng.choice(wide))
+        t = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+        tree[node][:2] = f, t
+        for side, part in ((2, rows[rows[:, f] <= t]), (3, rows[rows[:, f] > t])):
+            tree[node][side] = len(tree)
+            tree.append([-1, 0.0, -1, -1, len(part), tree[node][5] + 1])
+            stack.append((tree[node][side], part))
+    return tree
+
+
+def test_trees_that_grow_together_are_those_that_grow_alone():
+    rng = np.random.default_rng(9)
+    samples = [np.round(rng.normal(size=(n, 4)), 1) for n in (1, 2, 40, 256)] + [np.ones((30, 4))]
+    grown = isolation.grow_together(samples, [np.random.default_rng([1, k]) for k in range(len(samples))])
+    for k, (x, tree) in enumerate(zip(samples, grown)):
+        assert [list(node) for node in zip(*tree.values())] == one_tree(x, np.random.default_rng([1, k]))
+
+
+def test_smoothing_works_out_its_weights_once(monkeypatch):
+    """Neighbour weights depend on the length only, and those of robust steps hold for all inner passes."""
+    built, plain = [], loess.smoother
+    monkeypatch.setattr(loess, "smoother", lambda *a: built.append(a) or plain(*a))
+    y = np.random.default_rng(2).normal(size=137)
+    parts = loess.decompose(y, inner=4, outer=1)
+    assert np.allclose(sum(parts), y)
+    assert len(built) <= 2 * (1 + 6) + 1
+    assert np.array_equal(loess.decompose(y, inner=4, outer=1), parts)
+
+
+def test_training_steps_are_those_of_the_plain_formula():
+    rng = np.random.default_rng(1)
+    x, shape = rng.normal(size=(70, 6)), mlp.sizes(6, (5, 4), 2)
+    plain, start = mlp.linear_layers(shape, 2), mlp.init(shape, 3)
+    flat, m, v, step, order = start.copy(), 0.0, 0.0, 0, np.random.default_rng(8)
+    for _ in range(3):
+        rows = order.permutation(len(x))
+        for a in range(0, len(x), 32):
+            batch, grad, step = x[rows[a : a + 32]], [], step + 1
+            acts = mlp.forward(flat, shape, batch, plain)
+            delta = 2 * (acts[-1] - batch) / batch.size
+            for i in reversed(range(len(shape) - 1)):
+                delta = delta if i in plain else delta * (acts[i + 1] > 0)
+                grad = [(acts[i].T @ delta).ravel(), delta.sum(0), *grad]
+                delta = delta @ mlp._views(flat, shape)[i][0].T
+            g = np.concatenate(grad)
+            m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
+            flat = flat - 1e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(mlp.fit(start, shape, x, plain, 3, 32, 1e-3, 8), flat, rtol=1e-10, atol=1e-13)
