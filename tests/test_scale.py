@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_models import brute_trend, ratio_frame
 from wattloom.functions import isolation, loess, mlp, trend
 from wattloom.operators import drift
+from wattloom.sinks.snapshots import Conflict, SnapshotStore
 
 
 @pytest.mark.parametrize("listed", [2**22, 50, 3])
@@ -87,3 +88,29 @@ def test_training_steps_are_those_of_the_plain_formula():
             m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
             flat = flat - 1e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     assert np.allclose(mlp.fit(start, shape, x, plain, 3, 32, 1e-3, 8), flat, rtol=1e-10, atol=1e-13)
+
+
+def test_many_small_parts_share_folders_and_change_one_by_one(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), folders=4)
+    rows = spark.range(600).select(F.concat(F.lit("t/"), (F.col("id") % 300).cast("string")).alias("k"), F.when(F.col("id") % 300 != 7, F.lit("m")).alias("m"), F.col("id").alias("v"))
+    store.update("all", lambda base: [store.stage("t", rows, rows.select("k", "m"), ["k", "m"])])
+    assert len(store.locations("t")) <= 4
+    named = rows.filter("k in ('t/3', 't/7')").select("k", "m")
+    read = lambda touched, parts: sorted(r["v"] for r in store.read("t", rows.schema, touched, parts).collect())
+    assert read(named, ["k", "m"]) == read(named.select("k"), ["k"]) == [3, 7, 303, 307]
+
+    late = store.stage("t", rows.filter("v = 4"), rows.filter("v = 4").select("k", "m"), ["k", "m"])
+    base = store.version()
+    change = store.stage("t", rows.filter("v = 3"), named, ["k", "m"])
+    assert [r["v"] for r in change.rows.collect()] == [3]
+    store.commit("two", base, [change])
+    want = sorted(v for v in range(600) if v not in (303, 7, 307))
+    assert read(None, []) == want
+    beside = rows.join(late.entries.filter("location is not null"), F.concat(F.lit("k=t%2F"), F.expr("substring(k, 3)"), F.lit("/m="), F.coalesce("m", F.lit("__null__"))) == F.col("part"), "left_semi")
+    if not beside.filter("k in ('t/3', 't/7')").isEmpty():
+        with pytest.raises(Conflict):
+            store.commit("late", base, [late])
+    store.vacuum(older_than_ms=0)
+    assert read(None, []) == want and read(named, ["k", "m"]) == [3]
+    store.compact("t", rows.schema, ["k", "m"])
+    assert read(None, []) == want

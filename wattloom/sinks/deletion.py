@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.scalars import iso_text
 from wattloom.operators.retention import BUILDING
 from wattloom.operators.skew import salted_join
+from wattloom.session import store_table
 from wattloom.sinks.snapshots import SnapshotStore
 
 JOURNAL = "run string, step string, tenant_id string, building_id string, name string, n long, cutoff timestamp"
@@ -62,7 +63,7 @@ def delete_rows(store: SnapshotStore, run: str, table: str, stored: Stored, hits
         # the scan that finds parts reads keys only; what it finds is read again whole, part by part
         found = hits(store.read(table, stored.schema, version=base), "left_semi")
         keys = [c for c in BUILDING if c in found.columns]
-        touched = found.select(*stored.parts).distinct()
+        touched = store_table(found.select(*stored.parts).distinct(), "hit")
         inside = store.read(table, stored.schema, touched, stored.parts, base)
         counts = hits(inside, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         rest = store.stage(table, hits(inside, "left_anti"), touched, stored.parts)
