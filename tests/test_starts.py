@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wattloom.sinks.snapshots import SnapshotStore
@@ -65,3 +66,40 @@ def test_retraining_triggers_of_one_stream(spark, tmp_path):
     assert ("b1", "drift", 37) in got and ("b1", "calendar", 66) in got
     assert not [g for g in got if g[:2] == ("b1", "calendar") and 30 < g[2] < 66]  # the training at 36 moved the date
     assert len([g for g in got if g[1] == "drift"]) == 2 and len([g for g in got if g[:2] == ("b1", "feedback_volume")]) == 1
+
+
+class _Held:
+    """State of one key, counting the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("update", "updateValue"):
+                self.value[args[0] if name == "updateValue" else ()] = args[-1]
+            elif name == "clear":
+                self.value.clear()
+            return {"exists": bool(self.value), "get": self.value.get(()), "containsKey": bool(args) and args[0] in self.value}.get(name)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_the_rows():
+    calls = []
+    handle = _Held(calls)
+    handle.getValueState = lambda *a: _Held(calls)
+    handle.getMapState = lambda *a: _Held(calls)
+    p = starts.Retraining(days=30, at=5)
+    p.init(handle)
+    day = datetime(2026, 1, 1)
+    rows = [("drift", day + timedelta(minutes=i), f"d{i % 300}") for i in range(600)] + [("label", day + timedelta(minutes=i), f"l{i}") for i in range(600)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["kind", "ts", "name"])
+    out = list(p.handleInputRows(("t", "b"), iter([frame(rows + [("trained", day + timedelta(days=2), "m")])]), None))
+    assert len(calls) < 20 and len(out) == 1
+    assert len(out[0]) == 301 and list(out[0][out[0]["trigger"] == "feedback_volume"]["dedupe_key"]) == ["retraining-feedback_volume-t-b-l4"]
+    later = list(p.handleInputRows(("t", "b"), iter([frame([("drift", day + timedelta(days=3), "d1"), ("drift", day + timedelta(days=3), "d1"), ("trained", day, "old")])]), None))
+    assert [list(f["dedupe_key"]) for f in later] == [["retraining-drift-t-b-d1"]]
+    # a stamp that came since the last training starts nothing again
+    assert not list(p.handleInputRows(("t", "b"), iter([frame([("drift", day + timedelta(days=4), "d1")])]), None))

@@ -92,30 +92,51 @@ class Retraining(StatefulProcessor):
         self._due.update((at,))
         self._handle.registerTimer(at)
 
-    def _row(self, key, kind: str, at: int, name: str) -> pd.DataFrame:
-        stamp = pd.Timestamp(at, unit="ms")
-        return pd.DataFrame({"tenant_id": [key[0]], "building_id": [key[1]], "trigger": [kind], "at": [stamp], "dedupe_key": [f"retraining-{kind}-{key[0]}-{key[1]}-{name}"]})
+    @staticmethod
+    def _rows(key, found: list[tuple]) -> pd.DataFrame:
+        kinds, ats, names = zip(*found)
+        stamps = [pd.Timestamp(at, unit="ms") for at in ats]
+        keys = [f"retraining-{kind}-{key[0]}-{key[1]}-{name}" for kind, name in zip(kinds, names)]
+        return pd.DataFrame({"tenant_id": key[0], "building_id": key[1], "trigger": kinds, "at": stamps, "dedupe_key": keys})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The state is read before the rows and written behind them: calls to the store follow what stays, not the number of rows."""
         parts = pd.concat(list(rows)).sort_values(["ts", "kind", "name"], kind="stable")
+        due = before = self._due.get()[0] if self._due.exists() else None
+        counted = n = self._labels.get()[0] if self._labels.exists() else 0
+        empty, cleared = not self._drifts.exists(), False
+        fresh, known, found = {}, set(), []
         for kind, ts, name in zip(parts["kind"], parts["ts"], parts["name"]):
             at = int(pd.Timestamp(ts).timestamp() * 1000)
             if kind == "trained":
-                due = at + self._days * DAY_MS
                 # a training that comes late does not bring a newer one's date forward
-                if not self._due.exists() or due > self._due.get()[0]:
-                    self._set(due)
-                    self._labels.update((0,))
-                    self._drifts.clear()
+                if due is None or at + self._days * DAY_MS > due:
+                    due, n = at + self._days * DAY_MS, 0
+                    empty = cleared = True
+                    fresh.clear()
+                    known.clear()
             elif kind == "drift":
-                if not self._drifts.containsKey((name,)):
-                    self._drifts.updateValue((name,), (True,))
-                    yield self._row(key, "drift", at, name)
+                if name in fresh or name in known:
+                    continue
+                if not empty and self._drifts.containsKey((name,)):
+                    known.add(name)
+                    continue
+                fresh[name] = True
+                found.append(("drift", at, name))
             else:
-                n = (self._labels.get()[0] if self._labels.exists() else 0) + 1
-                self._labels.update((n,))
+                n += 1
                 if n == self._at:
-                    yield self._row(key, "feedback_volume", at, name)
+                    found.append(("feedback_volume", at, name))
+        if due != before:
+            self._set(due)
+        if n != counted:
+            self._labels.update((n,))
+        if cleared:
+            self._drifts.clear()
+        for name in fresh:
+            self._drifts.updateValue((name,), (True,))
+        if found:
+            yield self._rows(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
@@ -123,7 +144,7 @@ class Retraining(StatefulProcessor):
             due = at + self._days * DAY_MS
             self._due.update((due,))
             self._handle.registerTimer(due)
-            yield self._row(key, "calendar", at, str(at))
+            yield self._rows(key, [("calendar", at, str(at))])
 
     def close(self) -> None:
         pass
