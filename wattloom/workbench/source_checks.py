@@ -8,7 +8,7 @@ from wattloom.config import GateConfig
 from wattloom.functions import scalars as S
 from wattloom.operators import gate, scope
 from wattloom.operators import rules as rule_ops
-from wattloom.session import shared_path
+from wattloom.session import shared_path, store_table
 from wattloom.sinks import merge, messages, records
 from wattloom.sources import bounds, calendars, meters, presets, rules
 from wattloom.workbench import gate_checks, sql, views
@@ -131,7 +131,8 @@ def readings_upsert(spark, sf_dir):
 
 def findings_round_trip(spark, sf_dir):
     """Rule findings appended to files with a JSON bundle, in two runs, and read back typed."""
-    found = records.finding_records(rule_ops.rule_findings(rule_ops.fired(views.readings(spark, sf_dir), views.buildings(spark, sf_dir))))
+    # both runs read the findings, which are worked out once
+    found = store_table(records.finding_records(rule_ops.rule_findings(rule_ops.fired(views.readings(spark, sf_dir), views.buildings(spark, sf_dir)))), "found")
     path, early = shared_path(spark, "findings"), F.hour("detected_at") < 12
     for part in (found.filter(early), found.filter(~early)):
         merge.append_files(part, path)
