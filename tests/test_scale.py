@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tests.test_models import brute_trend, ratio_frame
 from wattloom.functions import isolation, loess, mlp, trend
-from wattloom.operators import drift
+from wattloom.operators import drift, gate
+from wattloom.sinks import merge
 from wattloom.sinks.snapshots import Conflict, SnapshotStore
+from wattloom.sources.bounds import built_in_bounds
 
 
 @pytest.mark.parametrize("listed", [2**22, 50, 3])
@@ -114,3 +116,40 @@ def test_many_small_parts_share_folders_and_change_one_by_one(spark, tmp_path):
     assert read(None, []) == want and read(named, ["k", "m"]) == [3]
     store.compact("t", rows.schema, ["k", "m"])
     assert read(None, []) == want
+
+
+def _files(path):
+    return sorted(str(p.parent) for p in path.rglob("*.parquet") if not p.name.startswith((".", "_")))
+
+
+def test_appended_files_follow_the_parts_not_the_tasks(spark, tmp_path):
+    merge.append_files(spark.range(4000).repartition(8).select((F.col("id") % 40).alias("tenant_id"), "id"), str(tmp_path / "t"))
+    assert len(_files(tmp_path / "t")) == 40
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        store = SnapshotStore(spark, str(tmp_path / "store"))
+        rows = spark.range(0, 200_000, 1, 8).select(F.lit("one").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        store.update("all", lambda base: [store.stage("t", rows, rows.select("k"), ["k"])])
+    finally:
+        spark.conf.set(key, before)
+    assert len(_files(tmp_path / "store" / "data")) >= 4
+    assert store.read("t", rows.schema).distinct().count() == 200_000
+
+
+def test_gate_tasks_follow_the_hours_of_the_grid(spark, monkeypatch):
+    """Few cells far apart make many hours: tasks are dealt by hours, and the readings stay the same."""
+    hour = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, int(id div 20) * 100)"
+    raw = spark.range(200).selectExpr("'t' tenant_id", "'b' building_id", "'u' batch_id", "concat('c', id % 20) circuit_id", "'hvac' circuit_type", "'csv_upload' ingestion_source", f"{hour} ts", "double(id % 7) kwh")
+    batches, bounds = raw.select(*gate.BATCH).distinct(), built_in_bounds(spark)
+    run = lambda: gate.quality_gate(raw, batches, bounds).readings
+    one = sorted(map(str, run().collect()))
+    monkeypatch.setattr(gate, "TASK_HOURS", 1000)
+    cells, tasks = gate.place_cells(gate.raw_cells(raw, [*gate.KEYS, "circuit_type", "ingestion_source"]), [*gate.KEYS, "circuit_type", "ingestion_source"])
+    assert tasks == cells.rdd.getNumPartitions() == 19  # 20 circuits of 901 hours
+    assert sorted(map(str, run().collect())) == one and len(one) == 20 * 901
