@@ -7,6 +7,7 @@ their starts and ends, in buckets of time, so no range join is planned and no in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ from wattloom.functions.scalars import (
 from wattloom.operators.faults import outlier_issues, outlier_scores, raw_cells, sensor_faults
 from wattloom.operators.resample import gap_issues, grid_of_sums, long_gap, sums_of_cells
 from wattloom.operators.skew import salted_join
+from wattloom.session import store_table
 from wattloom.sources.presets import with_preset
 
 BATCH = ("tenant_id", "building_id", "batch_id")
@@ -178,11 +180,12 @@ def bounds_issues(bounded: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 BUCKET_DAYS = 30
 
 
-def covering_rank(readings: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def covering_rank(readings: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS, tasks: int | None = None) -> DataFrame:
     """Adds `_issue_rank`: the worst severity of the closed intervals (ts_start, ts_end; without an end the start alone) that cover a reading's stamp, whatever stamps there are.
 
     A sweep in the order of time counts the intervals of each severity that are open: an interval is a start and an end, not its hours. Time is cut into buckets of
-    BUCKET_DAYS, in each of which an interval that reaches into it stands once, so a long interval is few rows and a long series many small groups.
+    BUCKET_DAYS, in each of which an interval that reaches into it stands once, so a long interval is few rows and a long series many small groups. `tasks`: how many
+    share the sweep, where the number of readings is known.
     """
     width = F.lit(BUCKET_DAYS * 86_400_000_000)
     bucket = lambda c: F.floor(F.unix_micros(c) / width)
@@ -197,6 +200,8 @@ def covering_rank(readings: DataFrame, intervals: DataFrame, keys: Sequence[str]
     rows = readings.withColumns({"_bucket": bucket(F.col("ts")), "_kind": F.lit(1), "_d1": F.lit(0).cast("long"), "_d2": F.lit(0).cast("long")})
     sweep = Window.partitionBy(*keys, "_bucket").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = rows.unionByName(edges, allowMissingColumns=True)
+    if tasks is not None:
+        both = both.repartition(tasks, *keys, "_bucket")
     open_ = lambda r: F.sum(f"_d{r}").over(sweep) > 0
     both = both.withColumn("_issue_rank", F.when(open_(2), 2).when(open_(1), 1).otherwise(0))
     return both.filter(F.col("_kind") == 1).select(*readings.columns, "_issue_rank")
@@ -204,12 +209,12 @@ def covering_rank(readings: DataFrame, intervals: DataFrame, keys: Sequence[str]
 
 def apply_issues(readings: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS,
                  whole: DataFrame | None = None, scope: Sequence[str] = BATCH,
-                 circuits: DataFrame | None = None) -> DataFrame:
+                 circuits: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Raises each reading's status to the worst issue that covers it.
 
     `intervals` hold circuit and time, `circuits` only a circuit, `whole` neither.
     """
-    out = covering_rank(readings, intervals, keys)
+    out = covering_rank(readings, intervals, keys, tasks)
     ranks = [status_rank("data_quality_status"), F.col("_issue_rank")]
     if circuits is not None:
         worst = circuits.groupBy(*keys).agg(F.max(status_rank("severity")).alias("_circuit_rank"))
@@ -293,6 +298,21 @@ def gate_verdict(readings: DataFrame) -> DataFrame:
 
 
 # --- whole gate ------------------------------------------------------------------------------
+TASK_HOURS = 50_000
+
+
+def place_cells(cells: DataFrame, series: Sequence[str]) -> tuple[DataFrame, int]:
+    """Cells by circuit in tasks of about TASK_HOURS hours of the grid, and the number of tasks.
+
+    The grid is many times as large as the cells that it is built from, so their bytes, by which adaptive execution deals, say little about a task's memory.
+    """
+    cells = store_table(cells, "cells")
+    spans = cells.groupBy(*series).agg(((F.unix_seconds(F.max("hour")) - F.unix_seconds(F.min("hour"))) / 3600 + 1).alias("hours"), F.count(F.lit(1)).alias("n"))
+    size = spans.agg(F.sum(F.greatest("hours", "n"))).first()[0] or 0
+    tasks = max(1, math.ceil(size / TASK_HOURS))
+    return cells.repartition(tasks, *KEYS), tasks
+
+
 def quality_gate(
     raw: DataFrame,
     batches: DataFrame,
@@ -309,7 +329,7 @@ def quality_gate(
     raw = raw_stamps(raw)
     series = [*KEYS, "circuit_type", "ingestion_source"]
     # cells are few per circuit; placed by circuit once, they serve hours, windows and dropouts in place
-    cells = raw_cells(raw, series, cfg).repartition(*KEYS)
+    cells, tasks = place_cells(raw_cells(raw, series, cfg), series)
     grid = grid_of_sums(sums_of_cells(cells, series), series, cfg)
     scored = outlier_scores(grid, series, cfg)
     bounded = with_bounds(scored, bounds)
@@ -325,7 +345,7 @@ def quality_gate(
     whole = degrade
     if batch_issues is not None:
         whole = degrade.unionByName(batch_issues.filter("issue_type = 'schema_drift'"))
-    judged = apply_issues(readings, faults, KEYS, whole=whole)
+    judged = apply_issues(readings, faults, KEYS, whole=whole, tasks=tasks)
 
     issues = (
         gap_issues(grid, series, cfg)
