@@ -1,12 +1,15 @@
 """Work that grows with the rows only: jobs, folders and passes do not grow with the number of small groups."""
 
+import datetime as dt
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_models import brute_trend, ratio_frame
+from tests.test_models import START, brute_trend, ratio_frame
 from wattloom.functions import isolation, loess, mlp, trend
-from wattloom.operators import drift, gate
+from wattloom.operators import drift, gate, stl
 from wattloom.sinks import merge
 from wattloom.sinks.snapshots import Conflict, SnapshotStore
 from wattloom.sources.bounds import built_in_bounds
@@ -71,6 +74,58 @@ def test_smoothing_works_out_its_weights_once(monkeypatch):
     assert np.array_equal(loess.decompose(y, inner=4, outer=1), parts)
 
 
+def test_smoothing_by_correlation_is_that_by_neighbours():
+    rng = np.random.default_rng(5)
+    for n, span in ((2, 35), (13, 35), (35, 35), (36, 35), (64, 39), (301, 39), (301, 24)):
+        w = rng.random((3, n)) * (rng.random((3, n)) < 0.6)
+        w[1] = 0
+        w[2, : n // 2] = 0
+        y = rng.normal(size=(3, n))
+        assert np.allclose(loess.smoother(n, span, w)(y), loess.plain_smoother(n, span, w)(y), rtol=1e-9, atol=1e-9)
+        assert np.allclose(loess._even(n, span)(y), loess.plain_smoother(n, span, np.ones((1, n)))(y), rtol=1e-9, atol=1e-9)
+    x = rng.normal(size=348)
+    assert np.allclose(np.correlate(x, loess._low_kernel(24)), loess._low(x, 24))
+
+
+def test_decomposition_holds_rows_and_not_rows_times_neighbours():
+    y = np.random.default_rng(6).exponential(50, 6000)
+    loess.decompose(y, outer=0)
+    tracemalloc.start()
+    parts = loess.decompose(y, outer=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(sum(parts), y)
+    assert peak < 6000 * 8 * 39 * 2
+
+
+def test_the_order_of_sums_does_not_show_in_short_series(monkeypatch):
+    """Two values a sub-series leave rounding only; the plain sums are those of the start."""
+    y = np.random.default_rng(7).exponential(50, 400)
+    monkeypatch.setattr(loess, "smoother", None)
+    assert np.allclose(sum(loess.decompose(y[:48])), y[:48])
+    monkeypatch.undo()
+    short = [loess.decompose(y[:n], outer=3) for n in (96, 150, 400)]
+    monkeypatch.setattr(loess, "PLAIN_CYCLES", 20)
+    for n, parts in zip((96, 150, 400), short):
+        assert np.allclose(loess.decompose(y[:n], outer=3), parts, rtol=1e-9, atol=1e-9)
+
+
+def test_residuals_fill_gaps_and_keep_rows_and_nulls(spark):
+    h = np.arange(200)
+    kwh = [None if i in (0, 1, 77) else float("nan") if i == 90 else float(10 + 4 * np.sin(i / 4) + i % 3) for i in h]
+    rows = [("t", None, "c", "weekend", START + dt.timedelta(hours=int(i)), kwh[i]) for i in np.random.default_rng(1).permutation(200)]
+    rows += [("t", "b", "none", None, START + dt.timedelta(hours=i), None) for i in range(50)] + [("t", "b", "undated", "weekend", None, 1.0)] * 2
+    df = spark.createDataFrame(rows, "tenant_id string, building_id string, circuit_id string, day_type string, ts timestamp, kwh double")
+    got = stl.residuals(df).collect()
+    assert len(got) == 252
+    long = sorted((r for r in got if r.circuit_id == "c"), key=lambda r: r.ts)
+    filled = [kwh[2], kwh[2], *kwh[2:77], kwh[76], *kwh[78:90], kwh[89], *kwh[91:]]
+    assert np.allclose([r.stl_trend + r.stl_seasonal + r.stl_residual for r in long], filled)
+    assert [i for i, r in enumerate(long) if r.kwh is None] == [0, 1, 77, 90] and all(r.building_id is None and not r.low_data_quality and r.low_data_quality_reason is None for r in long)
+    assert all(r.low_data_quality and r.stl_trend is None and r.is_anomalous is None and "only NaN" in r.low_data_quality_reason for r in got if r.circuit_id == "none")
+    assert [(r.kwh, r.ts) for r in got if r.circuit_id == "undated"] == [(1.0, None)] * 2
+
+
 def test_training_steps_are_those_of_the_plain_formula():
     rng = np.random.default_rng(1)
     x, shape = rng.normal(size=(70, 6)), mlp.sizes(6, (5, 4), 2)
