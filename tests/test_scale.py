@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tests.test_models import START, brute_trend, ratio_frame
 from wattloom.functions import isolation, loess, mlp, trend
 from wattloom.operators import drift, gate, stl
+from wattloom.plans.analyze import batch_features
 from wattloom.sinks import merge
 from wattloom.sinks.snapshots import Conflict, SnapshotStore
 from wattloom.sources.bounds import built_in_bounds
+from wattloom.workbench import views
 
 
 @pytest.mark.parametrize("listed", [2**22, 50, 3])
@@ -126,6 +128,18 @@ def test_residuals_fill_gaps_and_keep_rows_and_nulls(spark):
     assert [(r.kwh, r.ts) for r in got if r.circuit_id == "undated"] == [(1.0, None)] * 2
 
 
+def test_features_work_out_their_readings_once(spark, sf_dir, tmp_path):
+    """Rules, day types, gaps and rolling features read one stored table, however costly the readings behind it are."""
+    rows = [("t0", "b1", "b1-view", "plug_load", START + dt.timedelta(hours=i), float(i % 24), "pass") for i in range(60)]
+    source = str(tmp_path / "readings")
+    spark.createDataFrame(rows, "tenant_id string, building_id string, circuit_id string, circuit_type string, ts timestamp, kwh double, data_quality_status string").write.parquet(source)
+    days = spark.createDataFrame([("t0", "b1", START.date() + dt.timedelta(days=i), "business_day") for i in range(3)], "tenant_id string, building_id string, date date, day_type string")
+    feats = batch_features(spark.read.parquet(source), views.buildings(spark, sf_dir), days)
+    assert not [f for f in feats.inputFiles() if source in f]
+    got = feats.orderBy("ts").collect()
+    assert [r.kwh for r in got] == [r[5] for r in rows] and not any(r.low_data_quality for r in got)
+
+
 def test_training_steps_are_those_of_the_plain_formula():
     rng = np.random.default_rng(1)
     x, shape = rng.normal(size=(70, 6)), mlp.sizes(6, (5, 4), 2)
