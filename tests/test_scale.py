@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tests.test_models import START, brute_trend, ratio_frame
 from wattloom.functions import isolation, loess, mlp, trend
 from wattloom.operators import drift, gate, stl
+from wattloom.operators.skew import salted_join
 from wattloom.plans.analyze import batch_features
+from wattloom.session import configure
 from wattloom.sinks import merge
 from wattloom.sinks.snapshots import Conflict, SnapshotStore
 from wattloom.sources.bounds import built_in_bounds
@@ -222,3 +224,14 @@ def test_gate_tasks_follow_the_hours_of_the_grid(spark, monkeypatch):
     cells, tasks = gate.place_cells(gate.raw_cells(raw, [*gate.KEYS, "circuit_type", "ingestion_source"]), [*gate.KEYS, "circuit_type", "ingestion_source"])
     assert tasks == cells.rdd.getNumPartitions() == 19  # 20 circuits of 901 hours
     assert sorted(map(str, run().collect())) == one and len(one) == 20 * 901
+
+
+def test_a_small_file_whose_rows_multiply_is_not_broadcast_by_an_estimate(spark, tmp_path):
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10485760b"
+    spark.range(100_000).select(F.col("id").cast("string").alias("building_id"), F.lit("t").alias("tenant_id")).write.parquet(str(tmp_path / "b"))
+    b = spark.read.parquet(str(tmp_path / "b"))  # under a megabyte; with a row for each salt a hundred in memory
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("building_id"), F.lit("t").alias("tenant_id"), F.col("id"))
+    met = salted_join(rows.repartition(4), b, ["tenant_id", "building_id"])
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 100_000
