@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_models import START, brute_trend, ratio_frame
+from wattloom.config import ForestConfig
 from wattloom.functions import isolation, loess, mlp, trend
-from wattloom.operators import drift, gate, stl
+from wattloom.operators import drift, forest, gate, stl
 from wattloom.operators.skew import salted_join
 from wattloom.plans.analyze import batch_features
 from wattloom.session import configure
@@ -235,3 +236,28 @@ def test_a_small_file_whose_rows_multiply_is_not_broadcast_by_an_estimate(spark,
     met = salted_join(rows.repartition(4), b, ["tenant_id", "building_id"])
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == 100_000
+
+
+def test_samples_move_once_to_the_task_in_which_their_trees_grow(spark):
+    name = F.concat(F.lit("b"), F.floor(F.col("id") / 3000).cast("string"))
+    rows = spark.range(3000).select(name.alias("tenant_id"), name.alias("building_id"), F.lit("c").alias("circuit_id"), F.timestamp_seconds("id").alias("ts"), F.array(F.col("id").cast("double")).alias("scaled"))
+    cfg = ForestConfig(trees=120, sample=64)
+    drawn = forest.tree_samples(rows, cfg)
+    grown = drawn.groupBy("tenant_id", "building_id", "_block").applyInArrow(forest._grower(cfg), forest.TREES)
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.find("Window ")] and "REPARTITION_BY_NUM" in plan[plan.find("Window ") :]
+    trees = {r.tree: r for r in grown.collect()}
+    assert len(trees) == 120 and all(r.size[0] == 64 for r in trees.values())
+    own = sorted(r.scaled[0] for r in drawn.filter("tree = 7").collect())
+    seed = int.from_bytes(b"b0", "big") + cfg.seed
+    x = np.array([[r.scaled[0]] for r in drawn.filter("tree = 7").orderBy("_r").collect()])
+    assert sorted(x[:, 0]) == own
+    plain = one_tree(x, np.random.default_rng([seed, 7]))
+    assert [list(n) for n in zip(*(trees[7][k] for k in forest.PARTS))] == plain
+
+
+def test_trees_of_constant_and_single_rows_stop():
+    samples = [np.ones((9, 2)), np.zeros((1, 2)), np.array([[0.0, 1.0], [0.0, 2.0]]), np.random.default_rng(0).normal(size=(40, 2))]
+    grown = isolation.grow_together(samples, [np.random.default_rng([1, k]) for k in range(4)])
+    assert [len(t["size"]) for t in grown[:3]] == [1, 1, 3]
+    assert all([list(n) for n in zip(*t.values())] == one_tree(x, np.random.default_rng([1, k])) for k, (x, t) in enumerate(zip(samples, grown)))
