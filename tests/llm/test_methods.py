@@ -214,3 +214,28 @@ def test_operators_keep_working_names(spark):
     (b,) = pii.find(df).collect()
     (c,) = licenses.scan(df.withColumn("_lic_found", F.lit("w"))).collect()
     assert (a["t"], a["ranges"], a["n_words"]) == (7, "x", 3) and (b["_spans"], b["n_email"]) == ("y", 1) and (c["_lic_text"], c["_lic_found"], c["text"]) == ("z", "w", "mail a@b.cd now")
+
+
+def test_working_tables_and_shuffles_of_the_join_go_with_their_last_reader(spark, sf_dir, tmp_path, monkeypatch):
+    import random
+
+    from wattloom.llm import jaccard
+    from wattloom.llm.common import recorded, table
+
+    table(spark, sf_dir, "documents")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    monkeypatch.setattr(jaccard, "GROUP", 4)  # a cluster of several parts
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(0, 60, 3)] + [(100 + k, " ".join(rng.choice(words) for _ in range(80))) for k in range(5)]
+    with recorded() as paths:
+        out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = {r.doc_id: r.component_id for r in out.collect()}
+    assert {got[k] for k, _ in rows if k < 100} == {0} and all(got[k] == k for k, _ in rows if k >= 100)
+    fs = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    left = [p.rpartition("/")[2] for p in paths if fs(p).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))]
+    made = [p.rpartition("/")[2] for p in paths]
+    assert sum(p.startswith("jaccard-lists") for p in made) == 3 and sum(p.startswith("jaccard-lists") for p in left) == 1
+    assert any(p.startswith("jaccard-tokens") for p in made) and not any(p.startswith("jaccard-tokens") for p in left)
+    assert sum(p.startswith("jaccard-entries") for p in left) <= 1
